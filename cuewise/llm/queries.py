@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewise.llm import fingerprint, mixing, sharding, url_filter
+from cuewise.llm import fingerprint, hmm, mixing, sharding, url_filter
 from cuewise.llm.common import table
 
 #: The test tables have no list of URLs: the query lists those pages that it finds on these hosts.
 LISTED_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
+def op1_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     listed = pages.where(url_filter.url_host(F.col("url")).rlike(rf"(^|\.)({'|'.join(LISTED_HOSTS)})\.")).select("url")

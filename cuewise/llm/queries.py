@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewise.llm import fingerprint, hmm, language_id, mixing, sharding, url_filter
+from cuewise.llm import fingerprint, hmm, language_id, mixing, sharding, simhash, url_filter
 from cuewise.llm.common import table
 
 #: The test tables have no list of URLs: the query lists those pages that it finds on these hosts.
@@ -40,6 +40,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewise.llm import decontamination, fingerprint, hmm, language_id, mixing, sharding, simhash, url_filter
+from cuewise.llm import decontamination, fingerprint, hmm, language_id, mixing, sharding, simhash, toxicity, url_filter
 from cuewise.llm.common import table
 
 #: The test tables have no list of URLs: the query lists those pages that it finds on these hosts.
@@ -28,6 +28,10 @@ def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewise.llm import decontamination, fingerprint, hmm, language_id, mixing, sharding, simhash, toxicity, url_filter
+from cuewise.llm import decontamination, fingerprint, hmm, language_id, mixing, pii, sharding, simhash, toxicity, url_filter
 from cuewise.llm.common import table
 
 #: The test tables have no list of URLs: the query lists those pages that it finds on these hosts.
@@ -40,6 +40,10 @@ def op6_lsi_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 

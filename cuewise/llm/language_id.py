@@ -164,3 +164,15 @@ def identify_languages(docs: DataFrame, buckets: int = 4) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(buckets).alias("held_out"), "lang", "text")
     names, prototypes = learn_prototypes(rows.where(~F.col("held_out")))
     return rows.select("doc_id", "held_out", "text").mapInArrow(_predict(names, prototypes), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def identified_documents(docs: DataFrame, buckets: int = 4) -> DataFrame:
+    """``docs`` with all its columns, without those whose language is undetermined; no shuffle."""
+    names, prototypes = learn_prototypes(docs.select("doc_id", "lang", "text").where(~held_out(buckets)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = next(_predict(names, prototypes)(iter([batch.select(["text"])])))
+            yield batch.filter(pa.array([x != UNKNOWN for x in found.column("lang_pred").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import WORD_PATTERN, durable
+from cuewise.llm.common import LOWEST, WORD_PATTERN, durable
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -52,13 +52,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words), copies (of the whole document)."""
+    """doc_id, source, size, source_size, target, taken (words), copies (of the whole document), text_hash."""
     text = F.coalesce(F.col("text"), F.lit(""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     uniform = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
     rows = docs.select(
         "doc_id",
         "source",
+        F.xxhash64(text).alias("text_hash"),
         F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
         F.greatest(F.lit(0.05), letters / F.greatest(F.length(text), F.lit(1))).alias("quality"),
         uniform.alias("u"),
@@ -81,4 +82,19 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.round(budget).cast("long") - ahead))
     more = (2 * ahead + F.col("size") <= 2 * budget).cast("long")
     copies = F.when(F.col("size") > 0, epochs + more).otherwise(F.lit(0)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs + part).alias("taken"), copies.alias("copies"))
+    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs + part).alias("taken"), copies.alias("copies"), "text_hash")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """``docs`` with all its columns: each document as many times as the mix has copies of it.
+
+    Rows that are equal in doc_id, source and text share their copies.
+    """
+    key = ["__id", "__source", "__hash"]
+    mix = mix_sources(docs, weights, share, most)
+    plan = mix.groupBy(F.coalesce("doc_id", F.lit(LOWEST)).alias("__id"), F.struct("source").alias("__source"), F.col("text_hash").alias("__hash")).agg(F.sum("copies").alias("__copies"))
+    plan = plan.where("__copies > 0")
+    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LOWEST)), "__source": F.struct("source"), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
+    joined = keyed.join(plan, key)
+    first = joined.withColumn("__row", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where("__row = 1")
+    return first.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

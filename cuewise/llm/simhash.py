@@ -240,6 +240,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def one_of_each_group(docs: DataFrame) -> DataFrame:
+    """``docs`` with all its columns: of each component the document with its smallest doc_id stays.
+
+    Rows that share a doc_id are one document, of which one row stays. Rows without a doc_id have nothing
+    to be kept by but their text: one of each text stays.
+    """
+    found = near_duplicates(docs)
+    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+
+    def one_row(rows: DataFrame, *by: str) -> DataFrame:
+        order = Window.partitionBy(*by).orderBy(F.xxhash64("text"))
+        return rows.withColumn("__row", F.row_number().over(order)).where("__row = 1").drop("__row")
+
+    named = docs.where("doc_id is not null").join(keep, "doc_id", "left_semi")
+    return one_row(named, "doc_id").unionByName(one_row(docs.where("doc_id is null"), "text")).select(*docs.columns)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach)."""
     marked = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "doc_id long, fp long"))

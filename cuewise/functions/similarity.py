@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from cuewise.functions.text import clean_for_similarity
 
@@ -20,7 +21,7 @@ def text_similarity(a: str | None, b: str | None) -> float:
     return SequenceMatcher(None, a, b, autojunk=False).ratio() if a and b else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([text_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

@@ -1,11 +1,13 @@
-"""Scalar text functions as column expressions; all stay in the JVM."""
+"""Scalar text functions as column expressions; all but ``cut_edges`` stay in the JVM."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 #: The characters that the cleaners delete.
 NORMALIZE = r"(?U)[\s、。！？…\.,!?]+"
@@ -65,9 +67,18 @@ def characters(text: Column) -> Column:
 
 
 def most_frequent(items: Column) -> Column:
-    """How often the most frequent element of an array occurs; 0 if there is none."""
-    counts = F.transform(F.array_distinct(items), lambda x: F.size(F.filter(items, lambda y: y == x)))
-    return F.coalesce(F.array_max(counts), F.lit(0))
+    """How often the most frequent element of an array of strings occurs; 0 if there is none.
+
+    One pass over the sorted array: a lambda that mentions ``items`` would make it anew for each element.
+    """
+    kind = "struct<best:int,run:int,last:string>"
+
+    def step(state: Column, x: Column) -> Column:
+        run = F.when(x == state["last"], state["run"] + 1).otherwise(F.lit(1))
+        return F.struct(F.greatest(state["best"], run).alias("best"), run.alias("run"), x.alias("last")).cast(kind)
+
+    start = F.struct(F.lit(0).alias("best"), F.lit(0).alias("run"), F.lit(None).cast("string").alias("last")).cast(kind)
+    return F.aggregate(F.array_sort(items), start, step, lambda s: s["best"])
 
 
 def is_only_repetitive_stammer(text: Column) -> Column:
@@ -119,46 +130,48 @@ def format_display_time(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%06.3f", hours.cast("int"), minutes.cast("int"), F.pmod(seconds, F.lit(60.0)))
 
 
-def cut_points(text: Column, most: int, primary: tuple[str, ...], secondary: tuple[str, ...], near: int = 5, far: int = 10, slack: int = 5) -> Column:
-    """Positions (from 1) of the last character of each piece but the rest, of a text without word timings.
+def piece_edges(text: str, most: int, primary: frozenset[str], secondary: frozenset[str], near: int, far: int, slack: int) -> list[int]:
+    """Where the pieces of a text without word timings begin and end: 0, the cuts, the length.
 
     A piece that has ``most`` characters ends at the first primary break among its last character and the
-    ``near - 1`` after it, else at the first secondary break among ``far``, else here once it is ``slack``
-    longer. The state of the fold is (cuts, length of the piece, position up to which all is settled).
+    ``near - 1`` after it, else at the first secondary break among ``far``, else here once it is ``slack`` longer.
     """
-    chars = characters(text)
-    n = F.size(chars)
-
-    def first_break(at: Column, width: int, breaks: tuple[str, ...]) -> Column:
-        window = F.slice(chars, at, width)
-        found = F.filter(F.transform(window, lambda c, i: F.when(c.isin(*breaks), i)), lambda i: i.isNotNull())
-        return F.when(F.size(found) > 0, at + found[0])
-
-    def step(state: Column, at: Column) -> Column:
-        length = state["length"] + 1
-        end = F.when(length >= most, F.coalesce(first_break(at, near, primary), first_break(at, far, secondary), F.when(length >= most + slack, at)))
-        cut = F.struct(F.concat(state["cuts"], F.array(end)).alias("cuts"), F.lit(0).alias("length"), end.alias("settled"))
-        more = F.struct(state["cuts"].alias("cuts"), length.alias("length"), state["settled"].alias("settled"))
-        return F.when(at <= state["settled"], state).when(end.isNotNull(), cut).otherwise(more).cast(kind)
-
-    kind = "struct<cuts:array<int>,length:int,settled:int>"
-    start = F.struct(F.array().alias("cuts"), F.lit(0).alias("length"), F.lit(0).alias("settled")).cast(kind)
-    positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(positions, start, step, lambda s: s["cuts"])
-
-
-def pieces(text: Column, cuts: Column) -> Column:
-    """array<struct<at, piece>>: a text cut after each of the positions ``cuts``; ``at`` counts from 0."""
-    edges = F.array_distinct(F.concat(F.array(F.lit(0)), cuts, F.array(F.length(text))))
-    ends = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 1, F.lit(0)))
-    return F.transform(ends, lambda end, i: F.struct(F.element_at(edges, i + 1).alias("at"), F.substring(text, F.element_at(edges, i + 1) + 1, end - F.element_at(edges, i + 1)).alias("piece")))
-
-
-def split_long_lines(text: Column, most: int = 20) -> Column:
-    """Breaks a text into lines of about ``most`` characters."""
-    cuts = cut_points(text, most, PRIMARY_BREAKS, SECONDARY_BREAKS, near=5, far=3, slack=0)
-    lines = F.transform(pieces(text, cuts), lambda p: p["piece"])
-    return F.when(F.length(text) <= most, text).otherwise(F.array_join(lines, "\n"))
+    edges, at = [0], 0
+    while at < len(text):
+        at = max(at + 1, edges[-1] + most)  # the first end that a piece can have
+        if at > len(text):
+            break
+        hard = next((j for j in range(at, min(at + near, len(text) + 1)) if text[j - 1] in primary), 0)
+        soft = hard or next((j for j in range(at, min(at + far, len(text) + 1)) if text[j - 1] in secondary), 0)
+        if soft or at - edges[-1] >= most + slack:
+            edges.append(soft or at)
+            at = edges[-1]
+    return edges if edges[-1] == len(text) else [*edges, len(text)]
+
+
+def cut_edges(text: Column, most: int, primary: tuple[str, ...], secondary: tuple[str, ...], near: int = 5, far: int = 10, slack: int = 5) -> Column:
+    """``piece_edges`` of a column, array<int>. Its state resets where the data says, so it is no window or fold
+    of columns; an Arrow UDF sends the text once and gets a few numbers back."""
+    hard, soft = frozenset(primary), frozenset(secondary)
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def edges(texts: pd.Series) -> pd.Series:
+        return pd.Series([piece_edges(t, most, hard, soft, near, far, slack) if t is not None else None for t in texts])
+
+    return edges(text)
+
+
+def between(edges: Column, make) -> Column:
+    """array of ``make(start, end)`` for each two neighbours in an array of positions; ``edges`` is a column's name or cheap."""
+    starts = F.slice(edges, F.lit(1), F.greatest(F.size(edges) - 1, F.lit(0)))
+    return F.transform(starts, lambda a, i: make(a, F.element_at(edges, i + 2)))
+
+
+def split_long_lines(df: DataFrame, most: int = 20, text: str = "text") -> DataFrame:
+    """``df`` with its texts broken into lines of about ``most`` characters."""
+    lines = between(F.col("__edges"), lambda a, b: F.substring(F.col(text), a + 1, b - a))
+    wrapped = F.when(F.length(text) <= most, F.col(text)).otherwise(F.array_join(lines, "\n"))
+    return df.withColumn("__edges", cut_edges(F.col(text), most, PRIMARY_BREAKS, SECONDARY_BREAKS, near=5, far=3, slack=0)).withColumn(text, wrapped).drop("__edges")
 
 
 def expansion_values(target: float, attempts: int, least: float = 0.5) -> list[float]:

@@ -67,7 +67,7 @@ def filter_stammers(df: DataFrame, config: dict | None = None) -> DataFrame:
     made = F.when(T.is_only_repetitive_stammer(text), F.array(all_stammer).cast(PARTS)).otherwise(parts)
     # The 15 passes of the condensing run once a row, not once for each mention.
     once = df.withColumn("condensed", condense(text)).withColumn("portions", repetitive_portions(F.col("condensed")))
-    out = once.select("media_id", "seg_idx", F.posexplode(made).alias("sub_idx", "part")).select("media_id", "seg_idx", "sub_idx", "part.*")
+    out = once.select("media_id", "seg_idx", F.posexplode_outer(made).alias("sub_idx", "part")).select("media_id", "seg_idx", "sub_idx", "part.*")
     return reindex(out, "seg_idx", "sub_idx")
 
 
@@ -90,7 +90,8 @@ def recurring_words(df: DataFrame, total: int | None = 12, cluster: int | None =
         out = rows.groupBy("media_id", "token").agg(F.count("*").alias("n")).where(F.col("n") >= total).select("media_id", "token")
     if cluster is not None:
         often = rows.groupBy("media_id", "token").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") >= cluster)).select("media_id", "token")
-        ahead = Window.partitionBy("media_id", "token").orderBy("start").rangeBetween(0, window)
+        micros = F.rint(F.col("start") * 1e6).cast("long")
+        ahead = Window.partitionBy("media_id", "token").orderBy(micros).rangeBetween(0, round(window * 1e6))
         close = rows.join(often, ["media_id", "token"], "left_semi").withColumn("near", F.count("*").over(ahead)).where(F.col("near") >= cluster)
         close = close.select("media_id", "token").distinct()
         out = close if out is None else out.unionByName(close).distinct()

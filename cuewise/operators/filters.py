@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from cuewise.functions.similarity import text_similarity
 from cuewise.functions.text import normalize_text
@@ -69,7 +70,7 @@ def remove_phrases(df: DataFrame, patterns: list[str], recogniser: RecogniserFac
     return reindex(out, "seg_idx", "__n")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def _similarity_below(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([text_similarity(x, y) < SAME for x, y in zip(a, b, strict=True)], dtype="bool")
 
@@ -127,7 +128,8 @@ def revalidate(df: DataFrame, recogniser: RecogniserFactory, truth: DataFrame |
                 new.append((text, words) if text else (None, []))
             except Exception:  # the segment stays as it was, whatever the recogniser raised
                 new.append((r.text, []))
-        return rows.assign(new_text=[n[0] for n in new], new_words=[n[1] for n in new])
+        as_lists = lambda xs: pd.Series([list(x) for x in xs], index=rows.index, dtype="object")
+        return rows.assign(words=as_lists(rows["words"]), new_text=pd.Series([n[0] for n in new], index=rows.index, dtype="object"), new_words=as_lists(n[1] for n in new))
 
     if truth is not None:
         return df.groupBy("media_id").cogroup(truth.groupBy("media_id")).applyInPandas(lambda a, b: hear(a, b), schema)

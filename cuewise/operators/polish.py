@@ -57,6 +57,7 @@ def polish_segments(df: DataFrame, model: TextModelFactory, size: int = 10, llm:
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
+        rows = rows.assign(words=[list(w) for w in rows["words"]])
         try:
             own = model()
         except Exception as error:

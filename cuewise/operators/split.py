@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from cuewise.functions import text as T
 from cuewise.schema import WORDS, no_words, reindex
@@ -18,54 +18,48 @@ AHEAD = 10
 PIECES = f"array<struct<start:double,end:double,text:string,words:{WORDS}>>"
 
 
-def _has(word: Column, breaks: tuple[str, ...]) -> Column:
-    return reduce(lambda a, b: a | b, [word.contains(b) for b in breaks], F.lit(False))
-
-
-def word_cuts(words: Column, most: int, primary: tuple[str, ...], secondary: tuple[str, ...]) -> Column:
-    """Positions (from 1) of the last word of each piece but the rest.
+def word_edges(words: list[str], most: int, primary: tuple[str, ...], secondary: tuple[str, ...]) -> list[int]:
+    """Where the pieces of a list of words begin and end: 0, the cuts, the number of words.
 
     A piece ends after a word with a primary break; once it has ``most`` characters and no primary break
     is among the next AHEAD words, also after a word with a secondary break. It is never cut elsewhere.
     """
-    n = F.size(words)
-    ends = F.transform(words, lambda w: _has(w["word"], primary))
-    softs = F.transform(words, lambda w: _has(w["word"], secondary))
-
-    def step(state: Column, at: Column) -> Column:
-        length = state["length"] + F.length(words[at - 1]["word"])
-        soon = F.exists(F.slice(ends, at + 1, AHEAD), lambda e: e)
-        cut = ends[at - 1] | ((length >= most) & ~soon & softs[at - 1])
-        after = F.struct(F.concat(state["cuts"], F.array(at)).alias("cuts"), F.lit(0).alias("length"))
-        more = F.struct(state["cuts"].alias("cuts"), length.alias("length"))
-        return F.when(cut, after).otherwise(more).cast(kind)
-
-    kind = "struct<cuts:array<int>,length:int>"
-    start = F.struct(F.array().alias("cuts"), F.lit(0).alias("length")).cast(kind)
-    positions = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(positions, start, step, lambda s: s["cuts"])
-
-
-def _by_words(most: int, primary: tuple[str, ...], secondary: tuple[str, ...]) -> Column:
-    words = F.col("words")
-    edges = F.array_distinct(F.concat(F.array(F.lit(0)), word_cuts(words, most, primary, secondary), F.array(F.size(words))))
-    ends = F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 1, F.lit(0)))
-
-    def piece(end: Column, i: Column) -> Column:
-        own = F.slice(words, F.element_at(edges, i + 1) + 1, end - F.element_at(edges, i + 1))
+    ends = [any(b in w for b in primary) for w in words]
+    edges, length = [0], 0
+    for i, w in enumerate(words, 1):
+        length += len(w)
+        soft = length >= most and not any(ends[i : i + AHEAD]) and any(b in w for b in secondary)
+        if ends[i - 1] or soft:
+            edges.append(i)
+            length = 0
+    return edges if edges[-1] == len(words) else [*edges, len(words)]
+
+
+def _word_edges(most: int, primary: tuple[str, ...], secondary: tuple[str, ...]) -> Column:
+    """Only the words' texts travel to the UDF, and only positions come back."""
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def edges(words: pd.Series) -> pd.Series:
+        return pd.Series([word_edges(list(w), most, primary, secondary) for w in words])
+
+    return edges(F.transform("words", lambda w: F.coalesce(w["word"], F.lit(""))))
+
+
+def _by_words(edges: Column) -> Column:
+    def piece(a: Column, b: Column) -> Column:
+        own = F.slice("words", a + 1, b - a)
         text = F.array_join(F.transform(own, lambda w: w["word"]), "")
         return F.struct(own[0]["start"].alias("start"), F.element_at(own, -1)["end"].alias("end"), text.alias("text"), own.alias("words"))
 
-    return F.transform(ends, piece).cast(PIECES)
+    return T.between(edges, piece).cast(PIECES)
 
 
-def _by_characters(text: Column, most: int, primary: tuple[str, ...], secondary: tuple[str, ...]) -> Column:
+def _by_characters(edges: Column, text: Column) -> Column:
     """Pieces with times in proportion to their characters."""
     start, end, n = F.col("start"), F.col("end"), F.length(text)
     at = lambda k: start + (end - start) * (k / n)
-    made = T.pieces(text, T.cut_points(text, most, primary, secondary))
-    row = lambda p: F.struct(at(p["at"]).alias("start"), F.least(at(p["at"] + F.length(p["piece"])), end).alias("end"), p["piece"].alias("text"), no_words().alias("words"))
-    return F.transform(made, row).cast(PIECES)
+    row = lambda a, b: F.struct(at(a).alias("start"), F.least(at(b), end).alias("end"), F.substring(text, a + 1, b - a).alias("text"), no_words().alias("words"))
+    return T.between(edges, row).cast(PIECES)
 
 
 def split_segments(
@@ -78,12 +72,18 @@ def split_segments(
 ) -> DataFrame:
     """Segments of more than ``max_length`` trimmed characters, split by their words, or by characters if they have none.
 
-    Everything is a column expression, so the rows don't leave the JVM and only the renumbering shuffles.
+    Short segments, most of all, never leave the JVM; only the renumbering shuffles.
     """
-    text = T.strip(F.col("text"))
-    whole = F.array(F.struct(F.col("start"), F.col("end"), text.alias("text"), F.col("words"))).cast(PIECES)
-    made = F.when(F.length(text) <= max_length, whole).when(F.size("words") > 0, _by_words(max_length, primary, secondary)).otherwise(_by_characters(text, max_length, char_primary, char_secondary))
-    out = df.select("media_id", "seg_idx", F.posexplode(made).alias("sub_idx", "piece")).select("media_id", "seg_idx", "sub_idx", "piece.*")
+    rows = df.withColumn("text", T.strip(F.col("text")))
+    long, worded = F.length("text") > max_length, F.size("words") > 0
+    short = rows.where(~F.coalesce(long, F.lit(False))).select("media_id", "seg_idx", F.lit(0).alias("sub_idx"), "start", "end", "text", "words")
+    by_word = rows.where(long & worded).withColumn("edges", _word_edges(max_length, primary, secondary)).withColumn("pieces", _by_words(F.col("edges")))
+    by_char = rows.where(long & ~worded).withColumn("edges", T.cut_edges(F.col("text"), max_length, char_primary, char_secondary)).withColumn("pieces", _by_characters(F.col("edges"), F.col("text")))
+    out = short
+    for part in (by_word, by_char):
+        # Outer: else the optimizer repeats the whole expression in a filter on its size.
+        made = part.select("media_id", "seg_idx", F.posexplode_outer("pieces").alias("sub_idx", "piece"))
+        out = out.unionByName(made.select("media_id", "seg_idx", "sub_idx", "piece.*"))
     return reindex(out, "seg_idx", "sub_idx")
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
+from cuewise.functions.text import between
 from cuewise.schema import COLUMNS, WORDS, no_words
 
 #: Characters a second of the synthetic clock.
@@ -43,16 +46,15 @@ def seg_events(events: DataFrame) -> DataFrame:
 
 def with_words(df: DataFrame) -> DataFrame:
     """Segments with a word for each piece up to a space, timed by characters."""
-    n = F.greatest(F.length("text"), F.lit(1))
-    found = F.filter(F.split("text", "(?<= )"), lambda w: w != "")
-    ends = F.aggregate(found, F.array(F.lit(0)).cast("array<int>"), lambda done, w: F.concat(done, F.array(F.element_at(done, -1) + F.length(w))))
-    at: callable = lambda k: F.col("start") + (F.col("end") - F.col("start")) * (k / n)
 
-    def word(w: Column, i: Column) -> Column:
-        first = F.element_at(ends, i + 1)
-        return F.struct(w.alias("word"), at(first).alias("start"), at(first + F.length(w)).alias("end"))
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def edges(texts: pd.Series) -> pd.Series:
+        return pd.Series([[0, *[i + 1 for i, c in enumerate(t) if c == " " and i + 1 < len(t)], *([len(t)] if t else [])] for t in texts])
 
-    return df.withColumn("words", F.transform(found, word).cast(WORDS)).select(*COLUMNS)
+    n = F.greatest(F.length("text"), F.lit(1))
+    at = lambda k: F.col("start") + (F.col("end") - F.col("start")) * (k / n)
+    word = lambda a, b: F.struct(F.substring(F.col("text"), a + 1, b - a).alias("word"), at(a).alias("start"), at(b).alias("end"))
+    return df.withColumn("__edges", edges("text")).withColumn("words", between(F.col("__edges"), word).cast(WORDS)).select(*COLUMNS)
 
 
 def word_table(df: DataFrame) -> DataFrame:

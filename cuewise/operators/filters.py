@@ -77,7 +77,7 @@ def _similarity_below(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def is_suspicious(max_rate: float = 20.0) -> Column:
     """Too many characters a second, or under one a second in a text of more than five."""
-    rate = F.length("text") / (F.col("end") - F.col("start"))
+    rate = F.try_divide(F.length("text"), F.col("end") - F.col("start"))
     return (rate > max_rate) | ((rate < 1.0) & (F.length("text") > 5))
 
 
@@ -96,7 +96,7 @@ def needs_second_look(max_rate: float = 20.0) -> Column:
     """Too fast, very short for its text, or a longer text without words."""
     seconds = F.col("end") - F.col("start")
     n = F.length("text")
-    return (n / seconds > max_rate) | ((seconds < 0.3) & (n > 5)) | ((F.size("words") == 0) & (n > 10))
+    return (F.try_divide(n, seconds) > max_rate) | ((seconds < 0.3) & (n > 5)) | ((F.size("words") == 0) & (n > 10))
 
 
 def revalidate_segments(df: DataFrame, recogniser: RecogniserFactory, truth: DataFrame | None = None, max_rate: float = 20.0) -> DataFrame:

@@ -22,7 +22,11 @@ def by_position() -> Window:
 
 def as_segments(df: DataFrame) -> DataFrame:
     """``df`` with exactly the segment columns; missing words become an empty list."""
-    words = F.coalesce(F.col("words").cast(WORDS), no_words()) if "words" in df.columns else no_words()
+    words = no_words()
+    if dict(df.dtypes).get("words", "").startswith("array<struct"):
+        # By name: a cast would go by position, and readers order fields as they like.
+        by_name = F.transform("words", lambda w: F.struct(*[w[f].cast(k).alias(f) for f, k in (("word", "string"), ("start", "double"), ("end", "double"))]))
+        words = F.coalesce(by_name, words)
     kinds = {"media_id": "string", "seg_idx": "int", "start": "double", "end": "double", "text": "string"}
     return df.select(*[F.col(c).cast(k).alias(c) for c, k in kinds.items()], words.alias("words"))
 

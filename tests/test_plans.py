@@ -58,7 +58,7 @@ def test_vtt_round_trip(spark, segments, tmp_path):
 
 def test_discover_media(spark, tmp_path):
     for name in ("b.mp3", "a.wav", "c.txt"):
-        (tmp_path / name).write_bytes(b"")
+        (tmp_path / name).write_bytes(b"sound")
     assert [r["media_id"] for r in media.discover_media(spark, str(tmp_path)).collect()] == ["a", "b"]
     listed = media.media_files(spark, [str(tmp_path / "b.mp3"), str(tmp_path / "b.mp3"), str(tmp_path / "none.mp3")])
     assert [r["media_id"] for r in listed.collect()] == ["b"]

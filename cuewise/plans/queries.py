@@ -14,26 +14,23 @@ from cuewise.operators import align, cleanup, cues, filters, merge, models, poli
 from cuewise.plans import adapters
 from cuewise.plans.pipeline import Pipeline
 from cuewise.schema import reindex
+from cuewise.sources.tables import read_table, spread
 
 #: The tables hold Latin text, so the breaks and markers are Latin too.
 PRIMARY, SECONDARY, MARKERS = (".", "?", "!"), (",",), (",", "the", "and")
 PHRASES = ["(?i)all ?rights", "^[0-9]+$", "[0-9]{12,}"]
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.seg_lines(_table(spark, sf_dir, "documents"))
+    return adapters.seg_lines(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.seg_turns(_table(spark, sf_dir, "conversations"))
+    return adapters.seg_turns(read_table(spark, sf_dir, "conversations"))
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return adapters.seg_events(_table(spark, sf_dir, "events"))
+    return adapters.seg_events(read_table(spark, sf_dir, "events"))
 
 
 def _shown(df: DataFrame) -> DataFrame:

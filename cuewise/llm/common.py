@@ -14,6 +14,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cuewise.sources.tables import spread
+
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 LOWEST = -(2**63)
 
@@ -22,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, spread over all cores where the table comes in fewer partitions."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
     held = spark.conf.get("spark.checkpoint.dir", None)

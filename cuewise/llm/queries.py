@@ -8,14 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuewise.llm import decontamination, fingerprint, hmm, language_id, mixing, pii, sharding, simhash, toxicity, url_filter
-from cuewise.llm.common import table
+from cuewise.llm.common import documents, table
 
 #: The test tables have no list of URLs: the query lists those pages that it finds on these hosts.
 LISTED_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
 
 
 def op1_hmm_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hmm.score_documents(table(spark, sf_dir, "documents"))
+    return hmm.score_documents(documents(spark, sf_dir))
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,35 +25,35 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_minimax_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(table(spark, sf_dir, "documents"))
+    return sharding.shard_documents(documents(spark, sf_dir))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.score_documents(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op5_exact_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return fingerprint.fingerprint_documents(documents(spark, sf_dir))
 
 
 def op6_lsi_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontamination.find_leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+    return pii.find_personal_data(documents(spark, sf_dir))
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(table(spark, sf_dir, "documents")).drop("text_hash")
+    return mixing.mix_sources(documents(spark, sf_dir)).drop("text_hash")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify_languages(table(spark, sf_dir, "documents"))
+    return language_id.identify_languages(documents(spark, sf_dir))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -56,7 +56,7 @@ def _by_words(edges: Column) -> Column:
 
 def _by_characters(edges: Column, text: Column) -> Column:
     """Pieces with times in proportion to their characters."""
-    start, end, n = F.col("start"), F.col("end"), F.length(text)
+    start, end, n = F.col("start"), F.col("end"), F.element_at(edges, -1)  # the last edge is the text's length
     at = lambda k: start + (end - start) * (k / n)
     row = lambda a, b: F.struct(at(a).alias("start"), F.least(at(b), end).alias("end"), F.substring(text, a + 1, b - a).alias("text"), no_words().alias("words"))
     return T.between(edges, row).cast(PIECES)

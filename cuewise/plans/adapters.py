@@ -5,9 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType
 
-from cuewise.functions.text import between
 from cuewise.schema import COLUMNS, WORDS, no_words
 
 #: Characters a second of the synthetic clock.
@@ -45,16 +44,24 @@ def seg_events(events: DataFrame) -> DataFrame:
 
 
 def with_words(df: DataFrame) -> DataFrame:
-    """Segments with a word for each piece up to a space, timed by characters."""
-
-    @F.pandas_udf(ArrayType(IntegerType()))
-    def edges(texts: pd.Series) -> pd.Series:
-        return pd.Series([[0, *[i + 1 for i, c in enumerate(t) if c == " " and i + 1 < len(t)], *([len(t)] if t else [])] for t in texts])
-
-    n = F.greatest(F.length("text"), F.lit(1))
-    at = lambda k: F.col("start") + (F.col("end") - F.col("start")) * (k / n)
-    word = lambda a, b: F.struct(F.substring(F.col("text"), a + 1, b - a).alias("word"), at(a).alias("start"), at(b).alias("end"))
-    return df.withColumn("__edges", edges("text")).withColumn("words", between(F.col("__edges"), word).cast(WORDS)).select(*COLUMNS)
+    """Segments with a word for each piece up to a space, timed by characters; ``text`` is never null.
+
+    The text is cut in one pass and the times come from a UDF: a lambda that mentions the text, or a time made
+    from its length, would read it again for each word.
+    """
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def times(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
+        out = []
+        for text, start, end in zip(texts, starts, ends, strict=True):
+            places = [0, *[i + 1 for i, c in enumerate(text) if c == " " and i + 1 < len(text)], *([len(text)] if text else [])]
+            out.append([start + (end - start) * (k / max(1, len(text))) for k in places])
+        return pd.Series(out)
+
+    pieces = F.filter(F.split("text", "(?<= )"), lambda p: p != "")
+    at = F.col("__times")
+    word = lambda p, i: F.struct(p.alias("word"), F.element_at(at, i + 1).alias("start"), F.element_at(at, i + 2).alias("end"))
+    return df.withColumn("__times", times("text", "start", "end")).withColumn("words", F.transform(pieces, word).cast(WORDS)).select(*COLUMNS)
 
 
 def word_table(df: DataFrame) -> DataFrame:

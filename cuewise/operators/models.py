@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable
+from itertools import accumulate
 from typing import Any, Protocol
 
 import pandas as pd
@@ -46,11 +48,13 @@ class TableRecogniser:
         self.pause = pause
         rows = pd.DataFrame({"word": [], "start": [], "end": []}) if rows is None else rows
         self.words = sorted(zip(rows["start"], rows["end"], rows["word"], strict=True))
+        self.starts = [w[0] for w in self.words]
+        self.reach = list(accumulate((w[1] for w in self.words), max))  # the latest end up to each word
 
     def transcribe(self, media_id: str, start: float, end: float, word_timestamps: bool = True, params: dict[str, Any] | None = None) -> dict[str, Any]:
         segments: list[dict[str, Any]] = []
-        for a, b, word in self.words:
-            if a >= end or b <= start:
+        for a, b, word in self.words[bisect_right(self.reach, start) : bisect_left(self.starts, end)]:
+            if b <= start:
                 continue
             one = {"word": word, "start": max(a, start) - start, "end": min(b, end) - start}
             if not segments or one["start"] - segments[-1]["end"] > self.pause:

@@ -225,7 +225,7 @@ def _shifted(df: DataFrame) -> DataFrame:
 
 def _spoken(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Pieces of the turns, with the words that are really spoken."""
-    rows = adapters.with_words(turns(spark, sf_dir).withColumn("text", F.substring("text", 1, 160)))
+    rows = adapters.with_words(turns(spark, sf_dir))
     rows = split.split_segments(rows, 40, PRIMARY, SECONDARY)
     return _shifted(rows), adapters.word_table(rows)
 

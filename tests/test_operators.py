@@ -1,3 +1,4 @@
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -200,3 +201,33 @@ def test_neighbour_overlap(segments):
     rows = merge.neighbour_overlaps(segments((0, 1, "a"), (0.95, 2, "b"), (3, 4, "c"))).orderBy("seg_idx").collect()
     assert [(r["overlaps_prev"], r["overlaps_next"]) for r in rows] == [(False, True), (True, False), (False, False)]
     assert segments((0, 1, "a")).select(F.size("words")).first()[0] == 0
+
+
+def test_recogniser_hears_what_a_full_scan_would():
+    import random
+
+    rng = random.Random(4)
+    words = [(a := rng.randrange(300) / 10, a + rng.choice([0.0, 0.2, 1.0, 9.0]), f"w{i}") for i in range(200)]
+    ear = models.TableRecogniser(pd.DataFrame(words, columns=["start", "end", "word"]))
+    for _ in range(300):
+        start = rng.randrange(-20, 320) / 10
+        end = start + rng.randrange(0, 50) / 10
+        want = [w for a, b, w in sorted(words) if a < end and b > start]
+        assert [w["word"] for s in ear.transcribe("m", start, end)["segments"] for w in s["words"]] == want
+
+
+def test_recogniser_reads_only_what_overlaps():
+    class Counted(list):
+        def __getitem__(self, at):
+            part = super().__getitem__(at)
+            seen.append(len(part))
+            return part
+
+        def __iter__(self):
+            seen.append(len(self))
+            return super().__iter__()
+
+    seen = []
+    ear = models.TableRecogniser(pd.DataFrame({"word": ["w"] * 5000, "start": range(5000), "end": range(1, 5001)}))
+    ear.words = Counted(ear.words)
+    assert len(ear.transcribe("m", 2500.0, 2510.0)["segments"][0]["words"]) == 10 and sum(seen) == 10

@@ -117,3 +117,13 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_spoken_turns_are_whole(spark):
+    from cuewise.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    letters = lambda df: {r["media_id"]: r["n"] for r in df.groupBy("media_id").agg(F.sum(F.length(F.regexp_replace("text", r"\s", ""))).alias("n")).collect()}
+    rows, truth = queries._spoken(spark, sf)
+    want = letters(queries.turns(spark, sf))
+    assert letters(rows) == want == letters(truth.select("media_id", F.col("word").alias("text")))

@@ -105,8 +105,9 @@ def loose_matches(text: str, valid: dict[str, list[tuple[int, int]]]) -> Iterato
     """
     for kind, pattern in _LOOSE.items():
         if kind == "email":
+            # What every match holds, whichever form its dots have.
             low = text.lower()
-            if not any(s in low for s in ("(at)", "[at]", "{at}", " dot ")):
+            if not any(s in low for s in ("(at)", "[at]", "{at}", " at ")):
                 continue
         elif kind == "ip" and not any(s in text for s in ("[.]", "(.)", "[dot]")):
             continue

@@ -250,6 +250,17 @@ def test_personal_data(spark, edge_docs, no_docs):
     assert pii.find_personal_data(no_docs).count() == 0
 
 
+def test_written_out_addresses_of_every_form_are_candidates():
+    ats, dots = ("(at)", "[at]", "{at}", " at ", " AT ", " (At) "), ("(dot)", "[dot]", "{dot}", " dot ", ".", " [DOT] ", " (dot) ")
+    for at, dot in itertools.product(ats, dots):
+        text = f"mail john.smith{at}example{dot}com now"
+        assert ("email", 5, len(text) - 4) in list(pii.loose_matches(text, {})), text
+    texts = ["jane at example (dot) org", "she was at home. The end", "x" * 5000 + " at y", "a at b.cd at e.fg", "café at home.now"]
+    for text in texts:
+        plain = [m.span() for m in pii._LOOSE["email"].finditer(text)]
+        assert [(a, b) for kind, a, b in pii.loose_matches(text, {}) if kind == "email"] == plain
+
+
 def naive_simhash(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().lower())
     shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))] if words else []

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuewise.llm import decontamination, language_id, mixing, sharding, simhash
+from cuewise.llm import decontamination, language_id, mixing, near_copies, sharding
 from cuewise.llm.common import durable, table
 
 
@@ -20,8 +20,8 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays, that with the smallest doc_id."""
-    return simhash.one_of_each_group(docs)
+    """One document of each group with a five-word Jaccard similarity of 0.8 or more stays, that with the smallest doc_id."""
+    return near_copies.one_of_near_copies(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,8 +5,7 @@ frequent training words and the end token are classes of their own; other words,
 TAIL classes by a hash of their last three bytes. So transitions and emissions have a fixed size (the
 broadcast is bounded) while every word's count enters the score exactly, through a join.
 
-Training: EM starts on a 1/WARM fold of the training documents, and FULL rounds of Baum-Welch then run over
-all of them. Each partition adds up its expected counts as fixed-point integers and one aggregation by
+Training: ROUNDS rounds of Baum-Welch, each over all training documents. Each partition adds up its expected counts as fixed-point integers and one aggregation by
 class sums them, so their sum does not depend on the order of tasks. Sequences are trained in segments of
 SEGMENT tokens; scoring runs the recursion over whole documents, with memory for one state vector each.
 
@@ -36,7 +35,7 @@ from cuewise.llm.common import durable, held_out, order_key, range_bins
 STATES = 8
 TOP = 4096
 TAIL = 2048
-WARM, WARM_ROUNDS, FULL = 64, 8, 1
+ROUNDS = 9
 SEGMENT = 512
 FIXED = float(1 << 20)
 PRIOR = 50.0
@@ -223,13 +222,12 @@ def _round(model: Model, docs: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, model: Model) -> Model:
-    """EM on the warm-up fold, then over all of ``docs`` (doc_id, text)."""
-    fold = F.pmod(F.xxhash64("doc_id", F.lit("warm-up")), F.lit(WARM)) == 0
-    warm = durable(docs.where(fold).select("text"))
-    for _ in range(WARM_ROUNDS):
-        model.update(_round(model, warm))
-    for _ in range(FULL):
-        model.update(_round(model, docs))
+    """EM over all of ``docs`` (doc_id, text) in every round; without rows the model stays as it is."""
+    for _ in range(ROUNDS):
+        counts = _round(model, docs)
+        if not counts.any():
+            break
+        model.update(counts)
     return model
 
 

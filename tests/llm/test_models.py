@@ -49,6 +49,17 @@ def test_expected_counts_and_ascent():
     assert hmm.forward(m, many).sum() > before
 
 
+def test_every_round_reads_all_training_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "a b a b c d c d" if i % 2 else "d c a") for i in range(20)], "doc_id long, text string")
+    seen, own = [], hmm._round
+    monkeypatch.setattr(hmm, "_round", lambda m, rows: seen.append(rows.count()) or own(m, rows))
+    fresh = lambda: hmm.Model([b"a", b"b", b"c", b"d"], np.ones(hmm.TOP + 1 + hmm.TAIL))
+    trained = hmm.train(docs, fresh())
+    assert set(seen) == {20} and len(seen) == 9
+    assert np.ptp(trained.emit[:4], axis=1).min() > 0.001  # the states differ
+    assert (hmm.train(docs.limit(0), fresh()).emit == fresh().emit).all()
+
+
 def test_language_model_counts(spark, small):
     rows = {r["doc_id"]: r for r in hmm.score_documents(small).collect()}
     docs = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b"\n"] for r in small.collect()}

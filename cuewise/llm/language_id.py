@@ -167,8 +167,13 @@ def identify_languages(docs: DataFrame, buckets: int = 4) -> DataFrame:
 
 
 def identified_documents(docs: DataFrame, buckets: int = 4) -> DataFrame:
-    """``docs`` with all its columns, without those whose language is undetermined; no shuffle."""
+    """``docs`` with all its columns, without those whose language is undetermined; no shuffle.
+
+    Where no language could be learned, those without letters go all the same and the others stay.
+    """
     names, prototypes = learn_prototypes(docs.select("doc_id", "lang", "text").where(~held_out(buckets)))
+    if not names:
+        names, prototypes = [""], np.zeros((1, DIM), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

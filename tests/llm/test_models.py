@@ -96,6 +96,11 @@ def test_language_id(spark, small, edge_docs, no_docs):
     assert {r["doc_id"] for r in language_id.identified_documents(edge_docs).collect()} == {1, 2, None, 7, -9}
 
 
+def test_documents_stay_where_no_language_is_known(edge_docs):
+    unlabelled = edge_docs.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in language_id.identified_documents(unlabelled).collect()} == {1, 2, None, 7, -9}
+
+
 def test_hyperdimensional_bundle():
     own = language_id.letters()
     text = "Été, no"

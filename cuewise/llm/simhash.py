@@ -1,30 +1,33 @@
 """SimHash near-duplicates: fingerprints within 3 bits, found exactly with vantage-point trees.
 
-Radius 3 is small against the distances of unrelated 64-bit fingerprints (32, give or take 4), so a tree
-over all of them would visit most of its leaves for each query. Two triangle bounds share the work:
-
-* Over blocks of bits. Distances over disjoint blocks add up, so two fingerprints within 3 agree wholly
-  on at least m - 3 of m blocks. Each choice of m - 3 blocks deals the fingerprints out to shards, as
-  balls of radius 0 round the block's value; linked pairs meet in at least one shard. m grows with the
-  number of fingerprints (4, 5 or 6) and keeps the shards small.
-* Inside a shard, a vantage-point tree over whole fingerprints prunes branches with |d(q, v) - mu| > 3.
-  A shard above HOT rows is first cut in two by the median distance to a vantage point, again and again,
-  as a Spark job; the outer half's rows within mu + 3 also go to the inner half (its boundary overlap).
+Radius 3 is large against how little the distances of unrelated 64-bit fingerprints vary (32, give or take 4): a tree
+over them keeps 76 % of the rows on the inner side of a cut. So there are two trees, one a half of the bits. Two
+fingerprints within 3 bits differ in at most one bit of one of their halves, so in that half's Hamming distance
+radius 1 does, and a cut at the median keeps 6 % more than half on average.
+
+* The upper levels of a tree are grown from a bounded sample of the fingerprints (SAMPLE rows, 1/SHARE of them at
+  most) and broadcast. Every row goes down them: a row on the outer side of a cut, but within the radius of its
+  boundary, goes to both sides, all others are pruned to one by the triangle bound. The leaves are shards.
+* A shard above HOT rows is cut further, likewise, from a sample of its own. Where a half can't tell rows apart, a
+  tree goes on with the distance of the whole fingerprints and radius 3. A shard that no cut divides is compared in
+  chunks, each pair of chunks being a shard.
+* In a shard the tree is grown on, from the shard's own rows, down to LEAF rows, which are compared with each other.
 
 Documents reduce to distinct fingerprints before any of this, and a shard returns a spanning forest of
 its links instead of all pairs, so copies and near-copy groups cost no more than their members. Components
 are found by alternating star contractions over distinct fingerprints.
 
 Defined cases: text without words (null, empty, blank) has fingerprint zero and is linked like any other;
-one or two words are one shingle; a null doc_id is allowed and ranks lowest in no component: it never
-names a component that has another id; repeated rows each stay; other columns are ignored.
+one or two words are one shingle; very long texts are hashed in pieces, whole; ties between vantage points and equal
+distances fall to the inner side; a null doc_id is allowed and ranks lowest in no component: it never
+names a component that has another id; repeated rows each stay; an empty table gives an empty result; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -38,8 +41,13 @@ from cuewise.llm.common import durable
 SHINGLE = 3
 SEED = 42
 RADIUS = 3
-HOT = 20_000
+WHOLE = np.uint64(2**64 - 1)
+HALVES = (np.uint64(2**32 - 1), np.uint64(2**64 - 2**32))
+HALF_RADIUS = RADIUS // len(HALVES)
+SAMPLE, SHARE = 1 << 18, 16
+HOT = 1 << 21
 LEAF = 64
+DIVIDED = 0.95  # a cut counts if each side holds at most this share of the rows
 
 
 def fingerprint(text: bytes | None) -> int:
@@ -69,40 +77,44 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class VantageTree:
-    """A vantage-point tree over distinct uint64 fingerprints, by Hamming distance."""
-
-    def __init__(self, marks: np.ndarray) -> None:
-        self.marks = marks
-        self.root = self._grow(np.arange(len(marks)))
-
-    def _grow(self, rows: np.ndarray):
-        if len(rows) <= LEAF:
-            return rows
-        far = np.bitwise_count(self.marks[rows] ^ self.marks[rows[0]])
-        mu = int(np.median(far))
-        inner = far <= mu
-        if inner.all():
-            return rows
-        return int(rows[0]), mu, self._grow(rows[inner]), self._grow(rows[~inner])
-
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs within RADIUS, all queries going down the tree together."""
-        waiting = [(self.root, np.arange(len(self.marks)))]
+    """A vantage-point tree over uint64 fingerprints, grown from ``marks``, in which others can be looked up.
+
+    A node is (mask, radius, vantage point, mu, inner, outer): distances are those of the bits in mask. It is an
+    int, the number of a leaf, where LEAF rows or fewer are left or no metric divides them.
+    """
+
+    def __init__(self, marks: np.ndarray, half: int) -> None:
+        self.size = 0
+        self.root = self._grow(marks, ((HALVES[half], HALF_RADIUS), (WHOLE, RADIUS)))
+
+    def _grow(self, marks: np.ndarray, metrics: tuple) -> tuple | int:
+        while metrics and len(marks) > LEAF:
+            mask, radius = metrics[0]
+            vantage = marks[len(marks) // 2]
+            far = np.bitwise_count((marks ^ vantage) & mask)
+            mu = min(int(np.median(far)), int(far.max()) - 1)
+            inner = far <= mu + radius
+            outer = far > mu
+            if mu >= 0 and max(inner.sum(), outer.sum()) <= DIVIDED * len(marks):
+                return mask, radius, vantage, mu, self._grow(marks[far <= mu], metrics), self._grow(marks[outer], metrics)
+            metrics = metrics[1:]
+        self.size += 1
+        return self.size - 1
+
+    def lookup(self, marks: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, rows of ``marks``): two rows within the radius meet in one leaf at least."""
+        waiting = [(self.root, np.arange(len(marks)))]
         while waiting:
-            node, queries = waiting.pop()
-            if not len(queries):
+            node, rows = waiting.pop()
+            if not len(rows):
                 continue
-            if isinstance(node, tuple):
-                vantage, mu, inner, outer = node
-                far = np.bitwise_count(self.marks[queries] ^ self.marks[vantage]).astype(np.int16)
-                waiting.append((inner, queries[far <= mu + RADIUS]))
-                waiting.append((outer, queries[far > mu - RADIUS]))
+            if isinstance(node, int):
+                yield node, rows
                 continue
-            step = max(1, (1 << 21) // len(node))
-            for i in range(0, len(queries), step):
-                part = queries[i : i + step]
-                a, b = np.nonzero(np.bitwise_count(self.marks[part][:, None] ^ self.marks[node][None, :]) <= RADIUS)
-                yield part[a], node[b]
+            mask, radius, vantage, mu, inner, outer = node
+            far = np.bitwise_count((marks[rows] ^ vantage) & mask)
+            waiting.append((inner, rows[far <= mu + radius]))
+            waiting.append((outer, rows[far > mu]))
 
 
 def forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[int, int]]:
@@ -122,91 +134,105 @@ def forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[i
     return out
 
 
-def tree_links(marks: np.ndarray) -> list[tuple[int, int]]:
-    """A forest of links that spans the same components as all pairs of ``marks`` (int64) within RADIUS."""
+def tree_links(marks: np.ndarray, half: int) -> list[tuple[int, int]]:
+    """A forest of links (int64) that spans the same components as the pairs of ``marks`` (uint64) that meet in ``half``'s tree."""
     parent: dict[int, int] = {}
     out = []
-    for a, b in VantageTree(marks.view(np.uint64)).pairs():
-        once = a < b
-        out += forest(marks[a[once]], marks[b[once]], parent)
+    signed = marks.view(np.int64)
+    for _, rows in VantageTree(marks, half).lookup(marks):
+        step = max(1, (1 << 21) // len(rows))
+        for i in range(0, len(rows), step):
+            part = rows[i : i + step]
+            a, b = np.nonzero(np.bitwise_count(marks[part][:, None] ^ marks[rows][None, :]) <= RADIUS)
+            once = part[a] < rows[b]
+            out += forest(signed[part[a[once]]], signed[rows[b[once]]], parent)
     return out
 
 
-def leaf_links(keys: np.ndarray, marks: np.ndarray) -> list[tuple[int, int]]:
-    """The same for many shards of a leaf's size at once; rows are in order of shard."""
-    found = []
-    for step in range(1, LEAF):
-        same = np.flatnonzero(keys[step:] == keys[:-step])
-        if not len(same):
-            break
-        near = same[np.bitwise_count(marks[same].view(np.uint64) ^ marks[same + step].view(np.uint64)) <= RADIUS]
-        found += forest(marks[near], marks[near + step], {})
-    return forest(*np.array(found, np.int64).reshape(-1, 2).T, {})
-
-
 def _shard_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Partitions in order of shard, to links that span each shard's components."""
 
-    def links(keys: np.ndarray, marks: np.ndarray) -> pd.DataFrame:
-        edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        sizes = np.diff(edges)
-        small = np.repeat(sizes <= LEAF, sizes)
-        out = leaf_links(keys[small], marks[small])
-        for i in np.flatnonzero(sizes > LEAF):
-            out += tree_links(np.unique(marks[edges[i] : edges[i + 1]]))
+    def links(keys: np.ndarray, halves: np.ndarray, marks: np.ndarray) -> pd.DataFrame:
+        edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+        out = [link for a, b in zip(edges, edges[1:], strict=False) for link in tree_links(np.unique(marks[a:b].view(np.uint64)), int(halves[a]))]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    keys, marks = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held = [np.zeros(0, np.int64)] * 3
     for batch in batches:
-        keys, marks = np.concatenate([keys, batch["key"].to_numpy(np.int64)]), np.concatenate([marks, batch["fp"].to_numpy(np.int64)])
-        cuts = np.flatnonzero(keys[1:] != keys[:-1])
-        if len(cuts) and len(keys) >= 1 << 16:
+        held = [np.concatenate([x, batch[c].to_numpy(np.int64)]) for x, c in zip(held, ("key", "half", "fp"), strict=True)]
+        cuts = np.flatnonzero(held[0][1:] != held[0][:-1])
+        if len(cuts) and len(held[0]) >= 1 << 16:
             whole = cuts[-1] + 1
-            yield links(keys[:whole], marks[:whole])
-            keys, marks = keys[whole:], marks[whole:]
-    if len(keys):
-        yield links(keys, marks)
-
-
-def block_keys(blocks: int) -> list[tuple[int, int]]:
-    """(number of the choice, mask) for each choice of blocks - RADIUS of ``blocks`` nearly equal blocks of bits."""
-    edges = [round(64 * i / blocks) for i in range(blocks + 1)]
-    masks = [((1 << (b - a)) - 1) << a for a, b in zip(edges, edges[1:], strict=False)]
-    masks = [sum(c) for c in combinations(masks, blocks - RADIUS)]
-    return [(i, m - (1 << 64) if m >> 63 else m) for i, m in enumerate(masks)]
-
-
-def split_hot(rows: DataFrame, hot: int = HOT) -> DataFrame:
-    """(key, fp) with every shard above ``hot`` rows cut by vantage points until none is or none can be."""
-    calm: list[DataFrame] = []
-    for level in range(24):
-        sizes = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("fp", F.lit(level)).alias("h"), "fp"))["fp"].alias("v")).where(F.col("n") > hot)
-        if not sizes.take(1):
-            break
-        sizes = durable(sizes)
-        calm.append(rows.join(sizes, "key", "left_anti").select("key", "fp"))
-        far = rows.join(sizes, "key").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))))
-        # The median distance from at most 65 counts a shard.
-        counts = far.groupBy("key", "d").agg(F.count("*").alias("c"))
-        upto = F.sum("c").over(Window.partitionBy("key").orderBy("d"))
-        every = F.sum("c").over(Window.partitionBy("key"))
-        mus = counts.withColumn("u", upto).withColumn("e", every).where("2 * u >= e").groupBy("key").agg(F.min("d").alias("mu"), F.max("e").alias("e"))
-        far = far.join(mus, "key")
-        inner = far.where(F.col("d") <= F.col("mu") + RADIUS).select(F.xxhash64("key", F.lit(2 * level)).alias("key"), "fp")
-        outer = far.where(F.col("d") > F.col("mu")).select(F.xxhash64("key", F.lit(2 * level + 1)).alias("key"), "fp")
-        rows = durable(inner.unionByName(outer))
-    return reduce(DataFrame.unionByName, calm, rows)
+            yield links(*[x[:whole] for x in held])
+            held = [x[whole:] for x in held]
+    if len(held[0]):
+        yield links(*held)
+
+
+ROWS = "half int, key long, fp long"
+
+
+def _look_up(shared) -> callable:
+    """(half, key, fp) to the same in the leaves of each key's tree, which are numbered from the tree's first one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            half, key, marks = (batch.column(c).to_numpy() for c in ("half", "key", "fp"))
+            for own in np.unique(key).tolist():
+                here = np.flatnonzero(key == own)
+                tree, first = shared.value[own]
+                found = list(tree.lookup(marks[here].view(np.uint64)))
+                rows = here[np.concatenate([r for _, r in found])]
+                leaves = np.repeat([first + leaf for leaf, _ in found], [len(r) for _, r in found])
+                yield pa.RecordBatch.from_arrays([pa.array(half[rows], pa.int32()), pa.array(leaves, pa.int64()), pa.array(marks[rows], pa.int64())], ["half", "key", "fp"])
+
+    return run
+
+
+def in_chunks(rows: DataFrame, counts: DataFrame, hot: int) -> DataFrame:
+    """Shards that no cut divides: each row in as many pairs of chunks as there are chunks of ``hot`` rows."""
+    own = rows.join(F.broadcast(counts), "key").withColumn("k", F.ceil(F.col("n") / hot).cast("int"))
+    chunk = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
+    other = own.withColumn("c", chunk).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    # A negative key is no leaf's; two of them that are equal by chance only share a task.
+    return other.select("half", (-F.abs(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")) / 2).cast("long") - 1).alias("key"), "fp")
+
+
+def deal(marks: DataFrame, hot: int | None = None) -> DataFrame:
+    """(half, key, fp): each fingerprint in the shards, numbered by key, that the trees of both halves send it to."""
+    hot = hot or HOT
+    spark = marks.sparkSession
+    rows = marks.select(F.explode(F.array(*[F.lit(h) for h in range(len(HALVES))])).alias("half"), "fp").select("half", F.col("half").cast("long").alias("key"), "fp")
+    # What reaches the driver and the executors: SAMPLE fingerprints and fewer leaves than that.
+    waiting = {h: h for h in range(len(HALVES))}
+    total, first, turn, calm = marks.count() * len(HALVES), len(HALVES), 0, []
+    while waiting:
+        share = max(SHARE, -(-total // SAMPLE))
+        taken = rows.where(F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(share)) == 0).toPandas()
+        trees = {}
+        for key, half in waiting.items():
+            own = np.sort(taken["fp"].to_numpy(np.int64)[taken["key"].to_numpy() == key])
+            tree = VantageTree(np.random.default_rng(turn).permutation(own).view(np.uint64), half)
+            trees[key] = tree, first
+            first += tree.size
+        rows = durable(rows.mapInArrow(_look_up(spark.sparkContext.broadcast(trees)), ROWS))
+        counts = rows.groupBy("key", "half").agg(F.count("*").alias("n")).where(F.col("n") > hot).toPandas()
+        single = {n for tree, n in trees.values() if tree.size == 1}
+        waiting = {int(k): int(h) for k, h in zip(counts["key"], counts["half"], strict=True) if k not in single}
+        stuck = [(int(k), int(n)) for k, n in zip(counts["key"], counts["n"], strict=True) if k in single]
+        of = lambda found: F.broadcast(spark.createDataFrame(found, "key long, n long"))
+        if stuck:
+            calm.append(in_chunks(rows, of(stuck), hot))
+        calm.append(rows.join(of([(int(k), 0) for k in counts["key"]]), "key", "left_anti").select("half", "key", "fp"))
+        rows = rows.join(of([(k, 0) for k in waiting]), "key", "left_semi").select("half", "key", "fp")
+        total, turn = int(counts["n"].sum()), turn + 1
+    return reduce(DataFrame.unionByName, calm)
 
 
 def fingerprint_links(marks: DataFrame) -> DataFrame:
     """(a, b), long: links that span the components of the distinct fingerprints ``fp``."""
-    n = marks.count()
-    blocks = 4 if n <= 1 << 23 else 5 if n <= 1 << 31 else 6
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m).cast("long"))) for i, m in block_keys(blocks)])
-    rows = marks.select("fp", F.explode(keys).alias("key"))
-    rows = split_hot(rows)
-    ordered = rows.repartition("key").sortWithinPartitions("key")
-    return ordered.select("key", "fp").mapInPandas(_shard_links, "a long, b long")
+    shards = deal(marks.select("fp")).repartition("key").sortWithinPartitions("key")
+    return shards.select("half", "key", "fp").mapInPandas(_shard_links, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -323,12 +323,13 @@ def chained_marks(n=400):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [10**9, 30])
-def test_links_and_hot_shards(spark, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "sample", "leaf"), [(1 << 21, 1 << 18, 64), (100, 600, 4), (100, 1, 10**9)])
+def test_links_and_hot_shards(spark, monkeypatch, hot, sample, leaf):
+    """With the registered bounds, with shards that are cut again, and with shards that no cut divides."""
     monkeypatch.setattr(simhash, "HOT", hot)
-    monkeypatch.setattr(simhash.split_hot, "__defaults__", (hot,))
-    monkeypatch.setattr(simhash, "block_keys", lambda blocks: [(0, 0)] if hot == 30 else [(i, m - (1 << 64) if m >> 63 else m) for i, m in enumerate(0xFFFF << 16 * k for k in range(4))])
-    marks = chained_marks()
+    monkeypatch.setattr(simhash, "SAMPLE", sample)
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    marks = chained_marks(800)
     signed = [m - (1 << 64) if m >> 63 else m for m in marks]
     links = simhash.fingerprint_links(spark.createDataFrame([(m,) for m in signed], "fp long"))
     roots = {r["node"]: r["root"] for r in simhash.components(links).collect()}
@@ -336,6 +337,40 @@ def test_links_and_hot_shards(spark, monkeypatch, hot):
     assert {m: roots.get(m, m) for m in signed} == want
 
 
+def depth(node):
+    return 0 if isinstance(node, int) else 1 + max(depth(node[4]), depth(node[5]))
+
+
+def test_trees_cut_prune_and_copy_the_boundary(spark, small):
+    """What the registered query does with the fingerprints of its documents, at its own parameters."""
+    marks = np.unique(np.array([naive_simhash(r["text"] or "") for r in small.collect()], np.uint64))
+    for half in (0, 1):
+        tree = simhash.VantageTree(marks, half)
+        leaves = list(tree.lookup(marks))
+        assert depth(tree.root) >= 2 and tree.size >= 3
+        copies = sum(len(rows) for _, rows in leaves)
+        assert len(marks) < copies < 2 * len(marks)  # rows of the boundary are in two leaves
+        assert sum(len(rows) ** 2 for _, rows in leaves) < len(marks) ** 2 / 2  # the bound prunes the rest
+        mask, radius, vantage, mu, _, _ = tree.root
+        far = np.bitwise_count((marks ^ vantage) & mask)
+        assert mask == simhash.HALVES[half] and ((far > mu) & (far <= mu + radius)).any()
+    big = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").mapInArrow(simhash._fingerprints, "doc_id long, fp long").select("fp").distinct()
+    dealt = simhash.deal(big).groupBy("half").agg(F.countDistinct("key").alias("shards"), F.count("*").alias("n")).collect()
+    assert len(dealt) == 2 and all(r["n"] >= big.count() for r in dealt)
+
+
+def test_a_tight_cloud_of_fingerprints_is_divided():
+    """Variants of one text, a few bits apart, don't all end in one leaf, and no link is lost."""
+    rng = random.Random(4)
+    base = rng.getrandbits(64)
+    cloud = np.unique(np.array([base ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 9))) for _ in range(4000)], np.uint64))
+    tree = simhash.VantageTree(cloud, 0)
+    leaves = [rows for _, rows in tree.lookup(cloud)]
+    met = {tuple(sorted(p)) for half in (0, 1) for _, rows in simhash.VantageTree(cloud, half).lookup(cloud) for i, a in enumerate(rows.tolist()) for p in [(a, b) for b in rows[i + 1 :].tolist()] if (int(cloud[p[0]]) ^ int(cloud[p[1]])).bit_count() <= 3}
+    every = {(i, int(j)) for i in range(len(cloud)) for j in np.flatnonzero(np.bitwise_count(cloud ^ cloud[i]) <= 3) if j > i}
+    assert max(map(len, leaves)) < 0.6 * len(cloud) and met == every
+
+
 def test_near_duplicate_edges(edge_docs, no_docs):
     rows = simhash.near_duplicates(edge_docs).collect()
     by_id = {r["doc_id"]: r for r in rows}

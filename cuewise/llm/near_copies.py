@@ -1,18 +1,26 @@
 """One document of each group of near copies: word shingles with a Jaccard similarity of SIMILAR or more, exactly.
 
-Candidates come from prefixes. Where all shingles stand in one global order, two sets with a similarity of t or
-more share one of the first n - ceil(t n) + 1 shingles of each, n being the set's own size. So only texts that
-share a shingle there are compared, and none is missed. The order is that of the shingles' hashes; shingles in the
-prefixes of more than HOT texts come last, so that a common line makes no candidates of texts it is a small part of.
-
-Texts reduce to distinct sequences of words first. Those that share a prefix shingle are first compared with a few
-leaders of theirs, which joins large groups of near copies by as many comparisons as they have members; then only
-pairs from different components are compared. A wide fingerprint (the parities of the shingles on BITS bits) rules
-out pairs that differ too much, again without a miss; the others are compared by their whole sets. Components are closed over links, as in
-``simhash``.
+Operator 10 with the parameters of a corpus: shingles of five words. Texts reduce to distinct sequences of words first.
+
+1. The SimHash fingerprints of the shingles are searched by operator 10's vantage-point trees; the links found are
+   checked by the parities and the whole sets, and those that hold join their texts.
+2. At a similarity of 0.8 two fingerprints may well differ in ten bits, where trees prune nothing, so step 1 alone
+   loses links. An exact bound finds the rest: where all shingles stand in one global order, two sets with a
+   similarity of t or more share one of the first n - ceil(t n) + 1 shingles of each, n being the set's own size. So
+   only texts that share a shingle there are compared, and only with texts that nothing has joined them to. The order
+   is that of the shingles' hashes; those on a spot of a bitmap of SPOTS bits that a shingle in the prefixes of more than
+   HOT texts has marked come last, so that a common line makes no candidates of texts it is a small part of. Any
+   order is exact; a bitmap that fills up only makes more candidates.
+
+Those that share a prefix shingle are first compared with a few leaders of theirs, which joins large groups of near
+copies by as many comparisons as they have members; then only pairs from different components are compared. A wide
+fingerprint (the parities of the shingles on BITS bits) rules out pairs that differ too much, again without a miss; the
+others are compared by their whole sets. Components are closed over links, as in ``simhash``.
 
 Defined cases: texts without words (null, empty, blank) are copies of each other; texts of fewer than SHINGLE words
-are one shingle; shingles and sequences of words count as equal where their 64-bit hashes are.
+are one shingle; very long texts have all their shingles; shingles and sequences of words count as equal where their
+64-bit hashes are; of rows with equal doc_id and text any one, of others with equal doc_id the one with the smaller hash
+counts as first; an empty table gives an empty result; other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,13 +35,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.llm.common import durable
-from cuewise.llm.simhash import components
+from cuewise.llm.simhash import components, fingerprint_links
 
 SHINGLE = 5
 SIMILAR = (4, 5)  # a fraction, so that bounds are exact
 HOT = 20
 LEADERS = 3
 BITS = 512
+SPOTS = 1 << 24  # bits of the bitmaps that reach the driver and the executors
+KNOWN = 1_000_000  # words that a worker remembers
 
 
 def word_hash(text: bytes | None) -> int:
@@ -41,26 +51,74 @@ def word_hash(text: bytes | None) -> int:
     return own - (1 << 64) if own >> 63 else own
 
 
+class WordHashes(dict):
+    """Word bytes to their hash; fills itself up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        found = xxhash.xxh3_64_intdigest(word)
+        if len(self) < KNOWN:
+            self[word] = found
+        return found
+
+
+_hashes = WordHashes()
+
+
 def shingles(text: bytes | None) -> tuple[int, np.ndarray]:
     """The hash of the text's words, and the hashes of its distinct shingles in rising order; both int64."""
     words = (text or b"").lower().split()
-    joined = b" ".join(words)
-    own = np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64).view(np.int64)[0]
+    own = xxhash.xxh3_64_intdigest(b" ".join(words))
+    own -= (own >> 63) << 64
     if not words:
-        return int(own), np.zeros(0, np.int64)
-    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+        return own, np.zeros(0, np.int64)
+    single = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - SHINGLE + 1)
-    starts = np.concatenate([[0], ends[:-1] + 1])[:n].tolist()
-    stops = ends[min(SHINGLE, len(words)) - 1 :].tolist()
-    digest = xxhash.xxh3_64_intdigest
-    return int(own), np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, stops, strict=True)), np.uint64, n).view(np.int64))
+    mixed = np.zeros(n, np.uint64)
+    for i in range(min(SHINGLE, len(words))):
+        mixed = (mixed ^ single[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return own, np.unique(mixed.view(np.int64))
+
+
+def simhash_of(found: np.ndarray) -> int:
+    """The 64-bit SimHash of distinct shingles, int64."""
+    ones = np.zeros(64, np.int64)
+    for i in range(0, len(found), 1 << 16):
+        part = np.ascontiguousarray(found[i : i + (1 << 16)])
+        ones += np.unpackbits(part.view(np.uint8).reshape(len(part), 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(found), bitorder="little").view(np.int64)[0])
+
+
+class Spots:
+    """A bitmap of SPOTS bits, by the low bits of a hash."""
 
+    def __init__(self, words: list[tuple[int, int]]) -> None:
+        self.bits = np.zeros(SPOTS >> 6, np.int64)
+        for at, bits in words:
+            self.bits[at] = bits
 
-def prefix(found: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The shingles of which two similar sets share one; ``hot`` (rising) ones come last."""
+    def __contains__(self, value: int) -> bool:
+        at = value & (SPOTS - 1)
+        return bool(int(self.bits[at >> 6]) >> (at & 63) & 1)
+
+    def of(self, values: np.ndarray) -> np.ndarray:
+        at = values & (SPOTS - 1)
+        return (self.bits[at >> 6] >> (at & 63)) & 1 == 1
+
+
+def spots(keys: DataFrame, key: str) -> Spots:
+    """The bitmap of a column of hashes; SPOTS / 64 rows at most reach the driver."""
+    at = F.col(key).bitwiseAND(F.lit(SPOTS - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    found = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
+    return Spots(list(zip(found["at"].tolist(), found["bits"].tolist(), strict=True)))
+
+
+def prefix(found: np.ndarray, hot: Spots | None) -> np.ndarray:
+    """The shingles of which two similar sets share one; those on ``hot`` spots come last."""
     n = len(found)
-    if len(hot):
-        late = hot[np.minimum(np.searchsorted(hot, found), len(hot) - 1)] == found
+    if hot is not None and n:
+        late = hot.of(found)
         found = np.concatenate([found[~late], found[late]])
     return found[: n - -(-SIMILAR[0] * n // SIMILAR[1]) + 1] if n else found
 
@@ -71,15 +129,19 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _marks(hot: np.ndarray) -> callable:
-    """(h1, h2, text) to (h1, h2, id, n, keys, b0...): keys are the prefix, b0... the parities."""
+def _marks(shared) -> callable:
+    """(h1, h2, text) to (h1, h2, id, n, fp, keys, b0...): fp is the SimHash, keys the prefix, b0... the parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hot = shared.value if shared else None
         for batch in batches:
-            rows = [shingles(t.as_py()) for t in batch.column("text").cast(pa.binary())]
-            bits = np.array([parities(found) for _, found in rows], np.int64).reshape(-1, BITS // 64)
-            first = [pa.array([own for own, _ in rows], pa.int64()), pa.array([len(found) for _, found in rows], pa.int32()), _lists([prefix(found, hot) for _, found in rows])]
-            yield pa.RecordBatch.from_arrays([batch.column("h1"), batch.column("h2"), *first, *[pa.array(b) for b in bits.T]], ["h1", "h2", "id", "n", "keys", *PARITIES])
+            for i in range(0, batch.num_rows, 1024):
+                part = batch.slice(i, 1024)
+                rows = [shingles(t.as_py()) for t in part.column("text").cast(pa.binary())]
+                bits = np.array([parities(found) for _, found in rows], np.int64).reshape(-1, BITS // 64)
+                first = [pa.array([own for own, _ in rows], pa.int64()), pa.array([len(found) for _, found in rows], pa.int32()), pa.array([simhash_of(found) for _, found in rows], pa.int64())]
+                keys = _lists([prefix(found, hot) for _, found in rows])
+                yield pa.RecordBatch.from_arrays([part.column("h1"), part.column("h2"), *first, keys, *[pa.array(b) for b in bits.T]], ["h1", "h2", "id", "n", "fp", "keys", *PARITIES])
 
     return run
 
@@ -90,10 +152,10 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
 
 
 def _sets(shared) -> callable:
-    """(text) to (id, keys): the whole sets of the texts whose ids are asked for."""
+    """(text) to (id, keys): the whole sets of the texts whose ids are on the spots asked for, others by chance."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = set(shared.value.tolist())
+        wanted = shared.value
         for batch in batches:
             texts = [t for x in batch.column("text").cast(pa.binary()) if word_hash(t := x.as_py()) in wanted]
             rows = [shingles(t) for t in texts]
@@ -103,7 +165,7 @@ def _sets(shared) -> callable:
 
 
 PARITIES = [f"b{i}" for i in range(BITS // 64)]
-MARKS = "h1 long, h2 long, id long, n int, keys array<long>, " + ", ".join(f"{b} long" for b in PARITIES)
+MARKS = "h1 long, h2 long, id long, n int, fp long, keys array<long>, " + ", ".join(f"{b} long" for b in PARITIES)
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -112,11 +174,12 @@ def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFra
     apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in PARITIES), F.lit(0))
     most = (F.col("n_a") + F.col("n_b")) * (SIMILAR[1] - SIMILAR[0])
     pairs = durable(pairs.join(mark("a"), "a").join(mark("b"), "b").where(apart * (SIMILAR[0] + SIMILAR[1]) <= most).select("a", "b"))
-    # Eight bytes for each text that may have a near copy reach the driver and the executors.
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().toPandas()["id"].to_numpy(np.int64)
-    if not len(ids):
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    if not ids.take(1):
         return pairs
-    sets = durable(rows.select("text").mapInArrow(_sets(rows.sparkSession.sparkContext.broadcast(ids)), "id long, keys array<long>").dropDuplicates(["id"]))
+    asked = rows.sparkSession.sparkContext.broadcast(spots(ids, "id"))
+    sets = rows.select("text").mapInArrow(_sets(asked), "id long, keys array<long>")
+    sets = durable(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     of = lambda x: sets.select(F.col("id").alias(x), F.col("keys").alias(f"keys_{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
@@ -134,28 +197,45 @@ def _repeated(distinct: DataFrame) -> DataFrame:
     return durable(distinct.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
 
 
+def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): pairs of texts that the SimHash trees link: those of one fingerprint, and of linked ones."""
+    marks = durable(distinct.groupBy("fp").agg(F.min("id").alias("first")))
+    same = distinct.join(marks, "fp").where(F.col("id") != F.col("first")).select(F.col("first").alias("a"), F.col("id").alias("b"))
+    of = lambda x: marks.select(F.col("fp").alias(f"fp_{x}"), F.col("first").alias(x))
+    links = fingerprint_links(marks.select("fp")).toDF("fp_a", "fp_b").distinct()
+    near = links.join(of("a"), "fp_a").join(of("b"), "fp_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return same.unionByName(near)
+
+
 def similar_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b): links that span the components of the ``distinct`` marks, whose texts are in ``rows``."""
+    links = _verified(fingerprint_pairs(distinct), rows, distinct)
     keys = _repeated(distinct)
-    hot = np.array(sorted(r["key"] for r in keys.where(F.col("c") > HOT).select("key").collect()), np.int64)
-    if len(hot):
-        distinct = durable(rows.mapInArrow(_marks(hot), MARKS).dropDuplicates(["id"]))
+    hot = keys.where(F.col("c") > HOT).select("key")
+    if hot.take(1):
+        shared = rows.sparkSession.sparkContext.broadcast(spots(hot, "key"))
+        distinct = durable(rows.mapInArrow(_marks(shared), MARKS).dropDuplicates(["id"]))
         keys = _repeated(distinct)
     met = durable(distinct.select("id", "n", F.explode("keys").alias("key")).join(keys, "key").select("key", "id", "n"))
-    group = met.withColumn("root", F.col("id"))
+    group = _rooted(met, links)
     leaders = []
     for turn in range(LEADERS):
         order = F.xxhash64("id", F.lit(turn))
         leaders.append(group.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("l")).select("key", "l.id", "l.n", "l.root"))
-    links = _verified(_pairs(group, reduce(DataFrame.unionByName, leaders)), rows, distinct)
-    roots = durable(components(links)).withColumnRenamed("node", "id")
-    group = durable(met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+    links = durable(links.unionByName(_verified(_pairs(group, reduce(DataFrame.unionByName, leaders)), rows, distinct)))
+    group = _rooted(met, links)
     # What is left: of two members in different components, one at least is outside the first leader's.
     main = group.groupBy("key").agg(F.min_by("root", F.xxhash64("id", F.lit(0))).alias("main"))
     outside = group.join(main, "key").where("root != main").drop("main")
     return links.unionByName(_verified(_pairs(outside, group), rows, distinct))
 
 
+def _rooted(met: DataFrame, links: DataFrame) -> DataFrame:
+    """``met`` (key, id, n) with the ``root`` of each id's component over ``links``."""
+    roots = components(links).withColumnRenamed("node", "id")
+    return durable(met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
+
+
 def one_of_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns: of each component one row stays, that with the smallest doc_id, nulls last.
 
@@ -164,7 +244,7 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     number = F.col("doc_id").cast("long")
     keyed = docs.withColumns({"__h1": F.xxhash64(number, "text"), "__h2": F.xxhash64(F.lit(1), "text", number)})
     rows = keyed.select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), "text")
-    marks = durable(rows.mapInArrow(_marks(np.zeros(0, np.int64)), MARKS))
+    marks = durable(rows.mapInArrow(_marks(None), MARKS))
     roots = components(similar_links(rows, durable(marks.dropDuplicates(["id"])))).withColumnRenamed("node", "id")
     named = keyed.select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), number.alias("doc_id")).distinct()
     grouped = marks.select("h1", "h2", "id").distinct().join(named, ["h1", "h2"]).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))

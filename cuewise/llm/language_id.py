@@ -1,20 +1,23 @@
 """Language ID with hyperdimensional profiles.
 
-Every letter has a random bipolar vector of DIM components. A letter n-gram (n = 3) is bound as
-rot2(first) * rot1(second) * third; a text is the bundle (sum) of its n-grams' vectors and a language's
-prototype is the bundle of its training texts. A text takes the language whose prototype has the largest
-cosine with it, which is its score (0 at least).
-
-Letters are lower-cased; every run of other characters is one boundary symbol, bound like a letter.
-Letters share SYMBOLS vectors: a to z have their own, others a hashed one, so there are SYMBOLS**3
-n-grams at most and a worker's tables are bounded. A batch of texts becomes a matrix of n-gram counts
-times a matrix of n-gram vectors. Training sums n-gram vectors by language in each task and then by
-(language, component); only prototypes reach the driver, DIM numbers a language.
-
-Defined cases: null text, or one without a letter: ``und`` with score 0; a text of fewer than three
-symbols is padded by its boundaries; rows with null lang or null text don't train; a null doc_id hashes
-as the empty text; ties go to the first language by code point; with no training rows all is ``und``;
-repeated rows each count; an empty table gives an empty result; other columns are ignored.
+Every letter has a random bipolar vector of DIM components, made from its code point and SEED alone. A letter
+n-gram (n = 3) is bound as rot2(first) * rot1(second) * third; a text is the bundle (sum) of its n-grams' vectors and a
+language's prototype is the bundle of its training texts. A text takes the language whose prototype has the
+largest cosine with it, which is its score (0 at least).
+
+Letters are lower-cased; every run of other characters is one boundary symbol, bound like a letter. A batch of texts
+becomes a matrix of n-gram counts times a matrix of n-gram vectors. Training sums n-gram vectors by language in each
+task and then by (language, component); only prototypes reach the driver, DIM numbers a language.
+
+Rejection: unrelated vectors have cosines of 0, give or take 1 / sqrt(DIM). ``identified_documents`` drops texts
+whose best cosine is below REJECT, three such deviations: their n-grams are none of any learned language's. A text
+of fewer than EVIDENCE different n-grams says too little to be rejected for that.
+
+Defined cases: null text, or one without a letter: ``und`` with score 0, and rejected; a text of fewer than three
+symbols is padded by its boundaries; very long texts are bundled whole; rows with null lang or null text don't train; a
+null doc_id hashes as the empty text; ties go to the first language by code point; with no training rows all is ``und``,
+and only what has no letter is rejected; repeated rows each count; an empty table gives an empty result; other
+columns are ignored, and pass through ``identified_documents``.
 """
 
 from __future__ import annotations
@@ -29,71 +32,102 @@ from pyspark.sql import functions as F
 from cuewise.llm.common import held_out
 
 DIM = 512
-SYMBOLS = 128
 SEED = 11
+REJECT = 3 / DIM**0.5
+EVIDENCE = 32
 BATCH_ROWS, BATCH_CHARS = 256, 1 << 20
+BOUNDARY = 0
+TABLE = 1 << 22  # n-grams that are counted in a table; more are sorted
 UNKNOWN = "und"
-OPEN_LANGUAGES = 8  # that a task counts at once
-
-
-class Letters:
-    """Tables from code points to symbols (0: boundary) and from symbols to the three rotated vectors."""
-
-    def __init__(self) -> None:
-        rng = np.random.default_rng(SEED)
-        own = rng.choice(np.array([-1, 1], np.int8), size=(SYMBOLS, DIM))
-        self.rotated = [np.roll(own, 2, axis=1), np.roll(own, 1, axis=1), own]
-        self.symbol = np.zeros(0x110000, np.uint8)
-        for cp in range(0x110000):
-            c = chr(cp)
-            if c.isalpha():
-                low = ord(c.lower()[0])
-                self.symbol[cp] = low - 96 if 97 <= low <= 122 else 27 + low * 2654435761 % 2**32 % (SYMBOLS - 27)
-
-    def grams(self, text: str) -> np.ndarray:
-        """The n-gram codes of a text; none if it has no letter."""
-        s = self.symbol[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)].astype(np.int32)
-        if not s.any():
-            return np.zeros(0, np.int32)
-        s = np.concatenate([[0], s, [0]])
-        s = s[np.concatenate([[True], (s[1:] != 0) | (s[:-1] != 0)])]
-        return (s[:-2] * SYMBOLS + s[1:-1]) * SYMBOLS + s[2:]
-
-    def vectors(self, codes: np.ndarray) -> np.ndarray:
-        first, second, third = codes // SYMBOLS**2, codes // SYMBOLS % SYMBOLS, codes % SYMBOLS
-        return (self.rotated[0][first] * self.rotated[1][second] * self.rotated[2][third]).astype(np.float32)
-
-
-_letters: Letters | None = None
-
-
-def letters() -> Letters:
-    """One per worker process."""
-    global _letters
-    if _letters is None:
-        _letters = Letters()
-    return _letters
-
-
-def bundles(own: Letters, grams: list[np.ndarray]) -> np.ndarray:
-    """The bundled vector of each list of n-grams."""
-    flat = np.concatenate(grams) if grams else np.zeros(0, np.int32)
-    if not len(flat):
-        return np.zeros((len(grams), DIM), np.float32)
-    mark = np.zeros(SYMBOLS**3, bool)
-    mark[flat] = True
-    codes = np.flatnonzero(mark)
-    at = np.empty(SYMBOLS**3, np.int32)
-    at[codes] = np.arange(len(codes))
-    row = np.repeat(np.arange(len(grams), dtype=np.int64), [len(g) for g in grams])
-    counts = np.bincount(row * len(codes) + at[flat], minlength=len(grams) * len(codes)).reshape(len(grams), len(codes))
-    return counts.astype(np.float32) @ own.vectors(codes)
-
-
-def _groups(texts: list[str | None], own: Letters) -> Iterator[list[np.ndarray]]:
+
+
+def letter_vectors(points: np.ndarray) -> np.ndarray:
+    """A bipolar vector (int8) for each code point: the bits of a mixed counter that starts at the code point."""
+    x = (points.astype(np.uint64)[:, None] * np.uint64(DIM // 64) + np.arange(DIM // 64, dtype=np.uint64) + np.uint64(SEED << 32)) * np.uint64(0x9E3779B97F4A7C15)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1, bitorder="little")
+    return (2 * bits.astype(np.int8) - 1).reshape(len(points), DIM)
+
+
+def _fold_table() -> np.ndarray:
+    """Code point to the lower-cased letter's code point, or BOUNDARY."""
+    table = np.full(0x110000, BOUNDARY, np.uint32)
+    for point in range(0x110000):
+        c = chr(point)
+        if c.isalpha():
+            table[point] = ord(c.lower()[0])
+    return table
+
+
+_folded: np.ndarray | None = None
+
+
+def symbols_of(text: str) -> np.ndarray:
+    """The text's letters between single boundaries, as code points; none if it has no letter."""
+    global _folded
+    if _folded is None:  # one table a worker process
+        _folded = _fold_table()
+    s = _folded[np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)]
+    if not s.any():
+        return s[:0]
+    s = np.concatenate([[BOUNDARY], s, [BOUNDARY]]).astype(np.uint32)
+    return s[np.concatenate([[True], (s[1:] != BOUNDARY) | (s[:-1] != BOUNDARY)])]
+
+
+def bundles(texts: list[np.ndarray]) -> np.ndarray:
+    """The bundled vector (float64) of each list of symbols."""
+    out = np.zeros((len(texts), DIM))
+    full = [i for i, s in enumerate(texts) if len(s)]
+    if not full:
+        return out
+    flat = np.concatenate([texts[i] for i in full])
+    mark = np.zeros(int(flat.max()) + 1, np.int64)
+    mark[flat] = 1
+    points = np.flatnonzero(mark)
+    mark[points] = np.arange(len(points))
+    k, at = len(points), mark[flat]
+    lengths = np.array([len(texts[i]) for i in full])
+    last = np.cumsum(lengths)
+    inside = np.ones(len(flat), bool)
+    inside[last - 1] = inside[last - 2] = False  # no n-gram starts there
+    first = np.flatnonzero(inside)
+    codes = (at[first] * k + at[first + 1]) * k + at[first + 2]
+    if k**3 <= TABLE:
+        seen = np.zeros(k**3, np.int64)
+        seen[codes] = 1
+        known = np.flatnonzero(seen)
+        seen[known] = np.arange(len(known))
+        place = seen[codes]
+    else:
+        known, place = np.unique(codes, return_inverse=True)
+    row = np.repeat(np.arange(len(full)), lengths - 2)
+    own = letter_vectors(points)
+    rotated = np.roll(own, 2, axis=1), np.roll(own, 1, axis=1), own
+    total = np.zeros((len(full), DIM))
+    order = None
+    step = max(1, (1 << 24) // max(DIM, len(full)))
+    for i in range(0, len(known), step):
+        part = known[i : i + step]
+        vectors = (rotated[0][part // k**2] * rotated[1][part // k % k] * rotated[2][part % k]).astype(np.float32)
+        if step < len(known):
+            if order is None:
+                order = np.argsort(place, kind="stable")
+                ends = np.searchsorted(place[order], np.arange(len(known) + 1))
+            here = order[ends[i] : ends[min(i + step, len(known))]]
+            r, c = row[here], place[here] - i
+        else:
+            r, c = row, place
+        counts = np.bincount(r * len(part) + c, minlength=len(full) * len(part)).reshape(len(full), len(part))
+        total += counts.astype(np.float32) @ vectors
+    out[full] = total
+    return out
+
+
+def _groups(texts: list[str | None]) -> Iterator[list[np.ndarray]]:
     waiting, held = [], 0
     for text in texts:
-        waiting.append(own.grams(text or ""))
+        waiting.append(symbols_of(text or ""))
         held += len(waiting[-1])
         if len(waiting) == BATCH_ROWS or held >= BATCH_CHARS:
             yield waiting
@@ -103,27 +137,18 @@ def _groups(texts: list[str | None], own: Letters) -> Iterator[list[np.ndarray]]
 
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, i, v): component i of a sum of the partition's n-gram vectors for a language."""
-    own, counts = letters(), {}
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        for lang in sorted(counts):
-            codes = np.flatnonzero(counts[lang])
-            total = np.zeros(DIM)
-            for i in range(0, len(codes), 4096):
-                part = codes[i : i + 4096]
-                total += counts[lang][part].astype(np.float64) @ own.vectors(part).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(np.rint(total).astype(np.int64))], ["lang", "i", "v"])
-        counts.clear()
-
+    """(lang, i, v): component i of the sum of the partition's n-gram vectors for a language."""
+    totals: dict[str, np.ndarray] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if lang not in counts:
-                if len(counts) == OPEN_LANGUAGES:
-                    yield from flush()
-                counts[lang] = np.zeros(SYMBOLS**3, np.int64)
-            np.add.at(counts[lang], own.grams(text), 1)
-    yield from flush()
+        langs, texts = batch.column("lang").to_pylist(), batch.column("text").to_pylist()
+        at = 0
+        for group in _groups(texts):
+            vectors = np.rint(bundles(group)).astype(np.int64)
+            for lang, vector in zip(langs[at : at + len(group)], vectors, strict=True):
+                totals[lang] = totals.get(lang, 0) + vector
+            at += len(group)
+    for lang in sorted(totals):
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * DIM, pa.string()), pa.array(np.arange(DIM, dtype=np.int32)), pa.array(totals[lang])], ["lang", "i", "v"])
 
 
 def learn_prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -136,23 +161,31 @@ def learn_prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         out[names.index(r["lang"]), r["i"]] = r["v"]
     norms = np.linalg.norm(out, axis=1, keepdims=True)
     keep = norms[:, 0] > 0
-    return [n for n, k in zip(names, keep, strict=True) if k], (out / np.where(norms > 0, norms, 1))[keep].astype(np.float32)
+    return [n for n, k in zip(names, keep, strict=True) if k], (out / np.where(norms > 0, norms, 1))[keep]
+
+
+def variety(symbols: np.ndarray) -> int:
+    """The number of different n-grams; 0 for texts without letters."""
+    return len(np.unique(np.stack([symbols[:-2], symbols[1:-1], symbols[2:]]), axis=1).T) if len(symbols) else 0
+
+
+def _best(texts: list[str | None], prototypes: np.ndarray) -> Iterator[tuple[np.ndarray, int, float]]:
+    """(symbols, best prototype, its cosine) of each text; no symbols for texts without letters."""
+    for group in _groups(texts):
+        vectors = bundles(group)
+        norms = np.linalg.norm(vectors, axis=1)
+        cosines = vectors @ prototypes.T / np.where(norms > 0, norms, 1)[:, None]
+        for symbols, row in zip(group, cosines, strict=True):
+            best = int(row.argmax()) if len(row) else 0
+            yield symbols, best, float(row[best]) if len(row) else 0.0
 
 
 def _predict(names: list[str], prototypes: np.ndarray) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = letters()
         for batch in batches:
-            pred, score = [], []
-            for grams in _groups(batch.column("text").to_pylist(), own):
-                vectors = bundles(own, grams)
-                norms = np.linalg.norm(vectors, axis=1)
-                cosines = vectors @ prototypes.T / np.where(norms > 0, norms, 1)[:, None]
-                for g, row in zip(grams, cosines, strict=True):
-                    found = len(g) and len(names)
-                    best = int(row.argmax()) if found else 0
-                    pred.append(names[best] if found else UNKNOWN)
-                    score.append(min(1.0, max(0.0, float(row[best]))) if found else 0.0)
+            found = list(_best(batch.column("text").to_pylist(), prototypes))
+            pred = [names[best] if len(symbols) and names else UNKNOWN for symbols, best, _ in found]
+            score = [min(1.0, max(0.0, cosine)) if len(symbols) else 0.0 for symbols, _, cosine in found]
             keep = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "lang_pred", "score"])
 
@@ -167,17 +200,15 @@ def identify_languages(docs: DataFrame, buckets: int = 4) -> DataFrame:
 
 
 def identified_documents(docs: DataFrame, buckets: int = 4) -> DataFrame:
-    """``docs`` with all its columns, without those whose language is undetermined; no shuffle.
+    """``docs`` with all its columns, without those that are rejected: no letter, or a cosine below REJECT with EVIDENCE.
 
-    Where no language could be learned, those without letters go all the same and the others stay.
+    No shuffle. Where no language could be learned, those without letters go all the same and the others stay.
     """
     names, prototypes = learn_prototypes(docs.select("doc_id", "lang", "text").where(~held_out(buckets)))
-    if not names:
-        names, prototypes = [""], np.zeros((1, DIM), np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = next(_predict(names, prototypes)(iter([batch.select(["text"])])))
-            yield batch.filter(pa.array([x != UNKNOWN for x in found.column("lang_pred").to_pylist()], pa.bool_()))
+            found = _best(batch.column("text").to_pylist(), prototypes)
+            yield batch.filter(pa.array([len(x) > 0 and (not names or cosine >= REJECT or variety(x) < EVIDENCE) for x, _, cosine in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -101,12 +102,56 @@ def test_documents_stay_where_no_language_is_known(edge_docs):
     assert {r["doc_id"] for r in language_id.identified_documents(unlabelled).collect()} == {1, 2, None, 7, -9}
 
 
-def test_hyperdimensional_bundle():
-    own = language_id.letters()
-    text = "Été, no"
-    codes = own.grams(text)
-    vectors = [np.roll(own.rotated[2][c // 128**2], 2) * np.roll(own.rotated[2][c // 128 % 128], 1) * own.rotated[2][c % 128] for c in codes.tolist()]
-    assert len(codes) == 7 - 1 and (language_id.bundles(own, [codes, codes[:0]]) == [np.sum(vectors, 0), np.zeros(language_id.DIM)]).all()
+def naive_bundle(text):
+    """Trigrams of the letters between single boundaries, bound letter by letter."""
+    letters = [ord(c.lower()[0]) if c.isalpha() else 0 for c in text]
+    if not any(letters):
+        return None
+    padded = [0]
+    for x in [*letters, 0]:
+        if x or padded[-1]:
+            padded.append(x)
+    vector = lambda x: language_id.letter_vectors(np.array([x]))[0].astype(int)
+    grams = Counter(zip(padded, padded[1:], padded[2:], strict=False))
+    return sum((n * np.roll(vector(a), 2) * np.roll(vector(b), 1) * vector(c) for (a, b, c), n in grams.items()), np.zeros(language_id.DIM, int))
+
+
+def test_hyperdimensional_bundles(monkeypatch):
+    texts = ["Été, no", "", "x", "Ночь и день", "日本 語!", "12", "ab ab ab"]
+    want = [naive_bundle(t) for t in texts]
+    for table in (1 << 22, 1):
+        monkeypatch.setattr(language_id, "TABLE", table)
+        got = language_id.bundles([language_id.symbols_of(t) for t in texts])
+        assert all((g == (0 if w is None else w)).all() for g, w in zip(got, want, strict=True))
+    many = language_id.letter_vectors(np.arange(1, 3000)).astype(int)
+    assert len(np.unique(many, axis=0)) == len(many)  # every letter has a vector of its own
+    assert abs(many[:500] @ many[500:1000].T).max() < 6 * language_id.DIM**0.5
+
+
+def test_language_id_against_brute_force(spark, small):
+    rows = small.orderBy("doc_id").collect()
+    bundle = {r["doc_id"]: naive_bundle(r["text"] or "") for r in rows}
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2 for r in rows}
+    names = sorted({r["lang"] for r in rows if r["lang"] and not held[r["doc_id"]]})
+    total = {n: np.sum([bundle[r["doc_id"]] for r in rows if r["lang"] == n and not held[r["doc_id"]] and bundle[r["doc_id"]] is not None], axis=0) for n in names}
+    for r in language_id.identify_languages(small).collect():
+        own = bundle[r["doc_id"]]
+        assert r["held_out"] == held[r["doc_id"]]
+        if own is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        cosines = {n: own @ total[n] / np.linalg.norm(own) / np.linalg.norm(total[n]) for n in names}
+        assert r["lang_pred"] == max(names, key=cosines.get) and abs(r["score"] - max(0, max(cosines.values()))) < 1e-6
+
+
+def test_documents_of_unlearned_languages_are_rejected(spark, small):
+    rng = random.Random(2)
+    noise = "".join(rng.choice("qxzjkvwpyh") for _ in range(400))
+    rows = [(10**6, "Не только в столице, но и в других городах люди говорят об этом каждый день и каждую ночь", None), (10**6 + 1, noise, "en"), (10**6 + 2, "Zq xk", None), (10**6 + 3, "«» 12", "en")]
+    docs = small.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in language_id.identified_documents(docs).collect()}
+    clean = {r["doc_id"] for r in small.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert kept & {r[0] for r in rows} == {10**6 + 2} and len(kept & clean) >= 0.99 * len(clean)
 
 
 def levenshtein(a, b):

@@ -12,8 +12,11 @@ Operator 10 with the parameters of a corpus: shingles of five words. Texts reduc
    HOT texts has marked come last, so that a common line makes no candidates of texts it is a small part of. Any
    order is exact; a bitmap that fills up only makes more candidates.
 
-Those that share a prefix shingle are first compared with a few leaders of theirs, which joins large groups of near
-copies by as many comparisons as they have members; then only pairs from different components are compared. A wide
+   Of a pair, the first shingle they share also bounds from its two positions how many more they can share; a pair
+   that no shared shingle allows for is no candidate. That is so for texts of which a common passage is the larger part.
+
+Texts that share one of their first FIRST shingles are compared with a few leaders of theirs first, which joins large
+groups of near copies by as many comparisons as they have members; then only pairs from different components are compared. A wide
 fingerprint (the parities of the shingles on BITS bits) rules out pairs that differ too much, again without a miss; the
 others are compared by their whole sets. Components are closed over links, as in ``simhash``.
 
@@ -40,7 +43,7 @@ from cuewise.llm.simhash import components, fingerprint_links
 SHINGLE = 5
 SIMILAR = (4, 5)  # a fraction, so that bounds are exact
 HOT = 20
-LEADERS = 3
+LEADERS, FIRST = 3, 8
 BITS = 512
 SPOTS = 1 << 24  # bits of the bitmaps that reach the driver and the executors
 KNOWN = 1_000_000  # words that a worker remembers
@@ -187,9 +190,17 @@ def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFra
 
 
 def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of (key, id, n, root) in two tables, where sizes allow for it and components differ."""
-    other = right.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    near = left.join(other, "key").where((F.col("root") != F.col("root2")) & (F.least("n", "n2") * SIMILAR[1] >= F.greatest("n", "n2") * SIMILAR[0]))
+    """Distinct (a, b), a < b, of (key, id, n, at, root) in two tables, where sizes and positions allow for it and components differ."""
+    other = right.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
+    sizes = F.least("n", "n2") * SIMILAR[1] >= F.greatest("n", "n2") * SIMILAR[0]
+    # At a similarity of t, t / (1 + t) of both sizes are shared: from the first shared shingle on.
+    rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (SIMILAR[0] + SIMILAR[1]) >= (F.col("n") + F.col("n2")) * SIMILAR[0]
+    # Of two that pass, one at least has its shingle among the first 1 / 9 of its own.
+    a, b = SIMILAR
+    early = F.col("at") * (a + b) <= F.col("n") * (b - a)
+    early2 = F.col("at2") * (a + b) <= F.col("n2") * (b - a)
+    both = left.where(early).join(other, "key").unionByName(left.where(~early).join(other.where(early2), "key"))
+    near = both.where((F.col("root") != F.col("root2")) & sizes & rest)
     return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
@@ -216,13 +227,14 @@ def similar_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
         shared = rows.sparkSession.sparkContext.broadcast(spots(hot, "key"))
         distinct = durable(rows.mapInArrow(_marks(shared), MARKS).dropDuplicates(["id"]))
         keys = _repeated(distinct)
-    met = durable(distinct.select("id", "n", F.explode("keys").alias("key")).join(keys, "key").select("key", "id", "n"))
-    group = _rooted(met, links)
+    met = distinct.select("id", "n", F.posexplode("keys").alias("at", "key")).join(keys, "key")
+    met = durable(met.select("key", "id", "n", "at"))
+    early = _rooted(met.where(F.col("at") < FIRST), links)
     leaders = []
     for turn in range(LEADERS):
         order = F.xxhash64("id", F.lit(turn))
-        leaders.append(group.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "root")).alias("l")).select("key", "l.id", "l.n", "l.root"))
-    links = durable(links.unionByName(_verified(_pairs(group, reduce(DataFrame.unionByName, leaders)), rows, distinct)))
+        leaders.append(early.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "at", "root")).alias("l")).select("key", "l.id", "l.n", "l.at", "l.root"))
+    links = durable(links.unionByName(_verified(_pairs(early, reduce(DataFrame.unionByName, leaders)), rows, distinct)))
     group = _rooted(met, links)
     # What is left: of two members in different components, one at least is outside the first leader's.
     main = group.groupBy("key").agg(F.min_by("root", F.xxhash64("id", F.lit(0))).alias("main"))
@@ -231,7 +243,7 @@ def similar_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
 
 
 def _rooted(met: DataFrame, links: DataFrame) -> DataFrame:
-    """``met`` (key, id, n) with the ``root`` of each id's component over ``links``."""
+    """``met`` (key, id, n, at) with the ``root`` of each id's component over ``links``."""
     roots = components(links).withColumnRenamed("node", "id")
     return durable(met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
 

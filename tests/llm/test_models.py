@@ -279,6 +279,34 @@ def test_decontamination_edges(spark, edge_docs, no_docs):
     assert decontamination.find_leaks(no_docs, bench).count() == 0 == decontamination.clean_documents(no_docs, bench).count()
 
 
+def test_recall_of_the_latent_search(spark):
+    """Items planted whole, or with words changed as the rules allow, against the rules applied without a search."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    idf = decontamination.inverse_frequencies(docs)
+    directions = decontamination.latent_directions(docs, idf)
+    texts = [w for r in docs.collect() if len(w := decontamination.words_of(r["text"])) > 200]
+    words = [w for t in texts[:50] for w in t]
+    rng = random.Random(1)
+    found = Counter()
+    for size in (5, 8, 12, 16, 32):
+        for changed in (0, 0.3):
+            items, hosts = [], []
+            for k in range(40):
+                source, host = rng.choice(texts), list(rng.choice(texts))
+                a, at = rng.randrange(len(source) - size), rng.randrange(len(host))
+                own = source[a : a + size]
+                items.append((k, list(own)))
+                for i in rng.sample(range(max(0, size - 6)), min(max(0, size - 6), round(size * changed))):
+                    own[i] = rng.choice(words)
+                hosts.append(host[:at] + own + host[at:])
+            index = decontamination.Index(items, directions)
+            got = {(r, i) for r, i, *_ in index.matches([b" ".join(h).decode() for h in hosts], decontamination.Features())}
+            want = {(k, k) for k in range(40) if size >= 8 and index.verdict(items[k][1], hosts[k]) or size < 8 and not changed}
+            found[changed, "want"] += len(want)
+            found[changed, "got"] += len(want & got)
+    assert found[0, "got"] == found[0, "want"] and found[0.3, "got"] >= 0.9 * found[0.3, "want"] > 0
+
+
 def naive_base(text):
     digits = lambda t: re.sub("[^0-9]", "", t)
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]

@@ -79,6 +79,44 @@ def test_language_model_counts(spark, small):
     assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
 
 
+@pytest.mark.parametrize("known", [1 << 17, 50])
+def test_language_model_scores_against_plain_recursion(spark, small, monkeypatch, known):
+    """The whole query's score, with most words looked up and with most words joined, against floats and loops."""
+    monkeypatch.setattr(hmm, "KNOWN", known)
+    monkeypatch.setattr(hmm, "ROUNDS", 2)
+    kept, own = [], hmm.train
+    monkeypatch.setattr(hmm, "train", lambda *a: kept.append(own(*a)) or kept[-1])
+    docs = {r["doc_id"]: [*(r["text"] or "").encode().lower().split(), b"\n"] for r in small.collect()}
+    scores = {r["doc_id"]: r["score"] for r in hmm.score_documents(small).collect()}
+    m = kept[0]
+    counts = Counter(w for i, ws in docs.items() if zlib.crc32(str(i).encode()) % 7 != 2 for w in ws)
+    number = {w: i for i, w in enumerate(m.top)} | {b"\n": hmm.TOP}
+    cls = lambda w: number.get(w, hmm.tail_class(w))
+    total, distinct = Counter(), Counter()
+    for w, c in counts.items():
+        total[cls(w)] += c
+        distinct[cls(w)] += 1
+    assert len(m.top) == min(hmm.TOP, known, len(counts) - 1)
+    for i, ws in sorted(docs.items())[:40]:
+        alpha, log = m.start, 0.0
+        for w in ws:
+            c = cls(w)
+            alpha = alpha * m.emit[c]
+            inner = 1.0 if c <= hmm.TOP else (counts[w] + 1) / (total[c] + distinct[c] + 1)
+            log += math.log10(alpha.sum() * inner)
+            alpha = alpha / alpha.sum() @ m.move
+        assert scores[i] == pytest.approx(log, rel=1e-9)
+
+
+def test_segments_don_t_count_as_starts():
+    m, rng = model(), np.random.default_rng(1)
+    m.move = np.eye(hmm.STATES) * 0.8 + 0.2 / hmm.STATES
+    sequences = [rng.integers(0, 5, n) for n in (4, 9, 2)]
+    counts = hmm.expected_counts(m, sequences, np.array([True, False, False]))
+    assert counts[-1].sum() == pytest.approx(1) and counts[:5].sum() == pytest.approx(15)
+    assert hmm.stationary(m.move) @ m.move == pytest.approx(hmm.stationary(m.move))
+
+
 def test_language_model_edges(edge_docs, no_docs):
     rows = hmm.score_documents(edge_docs).collect()
     assert len(rows) == edge_docs.count() and all(r["score"] < 0 for r in rows)

@@ -6,23 +6,28 @@ exponential key -ln(u) / w (u from a hash of doc_id, w the document's quality) u
 meets the budget. Of the document at the boundary, ``taken`` counts the words that are still missing;
 ``copies``, for those who mix whole documents, counts it if that brings the sum nearer to the budget.
 
-The order within a source is found without putting a source into one task: keys fall into bins by
-their distribution function, sums of the bins give each bin's offset, and a window runs within
-(source, bin). Quality is the share of letters in the text, between 0.05 and 1.
+The order within a source is (key, doc_id, size, hash of the text). It is found without putting a source into one task:
+a range partitioning of all rows by source and that order gives bins of about ROWS_PER_BIN rows whatever the keys'
+distribution, sums of the bins give each bin's offset, and a window runs within (source, bin). Quality is the share of
+letters in the text, between 0.05 and 1.
+
+Whole documents are mixed without moving texts: each source has one boundary row, and a document's own order
+against it says whether it is in the fractional pass.
 
 Defined cases: null or blank text has size 0 and is never taken; a null source is a source of its own,
-ranked last; a null doc_id hashes as the empty text; repeated rows have equal keys and each counts; an
-empty table gives an empty result; columns other than doc_id, source and text are ignored.
+ranked last; a null doc_id hashes as the empty text; very long texts count whole; repeated rows have equal keys and each
+counts, in any order (``mixed_documents`` takes all of those that tie with the boundary row); an empty table gives
+an empty result; columns other than doc_id, source and text are ignored, and pass through ``mixed_documents``.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import LOWEST, WORD_PATTERN, durable
+from cuewise.llm.common import WORD_PATTERN, durable, order_key
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -51,22 +56,26 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return caps.select("source", "source_size", "weight", F.round(target, 6).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words), copies (of the whole document), text_hash."""
+def _measured(docs: DataFrame) -> list[Column]:
+    """size, text_hash and key of each document."""
     text = F.coalesce(F.col("text"), F.lit(""))
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    quality = F.greatest(F.lit(0.05), letters / F.greatest(F.length(text), F.lit(1)))
     uniform = (F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
-    rows = docs.select(
-        "doc_id",
-        "source",
-        F.xxhash64(text).alias("text_hash"),
-        F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
-        F.greatest(F.lit(0.05), letters / F.greatest(F.length(text), F.lit(1))).alias("quality"),
-        uniform.alias("u"),
-    ).withColumn("key", -F.log("u") / F.col("quality"))
-    rows = durable(rows)
+    return [F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"), F.xxhash64(text).alias("text_hash"), (-F.log(uniform) / quality).alias("key")]
+
+
+def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken (words), copies (of the whole document), text_hash."""
+    return _mixed(docs, weights, share, most).select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "text_hash")
+
+
+def _mixed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """What ``mix_sources`` returns, with key, epochs and more (1 for the documents of the fractional pass)."""
+    rows = durable(docs.select("doc_id", "source", *_measured(docs), order_key("doc_id").alias("at"), F.monotonically_increasing_id().alias("row")))
+    order = ["key", "at", "size", "text_hash"]
     bins = max(1, math.ceil(rows.count() / ROWS_PER_BIN))
-    rows = rows.withColumn("bin", F.least(F.lit(bins - 1), F.floor(F.lit(bins) * (1 - F.exp(-F.col("key"))))).cast("int"))
+    rows = durable(rows.repartitionByRange(bins, "source", *order, "row").withColumn("bin", F.spark_partition_id()))
 
     sums = rows.groupBy("source", "bin").agg(F.sum("size").alias("s"))
     off = F.coalesce(F.sum("s").over(Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -74,27 +83,29 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     plan = sums.select(F.col("source").alias("__s"), F.col("bin").alias("__b"), off.alias("off"))
     plan = plan.join(targets.withColumnRenamed("source", "__t"), F.col("__s").eqNullSafe(F.col("__t"))).drop("__t", "weight")
 
-    running = F.sum("size").over(Window.partitionBy("source", "bin").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    running = F.sum("size").over(Window.partitionBy("source", "bin").orderBy(*order, "row").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("__run", running).join(plan, F.col("source").eqNullSafe(F.col("__s")) & (F.col("bin") == F.col("__b")))
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    budget = F.col("target") - epochs * F.col("source_size")
+    rows = rows.withColumn("epochs", epochs).withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size"))
     ahead = F.col("off") + F.col("__run") - F.col("size")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.round(budget).cast("long") - ahead))
-    more = (2 * ahead + F.col("size") <= 2 * budget).cast("long")
-    copies = F.when(F.col("size") > 0, epochs + more).otherwise(F.lit(0)).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * epochs + part).alias("taken"), copies.alias("copies"), "text_hash")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.round(F.col("budget")).cast("long") - ahead))
+    rows = rows.withColumn("more", (2 * ahead + F.col("size") <= 2 * F.col("budget")).cast("long"))
+    copies = F.when(F.col("size") > 0, F.col("epochs") + F.col("more")).otherwise(F.lit(0)).cast("long")
+    return rows.withColumn("taken", F.col("size") * F.col("epochs") + part).withColumn("copies", copies)
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """``docs`` with all its columns: each document as many times as the mix has copies of it.
 
-    Rows that are equal in doc_id, source and text share their copies.
+    The boundaries, a row a source, are joined without a hint: Spark broadcasts them where their size allows for it.
     """
-    key = ["__id", "__source", "__hash"]
-    mix = mix_sources(docs, weights, share, most)
-    plan = mix.groupBy(F.coalesce("doc_id", F.lit(LOWEST)).alias("__id"), F.struct("source").alias("__source"), F.col("text_hash").alias("__hash")).agg(F.sum("copies").alias("__copies"))
-    plan = plan.where("__copies > 0")
-    keyed = docs.withColumns({"__id": F.coalesce("doc_id", F.lit(LOWEST)), "__source": F.struct("source"), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))})
-    joined = keyed.join(plan, key)
-    first = joined.withColumn("__row", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))).where("__row = 1")
-    return first.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    mix = _mixed(docs.select("doc_id", "source", "text"), weights, share, most)
+    last = F.max(F.when((F.col("more") == 1) & (F.col("size") > 0), F.struct("key", "at", "size", "text_hash")))
+    ends = durable(mix.groupBy("source").agg(F.max("epochs").alias("epochs"), last.alias("last")))
+    ends = ends.select(F.struct("source", "epochs", "last").alias("__mix_end"))
+    size, text_hash, key = _measured(docs)
+    own = F.struct(key, order_key("doc_id").alias("at"), size, text_hash)
+    placed = docs.withColumn("__mix_own", own).join(ends, F.col("source").eqNullSafe(F.col("__mix_end.source")))
+    more = F.coalesce(F.col("__mix_own") <= F.col("__mix_end.last"), F.lit(False)).cast("int")
+    copies = F.when(F.col("__mix_own.size") > 0, F.col("__mix_end.epochs").cast("int") + more).otherwise(0)
+    return placed.select(*docs.columns, F.explode(F.array_repeat(F.lit(0), copies)).alias("__mix_copy")).select(*docs.columns)

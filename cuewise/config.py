@@ -63,6 +63,12 @@ def deep_merge(base: Config, over: Config) -> Config:
     return out
 
 
+def with_own_names(config: Config) -> Config:
+    """``config`` with a block ``whisper``, the recogniser's other name in configuration files, as ``recogniser``."""
+    rest = {k: v for k, v in config.items() if k != "whisper"}
+    return deep_merge({"recogniser": config["whisper"]}, rest) if isinstance(config.get("whisper"), dict) else rest
+
+
 def load_config(path: str | None = None, local: str | None = None) -> Config:
     """Defaults, then the file at ``path``, then that at ``local`` (if it exists), then the key in the environment.
 
@@ -73,7 +79,7 @@ def load_config(path: str | None = None, local: str | None = None) -> Config:
         if not name or (not needed and not Path(name).exists()):
             continue
         try:
-            config = deep_merge(config, json.loads(Path(name).read_text(encoding="utf-8")))
+            config = deep_merge(config, with_own_names(json.loads(Path(name).read_text(encoding="utf-8"))))
         except json.JSONDecodeError as error:
             raise ValueError(f"{name} is not valid JSON: {error}") from error
     if key := os.environ.get("ANTHROPIC_API_KEY"):

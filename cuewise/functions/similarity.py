@@ -26,6 +26,10 @@ def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([text_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+# Filters on the result stay above it, so that each pair is compared once.
+_similarity = _similarity.asNondeterministic()
+
+
 def similarity(a: Column, b: Column) -> Column:
     return _similarity(a, b)
 

@@ -42,9 +42,9 @@ def phrase_patterns(config: dict) -> list[str]:
 
 
 def matches_phrase(text: Column, patterns: list[str]) -> Column:
-    """Whether a pattern is found in the normalised text."""
+    """Whether a pattern is found in the normalised text; never in a null one."""
     clean = normalize_text(text)
-    return reduce(lambda a, b: a | b, [clean.rlike(p) for p in patterns], F.lit(False))
+    return F.coalesce(reduce(lambda a, b: a | b, [clean.rlike(p) for p in patterns], F.lit(False)), F.lit(False))
 
 
 def remove_phrases(df: DataFrame, patterns: list[str], recogniser: RecogniserFactory | None = None, truth: DataFrame | None = None, compat: bool = False) -> DataFrame:
@@ -76,9 +76,9 @@ def _similarity_below(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def is_suspicious(max_rate: float = 20.0) -> Column:
-    """Too many characters a second, or under one a second in a text of more than five."""
+    """Too many characters a second, or under one a second in a text of more than five; a null text is not."""
     rate = F.try_divide(F.length("text"), F.col("end") - F.col("start"))
-    return (rate > max_rate) | ((rate < 1.0) & (F.length("text") > 5))
+    return F.coalesce((rate > max_rate) | ((rate < 1.0) & (F.length("text") > 5)), F.lit(False))
 
 
 def validate_timing(df: DataFrame, max_rate: float = 20.0, recogniser: RecogniserFactory | None = None, truth: DataFrame | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
-from cuewise.config import DEFAULTS, Config, deep_merge, stage_llm
+from cuewise.config import DEFAULTS, Config, deep_merge, stage_llm, with_own_names
 from cuewise.operators import align, cleanup, filters, merge, polish, split
 from cuewise.operators.cues import vtt_cues
 from cuewise.operators.models import RecogniserFactory, TextModelFactory, text_model
@@ -26,7 +26,7 @@ class Pipeline:
     model: TextModelFactory | None = None
 
     def __post_init__(self) -> None:
-        self.config = deep_merge(DEFAULTS, self.config)
+        self.config = deep_merge(DEFAULTS, with_own_names(self.config))
 
     def describe(self) -> list[tuple[str, bool]]:
         """The stages and whether each is on."""

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -65,7 +66,7 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceWriter):
-    """Rows are (media_id, content). Files appear under their names only when a task has finished."""
+    """Rows are (media_id, content). Files appear under their names, or replace earlier ones, only in ``commit``."""
 
     def __init__(self, path: str, overwrite: bool) -> None:
         self.path, self.overwrite = path, overwrite
@@ -78,15 +79,16 @@ class _Writer(DataSourceWriter):
             final = os.path.join(self.path, f"{name}.vtt")
             if os.path.exists(final) and not self.overwrite:
                 raise FileExistsError(final)
-            part = f"{final}.{os.getpid()}.part"
+            part = f"{final}.{uuid.uuid4().hex}.part"
             with open(part, "w", encoding="utf-8", newline="\n") as file:
                 file.write(row["content"])
-            os.replace(part, final)
-            done.append(final)
+            done.append(part)
         return _Written(done)
 
     def commit(self, messages: list) -> None:
-        return None
+        for message in messages:
+            for part in message.files if message else []:
+                os.replace(part, re.sub(r"\.[0-9a-f]{32}\.part$", "", part))
 
     def abort(self, messages: list) -> None:
         for message in messages:

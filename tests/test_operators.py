@@ -231,3 +231,11 @@ def test_recogniser_reads_only_what_overlaps():
     ear = models.TableRecogniser(pd.DataFrame({"word": ["w"] * 5000, "start": range(5000), "end": range(1, 5001)}))
     ear.words = Counted(ear.words)
     assert len(ear.transcribe("m", 2500.0, 2510.0)["segments"][0]["words"]) == 10 and sum(seen) == 10
+
+
+def test_null_texts_stay(segments):
+    from cuewise.operators import filters
+
+    df = segments((0, 1, "hello"), (1, 2, None), (2, 3, "thanks"))
+    assert [r["text"] for r in filters.remove_phrases(df, ["^thanks$"]).orderBy("seg_idx").collect()] == ["hello", None]
+    assert [r["text"] for r in filters.validate_timing(df).orderBy("seg_idx").collect()] == ["hello", None, "thanks"]

@@ -127,3 +127,32 @@ def test_spoken_turns_are_whole(spark):
     rows, truth = queries._spoken(spark, sf)
     want = letters(queries.turns(spark, sf))
     assert letters(rows) == want == letters(truth.select("media_id", F.col("word").alias("text")))
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from cuewise.__main__ import main
+
+    rows = [{"media_id": m, "segments": [{"start": 0.0, "end": 2.0, "text": "hello there", "words": [{"word": "hello", "start": 0.0, "end": 1.0}]}]} for m in ("a", "b")]
+    (tmp_path / "in.json").write_text(json.dumps(rows))
+    (tmp_path / "config.json").write_text(json.dumps({"whisper": {"beam_size": 2}, "segment_merging": {"enable": False}}))
+    out = tmp_path / "out"
+    status = main([str(tmp_path / "none.json"), str(tmp_path / "in.json"), "--config", str(tmp_path / "config.json"), "--output-dir", str(out)])
+    assert status == 1 and sorted(p.name for p in out.iterdir()) == ["a.vtt", "b.vtt"] and "hello there" in (out / "a.vtt").read_text()
+    assert "off merge incomplete segments" in capsys.readouterr().out
+    assert main([str(tmp_path / "in.json"), "--config", str(tmp_path / "absent.json")]) == 1
+
+
+def test_configuration_takes_the_other_name_of_the_recogniser():
+    from cuewise.plans.pipeline import Pipeline
+
+    assert Pipeline({"whisper": {"beam_size": 2}}).config["recogniser"]["beam_size"] == 2
+    assert "whisper" not in Pipeline({"whisper": {"beam_size": 2}}).config
+
+
+def test_each_pair_is_compared_once(spark):
+    from cuewise.plans.queries import queries
+
+    plan = queries()["similarity_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1

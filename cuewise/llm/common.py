@@ -30,9 +30,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir; a temporary one where it is unset and Spark is local."""
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         held = "file://" + tempfile.mkdtemp(prefix="cuewise-")
         spark.conf.set("spark.checkpoint.dir", held)
     return held

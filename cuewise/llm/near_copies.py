@@ -15,9 +15,9 @@ Operator 10 with the parameters of a corpus: shingles of five words. Texts reduc
    Of a pair, the first shingle they share also bounds from its two positions how many more they can share; a pair
    that no shared shingle allows for is no candidate. That is so for texts of which a common passage is the larger part.
 
-Texts that share one of their first FIRST shingles are compared with a few leaders of theirs first, which joins large
-groups of near copies by as many comparisons as they have members; then only pairs from different components are compared. A wide
-fingerprint (the parities of the shingles on BITS bits) rules out pairs that differ too much, again without a miss; the
+Texts that share a shingle are compared with a few leaders of theirs first, which joins large groups of near copies by
+as many comparisons as they have members; then only pairs from different components are compared, and only at the first
+shingle they share. A wide fingerprint (the parities of the shingles on BITS bits) rules out pairs that differ too much, again without a miss; the
 others are compared by their whole sets. Components are closed over links, as in ``simhash``.
 
 Defined cases: texts without words (null, empty, blank) are copies of each other; texts of fewer than SHINGLE words
@@ -34,7 +34,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.llm.common import durable
@@ -43,7 +43,7 @@ from cuewise.llm.simhash import components, fingerprint_links
 SHINGLE = 5
 SIMILAR = (4, 5)  # a fraction, so that bounds are exact
 HOT = 20
-LEADERS, FIRST = 3, 8
+LEADERS = 3
 BITS = 512
 SPOTS = 1 << 24  # bits of the bitmaps that reach the driver and the executors
 KNOWN = 1_000_000  # words that a worker remembers
@@ -168,15 +168,25 @@ def _sets(shared) -> callable:
 
 
 PARITIES = [f"b{i}" for i in range(BITS // 64)]
+MET = ["id", "n", "at", "prev", "root", *PARITIES]
 MARKS = "h1 long, h2 long, id long, n int, fp long, keys array<long>, " + ", ".join(f"{b} long" for b in PARITIES)
 
 
-def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFrame:
-    """(a, b) of those ``pairs`` whose whole sets are similar; only pairs that the parities allow for are compared so."""
+def _apart(a: str, b: str) -> Column:
+    """How many parities differ between two rows, whose columns end in ``a`` and ``b``."""
+    return sum((F.bit_count(F.col(f"{x}{a}").bitwiseXOR(F.col(f"{x}{b}"))) for x in PARITIES), F.lit(0))
+
+
+def _allowed(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b) of those ``pairs`` that the parities allow for."""
     mark = lambda x: distinct.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(b).alias(f"{b}_{x}") for b in PARITIES])
-    apart = sum((F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in PARITIES), F.lit(0))
     most = (F.col("n_a") + F.col("n_b")) * (SIMILAR[1] - SIMILAR[0])
-    pairs = durable(pairs.join(mark("a"), "a").join(mark("b"), "b").where(apart * (SIMILAR[0] + SIMILAR[1]) <= most).select("a", "b"))
+    return pairs.join(mark("a"), "a").join(mark("b"), "b").where(_apart("_a", "_b") * sum(SIMILAR) <= most).select("a", "b")
+
+
+def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) of those ``pairs`` whose whole sets are similar."""
+    pairs = durable(pairs)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     if not ids.take(1):
         return pairs
@@ -186,22 +196,28 @@ def _verified(pairs: DataFrame, rows: DataFrame, distinct: DataFrame) -> DataFra
     of = lambda x: sets.select(F.col("id").alias(x), F.col("keys").alias(f"keys_{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     shared = F.size(F.array_intersect("keys_a", "keys_b"))
-    return durable(both.where(shared * (SIMILAR[0] + SIMILAR[1]) >= (F.size("keys_a") + F.size("keys_b")) * SIMILAR[0]).select("a", "b"))
+    return durable(both.where(shared * sum(SIMILAR) >= (F.size("keys_a") + F.size("keys_b")) * SIMILAR[0]).select("a", "b"))
 
 
-def _pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, of (key, id, n, at, root) in two tables, where sizes and positions allow for it and components differ."""
-    other = right.select("key", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("at").alias("at2"), F.col("root").alias("root2"))
+def _pairs(left: DataFrame, right: DataFrame, first: bool) -> DataFrame:
+    """Distinct (a, b), a < b, of MET rows of two tables that sizes, positions and parities allow for and whose components differ.
+
+    ``first``: only where a shingle is the first that two texts share, which it is not if the ones before it are equal.
+    """
+    other = right.select("key", *[F.col(c).alias(f"{c}2") for c in MET])
     sizes = F.least("n", "n2") * SIMILAR[1] >= F.greatest("n", "n2") * SIMILAR[0]
     # At a similarity of t, t / (1 + t) of both sizes are shared: from the first shared shingle on.
-    rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * (SIMILAR[0] + SIMILAR[1]) >= (F.col("n") + F.col("n2")) * SIMILAR[0]
+    rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * sum(SIMILAR) >= (F.col("n") + F.col("n2")) * SIMILAR[0]
+    apart = _apart("", "2") * sum(SIMILAR) <= (F.col("n") + F.col("n2")) * (SIMILAR[1] - SIMILAR[0])
     # Of two that pass, one at least has its shingle among the first 1 / 9 of its own.
     a, b = SIMILAR
     early = F.col("at") * (a + b) <= F.col("n") * (b - a)
     early2 = F.col("at2") * (a + b) <= F.col("n2") * (b - a)
     both = left.where(early).join(other, "key").unionByName(left.where(~early).join(other.where(early2), "key"))
     near = both.where((F.col("root") != F.col("root2")) & sizes & rest)
-    return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    if first:
+        near = near.where(F.coalesce(F.col("prev") != F.col("prev2"), F.lit(True)))
+    return near.where(apart).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def _repeated(distinct: DataFrame) -> DataFrame:
@@ -220,30 +236,32 @@ def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
 
 def similar_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b): links that span the components of the ``distinct`` marks, whose texts are in ``rows``."""
-    links = _verified(fingerprint_pairs(distinct), rows, distinct)
+    links = _verified(_allowed(fingerprint_pairs(distinct), distinct), rows)
     keys = _repeated(distinct)
     hot = keys.where(F.col("c") > HOT).select("key")
     if hot.take(1):
         shared = rows.sparkSession.sparkContext.broadcast(spots(hot, "key"))
         distinct = durable(rows.mapInArrow(_marks(shared), MARKS).dropDuplicates(["id"]))
         keys = _repeated(distinct)
-    met = distinct.select("id", "n", F.posexplode("keys").alias("at", "key")).join(keys, "key")
-    met = durable(met.select("key", "id", "n", "at"))
-    early = _rooted(met.where(F.col("at") < FIRST), links)
+    met = distinct.select("id", "n", F.posexplode("keys").alias("at", "key")).join(keys, "key").select("key", "id", "n", "at")
+    before = F.lag("key").over(Window.partitionBy("id").orderBy("at"))
+    met = durable(met.withColumn("prev", before).join(distinct.select("id", *PARITIES), "id"))
+    group = _rooted(met, links)
     leaders = []
     for turn in range(LEADERS):
-        order = F.xxhash64("id", F.lit(turn))
-        leaders.append(early.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "n", "at", "root")).alias("l")).select("key", "l.id", "l.n", "l.at", "l.root"))
-    links = durable(links.unionByName(_verified(_pairs(early, reduce(DataFrame.unionByName, leaders)), rows, distinct)))
+        # The one with the fewest shingles of its own is the nearest to the middle of a group; others are any.
+        order = F.struct(F.col("at") if turn == 0 else F.lit(0), F.xxhash64("id", "key", F.lit(turn)))
+        leaders.append(group.groupBy("key").agg(F.min_by(F.struct(*MET), order).alias("l")).select("key", "l.*"))
+    links = durable(links.unionByName(_verified(_pairs(group, reduce(DataFrame.unionByName, leaders), False), rows)))
     group = _rooted(met, links)
     # What is left: of two members in different components, one at least is outside the first leader's.
-    main = group.groupBy("key").agg(F.min_by("root", F.xxhash64("id", F.lit(0))).alias("main"))
+    main = group.groupBy("key").agg(F.min_by("root", F.struct("at", F.xxhash64("id", "key", F.lit(0)))).alias("main"))
     outside = group.join(main, "key").where("root != main").drop("main")
-    return links.unionByName(_verified(_pairs(outside, group), rows, distinct))
+    return links.unionByName(_verified(_pairs(outside, group, True), rows))
 
 
 def _rooted(met: DataFrame, links: DataFrame) -> DataFrame:
-    """``met`` (key, id, n, at) with the ``root`` of each id's component over ``links``."""
+    """``met`` (key and MET) with the ``root`` of each id's component over ``links``."""
     roots = components(links).withColumnRenamed("node", "id")
     return durable(met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
 

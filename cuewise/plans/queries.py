@@ -64,7 +64,7 @@ def merge_incomplete_lines(spark, sf_dir):
 
 
 def single_char_merge(spark, sf_dir):
-    return _shown(merge.merge_single_char_segments(events(spark, sf_dir).withColumn("text", F.substring("text", 1, 1))))
+    return _shown(merge.merge_single_char_segments(_named(events(spark, sf_dir), LETTERS)))
 
 
 def phrase_filter(spark, sf_dir):
@@ -85,8 +85,19 @@ def filter_chain(spark, sf_dir):
     return _shown(filters.filter_invented(events(spark, sf_dir), config))
 
 
+#: Tokens of at most three letters, and of one, that stand for the types of events.
+TOKENS = {"click": "cli", "purchase": "pur", "signup": "sig", "view": "vie", "error": "err"}
+LETTERS = {"click": "c", "purchase": "p", "signup": "s", "view": "v", "error": "e"}
+
+
+def _named(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Texts that ``names`` holds replaced, others whole."""
+    known = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return df.withColumn("text", F.coalesce(known[F.col("text")], "text"))
+
+
 def _short(df):
-    return df.withColumn("text", F.substring("text", 1, 3))
+    return _named(df, TOKENS)
 
 
 def global_words(spark, sf_dir):
@@ -333,7 +344,8 @@ def _with(*parts: str) -> str:
     return "WITH " + ",".join(parts)
 
 
-_SHORT = "short AS (SELECT * REPLACE (substr(text, 1, 3) AS text) FROM seg)"
+_WHEN = lambda names: "CASE text " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + " ELSE text END"
+_SHORT = f"short AS (SELECT * REPLACE ({_WHEN(TOKENS)} AS text) FROM seg)"
 _TOKEN = f"tok AS (SELECT *, {_ONE} AS token FROM short)"
 _GLOBAL = "hits AS (SELECT media_id, token FROM tok WHERE length(token) <= 3 GROUP BY media_id, token HAVING count(*) >= 14)"
 _WORD_COUNT = "(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text[:-2], ' ', '')) - length(text) + length(text[:-2]) + 1 END)"
@@ -358,7 +370,7 @@ def oracle_sql() -> dict[str, str]:
         "merge_incomplete_lines": _with(_LINES, _merged(0.5, 200, "[.,]$", _WORD_COUNT, "CASE WHEN count(*) = 1 OR min(n) > 0 THEN sum(n) ELSE 0 END")),
         "single_char_merge": _with(
             _EVENTS,
-            "one AS (SELECT * REPLACE (substr(text, 1, 1) AS text) FROM seg)",
+            f"one AS (SELECT * REPLACE ({_WHEN(LETTERS)} AS text) FROM seg)",
             "n AS (SELECT *, CASE WHEN text = lag(text) OVER (PARTITION BY media_id ORDER BY seg_idx) THEN 0 ELSE 1 END AS fresh FROM one)",
             "g AS (SELECT *, sum(fresh) OVER (PARTITION BY media_id ORDER BY seg_idx) AS island FROM n)",
             "m AS (SELECT media_id, min(seg_idx) AS seg_idx, arg_min(s, seg_idx) AS s, arg_max(e, seg_idx) AS e, string_agg(text, '、' ORDER BY seg_idx) AS text FROM g GROUP BY media_id, island)",

@@ -97,6 +97,13 @@ def test_split_long_lines(spark):
         ("こんにちは", ["こんにちは"]),
         ("", None),
         ("plain words", None),
+        ('{"polished": ["a, [b]", "c\\"d"], "n": 1', ["a, [b]", 'c"d']),
+        ("{'polished': ['a' 'b',]}", ["a", "b"]),
+        ('1. "a" [x]\n2. b', ['"a" [x]', "b"]),
+        ('so: {"other": {"polished": ["a"]}} {"polished": ["b"]}', ["b"]),
+        ('{"polished": ["\\u3042\\ud83d\\ude00"]}', ["あ😀"]),
+        ("don't know", None),
+        ("[]", []),
     ],
 )
 def test_response(raw, want):

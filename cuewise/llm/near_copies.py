@@ -15,10 +15,14 @@ Operator 10 with the parameters of a corpus: shingles of five words. Texts reduc
    Of a pair, the first shingle they share also bounds from its two positions how many more they can share; a pair
    that no shared shingle allows for is no candidate. That is so for texts of which a common passage is the larger part.
 
+3. A candidate's parities and prefixes are compared before its whole sets. Of an overlap that two sets need, each has at
+   most what is behind its prefix outside of it, so the prefixes themselves must share the rest, exactly: a tenth of
+   the sets where they are of one size. Two long texts that share a passage fail there.
+
 Texts that share a shingle are compared with a few leaders of theirs first, which joins large groups of near copies by
 as many comparisons as they have members; then only pairs from different components are compared, and only at the first
-shingle they share. A wide fingerprint (the parities of the shingles on BITS bits) rules out pairs that differ too much, again without a miss; the
-others are compared by their whole sets. Components are closed over links, as in ``simhash``.
+shingle they share. A wide fingerprint (the parities of the shingles on BITS bits; folded to fewer where it travels with
+every shingle) rules out pairs that differ too much, again without a miss; the others are compared by their whole sets. Components are closed over links, as in ``simhash``.
 
 Defined cases: texts without words (null, empty, blank) are copies of each other; texts of fewer than SHINGLE words
 are one shingle; very long texts have all their shingles; shingles and sequences of words count as equal where their
@@ -168,26 +172,47 @@ def _sets(shared) -> callable:
 
 
 PARITIES = [f"b{i}" for i in range(BITS // 64)]
-MET = ["id", "n", "at", "prev", "root", *PARITIES]
+FOLDED = ["q0", "q1"]
 MARKS = "h1 long, h2 long, id long, n int, fp long, keys array<long>, " + ", ".join(f"{b} long" for b in PARITIES)
 
 
-def _apart(a: str, b: str) -> Column:
-    """How many parities differ between two rows, whose columns end in ``a`` and ``b``."""
-    return sum((F.bit_count(F.col(f"{x}{a}").bitwiseXOR(F.col(f"{x}{b}"))) for x in PARITIES), F.lit(0))
+def _apart(names: list[str], a: str, b: str) -> Column:
+    """How many bits of the columns ``names`` differ between two rows, whose columns end in ``a`` and ``b``."""
+    return sum((F.bit_count(F.col(f"{x}{a}").bitwiseXOR(F.col(f"{x}{b}"))) for x in names), F.lit(0))
+
+
+def _folded() -> list[Column]:
+    """The parities on fewer bits: that of a bit is the parity of those folded onto it."""
+    fold = lambda i: reduce(Column.bitwiseXOR, [F.col(b) for b in PARITIES[i :: len(FOLDED)]])
+    return [fold(i).alias(q) for i, q in enumerate(FOLDED)]
 
 
 def _allowed(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b) of those ``pairs`` that the parities allow for."""
     mark = lambda x: distinct.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), *[F.col(b).alias(f"{b}_{x}") for b in PARITIES])
     most = (F.col("n_a") + F.col("n_b")) * (SIMILAR[1] - SIMILAR[0])
-    return pairs.join(mark("a"), "a").join(mark("b"), "b").where(_apart("_a", "_b") * sum(SIMILAR) <= most).select("a", "b")
+    return pairs.join(mark("a"), "a").join(mark("b"), "b").where(_apart(PARITIES, "_a", "_b") * sum(SIMILAR) <= most).select("a", "b")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+
+
+def _close(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b) of those ``pairs`` whose prefixes share as many shingles as similar sets' must."""
+    asked = durable(distinct.select("id", "n", "keys").join(_ids(pairs), "id", "left_semi"))
+    of = lambda x: asked.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("keys").alias(f"keys_{x}"))
+    overlap = F.ceil((F.col("n_a") + F.col("n_b")) * SIMILAR[0] / sum(SIMILAR))
+    # Behind the prefix of a set of n are ceil(t n) - 1 shingles.
+    behind = F.ceil(F.greatest("n_a", "n_b") * SIMILAR[0] / SIMILAR[1]) - 1
+    shared = F.size(F.array_intersect("keys_a", "keys_b"))
+    return pairs.join(of("a"), "a").join(of("b"), "b").where(shared >= overlap - behind).select("a", "b")
 
 
-def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """(a, b) of those ``pairs`` whose whole sets are similar."""
-    pairs = durable(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFrame:
+    """(a, b) of those ``pairs`` whose whole sets are similar; ``distinct`` holds their marks, ``rows`` their texts."""
+    pairs = durable(_close(durable(_allowed(pairs, distinct)), distinct))
+    ids = _ids(pairs)
     if not ids.take(1):
         return pairs
     asked = rows.sparkSession.sparkContext.broadcast(spots(ids, "id"))
@@ -199,25 +224,28 @@ def _verified(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return durable(both.where(shared * sum(SIMILAR) >= (F.size("keys_a") + F.size("keys_b")) * SIMILAR[0]).select("a", "b"))
 
 
-def _pairs(left: DataFrame, right: DataFrame, first: bool) -> DataFrame:
-    """Distinct (a, b), a < b, of MET rows of two tables that sizes, positions and parities allow for and whose components differ.
+def _pairs(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Distinct (a, b), a < b, of rows of two tables with a key and ``names`` that sizes and positions allow for and whose components differ.
 
-    ``first``: only where a shingle is the first that two texts share, which it is not if the ones before it are equal.
+    With ``prev`` among the names, only where a shingle is the first that two texts share, which it is not if the ones
+    before it are equal; with the folded parities, only where those allow for it.
     """
-    other = right.select("key", *[F.col(c).alias(f"{c}2") for c in MET])
+    other = right.select("key", *[F.col(c).alias(f"{c}2") for c in names])
+    left = left.select("key", *names)
     sizes = F.least("n", "n2") * SIMILAR[1] >= F.greatest("n", "n2") * SIMILAR[0]
     # At a similarity of t, t / (1 + t) of both sizes are shared: from the first shared shingle on.
     rest = F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2")) * sum(SIMILAR) >= (F.col("n") + F.col("n2")) * SIMILAR[0]
-    apart = _apart("", "2") * sum(SIMILAR) <= (F.col("n") + F.col("n2")) * (SIMILAR[1] - SIMILAR[0])
     # Of two that pass, one at least has its shingle among the first 1 / 9 of its own.
     a, b = SIMILAR
     early = F.col("at") * (a + b) <= F.col("n") * (b - a)
     early2 = F.col("at2") * (a + b) <= F.col("n2") * (b - a)
     both = left.where(early).join(other, "key").unionByName(left.where(~early).join(other.where(early2), "key"))
     near = both.where((F.col("root") != F.col("root2")) & sizes & rest)
-    if first:
+    if "prev" in names:
         near = near.where(F.coalesce(F.col("prev") != F.col("prev2"), F.lit(True)))
-    return near.where(apart).select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    if FOLDED[0] in names:
+        near = near.where(_apart(FOLDED, "", "2") * (a + b) <= (F.col("n") + F.col("n2")) * (b - a))
+    return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
 def _repeated(distinct: DataFrame) -> DataFrame:
@@ -236,7 +264,7 @@ def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
 
 def similar_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     """(a, b): links that span the components of the ``distinct`` marks, whose texts are in ``rows``."""
-    links = _verified(_allowed(fingerprint_pairs(distinct), distinct), rows)
+    links = _verified(fingerprint_pairs(distinct), distinct, rows)
     keys = _repeated(distinct)
     hot = keys.where(F.col("c") > HOT).select("key")
     if hot.take(1):
@@ -245,23 +273,23 @@ def similar_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
         keys = _repeated(distinct)
     met = distinct.select("id", "n", F.posexplode("keys").alias("at", "key")).join(keys, "key").select("key", "id", "n", "at")
     before = F.lag("key").over(Window.partitionBy("id").orderBy("at"))
-    met = durable(met.withColumn("prev", before).join(distinct.select("id", *PARITIES), "id"))
+    met = durable(met.withColumn("prev", before).join(distinct.select("id", *_folded()), "id"))
     group = _rooted(met, links)
-    leaders = []
-    for turn in range(LEADERS):
-        # The one with the fewest shingles of its own is the nearest to the middle of a group; others are any.
-        order = F.struct(F.col("at") if turn == 0 else F.lit(0), F.xxhash64("id", "key", F.lit(turn)))
-        leaders.append(group.groupBy("key").agg(F.min_by(F.struct(*MET), order).alias("l")).select("key", "l.*"))
-    links = durable(links.unionByName(_verified(_pairs(group, reduce(DataFrame.unionByName, leaders), False), rows)))
+    member = ["id", "n", "at", "root"]
+    # The one with the fewest shingles of its own is the nearest to the middle of a group; others are any.
+    order = lambda turn: F.struct(F.lit(0) if turn else F.col("at"), F.xxhash64("id", "key", F.lit(turn)))
+    found = group.groupBy("key").agg(*[F.min_by(F.struct(*member), order(turn)).alias(f"l{turn}") for turn in range(LEADERS)])
+    leaders = found.select("key", F.explode(F.array_distinct(F.array(*[f"l{turn}" for turn in range(LEADERS)]))).alias("l")).select("key", "l.*")
+    links = durable(links.unionByName(_verified(_pairs(group, leaders, member), distinct, rows)))
     group = _rooted(met, links)
-    # What is left: of two members in different components, one at least is outside the first leader's.
-    main = group.groupBy("key").agg(F.min_by("root", F.struct("at", F.xxhash64("id", "key", F.lit(0)))).alias("main"))
-    outside = group.join(main, "key").where("root != main").drop("main")
-    return links.unionByName(_verified(_pairs(outside, group, True), rows))
+    # What is left: keys in several components. Of two members in different ones, one at least is outside the first leader's.
+    main = group.groupBy("key").agg(F.min_by("root", order(0)).alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
+    mixed = durable(group.join(main.where("low != high").select("key", "main"), "key"))
+    return links.unionByName(_verified(_pairs(mixed.where("root != main"), mixed, [*member, "prev", *FOLDED]), distinct, rows))
 
 
 def _rooted(met: DataFrame, links: DataFrame) -> DataFrame:
-    """``met`` (key and MET) with the ``root`` of each id's component over ``links``."""
+    """``met`` with the ``root`` of each id's component over ``links``."""
     roots = components(links).withColumnRenamed("node", "id")
     return durable(met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
 

@@ -136,7 +136,7 @@ def format_display_time(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%06.3f", hours.cast("int"), minutes.cast("int"), F.pmod(seconds, F.lit(60.0)))
 
 
-def piece_edges(text: str, most: int, primary: frozenset[str], secondary: frozenset[str], near: int, far: int, slack: int) -> list[int]:
+def piece_edges(text: str, most: int, primary: frozenset[str], secondary: frozenset[str], near: int = 5, far: int = 10, slack: int = 5) -> list[int]:
     """Where the pieces of a text without word timings begin and end: 0, the cuts, the length.
 
     A piece that has ``most`` characters ends at the first primary break among its last character and the

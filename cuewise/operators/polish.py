@@ -13,15 +13,17 @@ from cuewise.functions.jsonfix import response_items
 from cuewise.functions.similarity import text_similarity
 from cuewise.operators.cues import batches
 from cuewise.operators.models import TextModel, TextModelFactory
-from cuewise.schema import SEGMENT, reindex
+from cuewise.schema import COLUMNS, SEGMENT, reindex
 
 POLISH = "Correct only clear recognition errors and punctuation in these subtitles; add, drop and reorder nothing.\n{lines}\n" 'Answer with JSON only: {{"polished": ["...", "..."]}}'
 SPLIT = "Split this subtitle at natural pauses into pieces of about {most} characters; change nothing.\n1. {text}\n" 'Answer with JSON only: {{"segments": ["...", "..."]}}'
 
 #: What a split must keep of the text, and how pieces are matched to words.
 SHORTEST, LONGEST, ALIKE = 0.8, 1.3, 0.85
-NEAR, ACCEPT, COVER = 0.95, 0.70, 0.8
+ACCEPT, COVER = 0.70, 0.8
 LEAST_SECONDS = 0.5
+#: How far behind a piece's length its words are looked for, and from how much before it an end counts.
+REACH, SPARE, BEFORE = 2, 10, 5
 
 
 def _ask(model: TextModel, texts: list[str], llm: dict) -> list[str]:
@@ -89,9 +91,9 @@ def _reach(rest: str, piece: str) -> int:
         return at + len(piece)
     best, end = 0.0, 0
     matched = 0
-    for n, c in enumerate(rest[: 2 * len(piece) + 10], 1):
+    for n, c in enumerate(rest[: REACH * len(piece) + SPARE], 1):
         matched += matched < len(piece) and c == piece[matched]
-        if n >= max(1, len(piece) - 5):
+        if n >= max(1, len(piece) - BEFORE):
             score = COVER * matched / len(piece) + (1 - COVER) * matched / n
             if score > best:
                 best, end = score, n
@@ -159,18 +161,26 @@ def split_row(model: TextModel, start: float, end: float, text: str, words: list
 
 
 def split_with_model(df: DataFrame, model: TextModelFactory, most: int = 30, rate: float = 20.0, llm: dict | None = None) -> DataFrame:
-    """Segments with words and more than ``most`` characters, split by a model; others as they are. No shuffle but the renumbering's."""
+    """Segments of more than ``most`` characters, split by a model; others as they are.
+
+    Pieces get the times of their words, or of their share of the characters where there are none. One pass over what
+    comes before: short segments go through the same tasks, and the model is asked for long ones alone. A model that
+    can't be made leaves all segments whole. A null text stays as it is. No shuffle but the renumbering's.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = model()
+        try:
+            own = model()
+        except Exception:  # whatever the plugged-in model raised: its segments stay whole
+            own = None
         for frame in frames:
             out = []
             for r in frame.itertuples():
-                for k, (a, b, text, words) in enumerate(split_row(own, r.start, r.end, r.text, [dict(w) for w in r.words], most, rate, llm or {})):
-                    out.append((r.media_id, r.seg_idx, k, a, b, text, list(words)))
+                words = [] if r.words is None else [dict(w) for w in r.words]
+                whole = [(r.start, r.end, r.text, words)]
+                pieces = whole if own is None or not isinstance(r.text, str) else split_row(own, r.start, r.end, r.text, words, most, rate, llm or {})
+                out += [(r.media_id, r.seg_idx, k, *piece) for k, piece in enumerate(pieces)]
             yield pd.DataFrame(out, columns=["media_id", "seg_idx", "sub_idx", "start", "end", "text", "words"])
 
     schema = SEGMENT.replace("seg_idx int,", "seg_idx int, sub_idx int,")
-    long = (F.size("words") > 0) & (F.length("text") > most)
-    made = df.where(long).mapInPandas(run, schema).unionByName(df.where(~long).withColumn("sub_idx", F.lit(0)))
-    return reindex(made, "seg_idx", "sub_idx")
+    return reindex(df.select(*COLUMNS).mapInPandas(run, schema), "seg_idx", "sub_idx")

@@ -35,14 +35,17 @@ def word_edges(words: list[str], most: int, primary: tuple[str, ...], secondary:
     return edges if edges[-1] == len(words) else [*edges, len(words)]
 
 
-def _word_edges(most: int, primary: tuple[str, ...], secondary: tuple[str, ...]) -> Column:
-    """Only the words' texts travel to the UDF, and only positions come back."""
+def _edges(long: Column, worded: Column, most: int, primary: tuple[str, ...], secondary: tuple[str, ...], char_primary: tuple[str, ...], char_secondary: tuple[str, ...]) -> Column:
+    """Positions where long segments are cut, in words or in characters; null for others, of which no text travels to the UDF."""
+    hard, soft = frozenset(char_primary), frozenset(char_secondary)
 
     @F.pandas_udf(ArrayType(IntegerType()))
-    def edges(words: pd.Series) -> pd.Series:
-        return pd.Series([word_edges(list(w), most, primary, secondary) for w in words])
+    def edges(words: pd.Series, texts: pd.Series) -> pd.Series:
+        cut = lambda w, t: word_edges(list(w), most, primary, secondary) if w is not None else None if t is None else T.piece_edges(t, most, hard, soft)
+        return pd.Series(list(map(cut, words, texts)), dtype=object)
 
-    return edges(F.transform("words", lambda w: F.coalesce(w["word"], F.lit(""))))
+    own = F.transform("words", lambda w: F.coalesce(w["word"], F.lit("")))
+    return edges(F.when(long & worded, own), F.when(long & ~worded, F.col("text")))
 
 
 def _by_words(edges: Column) -> Column:
@@ -72,19 +75,18 @@ def split_segments(
 ) -> DataFrame:
     """Segments of more than ``max_length`` trimmed characters, split by their words, or by characters if they have none.
 
-    Short segments, most of all, never leave the JVM; only the renumbering shuffles.
+    One projection: what comes before stands in the plan once, and only the renumbering shuffles. A null text stays as
+    it is; null words count as none.
     """
     rows = df.withColumn("text", T.strip(F.col("text")))
-    long, worded = F.length("text") > max_length, F.size("words") > 0
-    short = rows.where(~F.coalesce(long, F.lit(False))).select("media_id", "seg_idx", F.lit(0).alias("sub_idx"), "start", "end", "text", "words")
-    by_word = rows.where(long & worded).withColumn("edges", _word_edges(max_length, primary, secondary)).withColumn("pieces", _by_words(F.col("edges")))
-    by_char = rows.where(long & ~worded).withColumn("edges", T.cut_edges(F.col("text"), max_length, char_primary, char_secondary)).withColumn("pieces", _by_characters(F.col("edges"), F.col("text")))
-    out = short
-    for part in (by_word, by_char):
-        # Outer: else the optimizer repeats the whole expression in a filter on its size.
-        made = part.select("media_id", "seg_idx", F.posexplode_outer("pieces").alias("sub_idx", "piece"))
-        out = out.unionByName(made.select("media_id", "seg_idx", "sub_idx", "piece.*"))
-    return reindex(out, "seg_idx", "sub_idx")
+    long = F.coalesce(F.length("text") > max_length, F.lit(False))
+    worded = F.coalesce(F.size("words") > 0, F.lit(False))
+    cut = rows.withColumn("edges", _edges(long, worded, max_length, primary, secondary, char_primary, char_secondary))
+    whole = F.array(F.struct("start", "end", "text", "words")).cast(PIECES)
+    pieces = F.when(~long, whole).when(worded, _by_words(F.col("edges"))).otherwise(_by_characters(F.col("edges"), F.col("text")))
+    # Outer: else the optimizer repeats the whole expression in a filter on its size.
+    made = cut.select("media_id", "seg_idx", F.posexplode_outer(pieces).alias("sub_idx", "piece"))
+    return reindex(made.select("media_id", "seg_idx", "sub_idx", "piece.*"), "seg_idx", "sub_idx")
 
 
 def bypass_split(df: DataFrame) -> DataFrame:

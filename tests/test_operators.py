@@ -50,6 +50,16 @@ def test_split_by_characters(segments, listed):
     assert [len(r[2]) for r in listed(split.split_segments(segments((0, 5, "あ" * 50)), 20))] == [25, 25]
 
 
+def test_split_is_one_projection(spark, segments, listed):
+    df = segments((0, 12, "あいえお。かきくけこ。" * 2), (12, 13, "短い"))
+    plan = split.split_segments(df, 5)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
+    odd = df.withColumn("words", F.lit(None).cast("array<struct<word:string,start:double,end:double>>"))
+    assert listed(split.split_segments(odd, 5)) == listed(split.split_segments(df, 5))
+    none = df.withColumn("text", F.lit(None).cast("string"))
+    assert [r[2] for r in listed(split.split_segments(none, 5))] == [None, None]
+
+
 def test_split_by_words(segments, listed):
     words = [word(t, i, i + 1) for i, t in enumerate(["これは", "長い", "テキスト", "です", "。", "次", "も"])]
     rows = listed(split.split_segments(segments((0, 7, "これは長いテキストです。次も", words)), 5))
@@ -188,6 +198,13 @@ def test_model_split(segments, listed):
     df = segments((0, 5, "これは長い文章です。さらに続きます。", words))
     assert listed(polish.split_with_model(df, Halves, 10)) == [(0, 3, "これは長い文章です。"), (3, 5, "さらに続きます。")]
     assert polish.split_row(Halves(), 0, 6, "これは長い文章です。さらに続きます。", [], 10, 20, {})[0][1] == pytest.approx(6 * 10 / 18)
+    bare = segments((0, 6, "これは長い文章です。さらに続きます。"), (6, 7, "短い"))
+    assert [r[2] for r in listed(polish.split_with_model(bare, Halves, 10))] == ["これは長い文章です。", "さらに続きます。", "短い"]
+
+    def broken():
+        raise RuntimeError("no model")
+
+    assert listed(polish.split_with_model(bare, broken, 10)) == listed(bare)
     assert len(polish.split_row(Halves(), 0, 5, "全く違うテキストがここにある", [], 10, 20, {})) == 1
     assert not polish.valid_split("abc", [" "])
 

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuewise.llm import decontamination, fingerprint, hmm, language_id, mixing, pii, sharding, simhash, toxicity, url_filter
+from cuewise.llm import decontamination, fingerprint, hmm, language_id, mixing, pii, sharding, simhash, spelling, top_k, toxicity, url_filter, whitening
 from cuewise.llm.common import documents, table
+from cuewise.sources.tables import spread
 
 #: The test tables have no list of URLs: the query lists those pages that it finds on these hosts.
 LISTED_HOSTS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -56,6 +57,18 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op11_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(spread(table(spark, sf_dir, "embeddings")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spread(table(spark, sf_dir, "embeddings")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -111,5 +124,17 @@ FROM f
 """
 
 
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id
+  WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op8_source_mixing": OP8_SQL}
+    return {"op2_url_filter": OP2_SQL, "op8_source_mixing": OP8_SQL, "op11_ball_tree_top_k": OP11_SQL}

@@ -6,19 +6,21 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from cuewise.functions.similarity import text_similarity
 from cuewise.functions.text import normalize_text
+from cuewise.operators.hearing import heard_lists, with_heard
 from cuewise.operators.merge import merge_single_char_segments, remove_consecutive_duplicates
-from cuewise.operators.models import STRICT, RecogniserFactory
-from cuewise.schema import COLUMNS, SEGMENT, reindex
+from cuewise.operators.models import STRICT, Recogniser, RecogniserFactory
+from cuewise.schema import COLUMNS, SEGMENT, WORDS, reindex
 
 LOUDEST_SECONDS = 0.1
 SAME = 0.75
+HEARD_WORDS = pa.list_(pa.struct([("word", pa.string()), ("start", pa.float64()), ("end", pa.float64())]))
 _NORMALIZE = re.compile(r"[\s、。！？…\.,!?]+")
 
 
@@ -56,23 +58,21 @@ def remove_phrases(df: DataFrame, patterns: list[str], recogniser: RecogniserFac
     if not patterns:
         return df
     struck = matches_phrase(F.col("text"), patterns)
-    kept = df.where(~struck)
     if recogniser is None:
-        return reindex(kept)
-    again = revalidate(df.where(struck), recogniser, truth)
-    clean = lambda c: normalize_text(F.col(c))
-    differs = _similarity_below(clean("text"), clean("new_text"))
-    fresh = again.where(F.col("new_text").isNotNull() & differs & ~matches_phrase(F.col("new_text"), patterns))
-    new = fresh.select("media_id", "seg_idx", "start", "end", F.col("new_text").alias("text"), F.col("new_words").alias("words"), F.lit(0).alias("__n"))
-    out = kept.withColumn("__n", F.lit(0)).unionByName(new)
-    if compat:
-        out = out.unionByName(fresh.select(*COLUMNS).withColumn("__n", F.lit(1)))
-    return reindex(out, "seg_idx", "__n")
+        return reindex(df.where(~struck))
+    rows = revalidate(df, recogniser, truth, struck)
+    clean = lambda c: F.when(F.col("again"), normalize_text(F.col(c)))
+    differs = F.col("new_text").isNotNull() & _similarity_below(clean("text"), clean("new_text")) & ~matches_phrase(F.col("new_text"), patterns)
+    old = F.struct(F.col("text"), F.col("words"), F.lit(1).alias("n"))
+    new = F.struct(F.col("new_text").alias("text"), F.col("new_words").alias("words"), F.lit(0).alias("n"))
+    out = F.when(~F.col("again"), F.array(old)).when(differs, F.array(new, old) if compat else F.array(new))
+    made = rows.select("media_id", "seg_idx", "start", "end", F.explode(out).alias("r")).select("media_id", "seg_idx", "start", "end", "r.*")
+    return reindex(made, "seg_idx", "n")
 
 
-@F.pandas_udf(BooleanType())
-def _similarity_below(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([text_similarity(x, y) < SAME for x, y in zip(a, b, strict=True)], dtype="bool")
+@F.arrow_udf(BooleanType())
+def _similarity_below(a: pa.Array, b: pa.Array) -> pa.Array:
+    return pa.array([text_similarity(x, y) < SAME for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
 
 
 def is_suspicious(max_rate: float = 20.0) -> Column:
@@ -84,12 +84,9 @@ def is_suspicious(max_rate: float = 20.0) -> Column:
 def validate_timing(df: DataFrame, max_rate: float = 20.0, recogniser: RecogniserFactory | None = None, truth: DataFrame | None = None) -> DataFrame:
     """Drops segments without duration, and suspicious ones unless a recogniser hears speech there, whose text they get."""
     timed = df.where("end > start")
-    kept = timed.where(~is_suspicious(max_rate))
     if recogniser is None:
-        return reindex(kept)
-    again = revalidate(timed.where(is_suspicious(max_rate)), recogniser, truth).where("new_text is not null")
-    new = again.select("media_id", "seg_idx", "start", "end", F.col("new_text").alias("text"), F.col("new_words").alias("words"))
-    return reindex(kept.unionByName(new))
+        return reindex(timed.where(~is_suspicious(max_rate)))
+    return _renewed(revalidate(timed, recogniser, truth, is_suspicious(max_rate)))
 
 
 def needs_second_look(max_rate: float = 20.0) -> Column:
@@ -101,44 +98,51 @@ def needs_second_look(max_rate: float = 20.0) -> Column:
 
 def revalidate_segments(df: DataFrame, recogniser: RecogniserFactory, truth: DataFrame | None = None, max_rate: float = 20.0) -> DataFrame:
     """Segments that need a second look get what is heard in their time; those without speech go."""
-    again = revalidate(df.where(needs_second_look(max_rate)), recogniser, truth).where("new_text is not null")
-    new = again.select("media_id", "seg_idx", "start", "end", F.col("new_text").alias("text"), F.col("new_words").alias("words"))
-    return reindex(df.where(~F.coalesce(needs_second_look(max_rate), F.lit(False))).unionByName(new))
+    return _renewed(revalidate(df, recogniser, truth, needs_second_look(max_rate)))
 
 
-def revalidate(df: DataFrame, recogniser: RecogniserFactory, truth: DataFrame | None = None) -> DataFrame:
-    """``df`` with new_text and new_words: what strict recognition hears in each segment's time.
+def revalidate(df: DataFrame, recogniser: RecogniserFactory, truth: DataFrame | None = None, only: Column | None = None) -> DataFrame:
+    """``df`` with again, new_text and new_words: what strict recognition hears in the time of the segments for which ``only`` holds.
 
-    Null text: no speech. A slice under 0.1 s, or an error, keeps the text and loses the words.
-    ``truth``, if given, holds rows (media_id, word, start, end) for a recogniser that reads them.
+    Null text: no speech. A slice under 0.1 s, or an error, keeps the text and loses the words. Others have neither.
+    ``truth``, if given, holds rows (media_id, word, start, end), of which ``recogniser`` gets those in a segment's time;
+    else it gets None, once a task.
     """
-    schema = SEGMENT + ", new_text string, new_words array<struct<word:string,start:double,end:double>>"
-
-    def hear(rows: pd.DataFrame, media: pd.DataFrame | None) -> pd.DataFrame:
-        rows = rows.sort_values("seg_idx")
-        new: list[tuple[str | None, list]] = []
-        own = recogniser(media)
-        for r in rows.itertuples():
-            try:
-                if r.end - r.start < LOUDEST_SECONDS:
-                    raise ValueError("too short to recognise")
-                heard = own.transcribe(r.media_id, r.start, r.end, True, STRICT)
-                text = "".join(s["text"].strip() for s in heard["segments"])
-                words = [{**w, "start": w["start"] + r.start, "end": w["end"] + r.start} for s in heard["segments"] for w in s["words"]]
-                new.append((text, words) if text else (None, []))
-            except Exception:  # the segment stays as it was, whatever the recogniser raised
-                new.append((r.text, []))
-        as_lists = lambda xs: pd.Series([list(x) for x in xs], index=rows.index, dtype="object")
-        return rows.assign(words=as_lists(rows["words"]), new_text=pd.Series([n[0] for n in new], index=rows.index, dtype="object"), new_words=as_lists(n[1] for n in new))
-
-    if truth is not None:
-        return df.groupBy("media_id").cogroup(truth.groupBy("media_id")).applyInPandas(lambda a, b: hear(a, b), schema)
-
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield hear(frame, None)
-
-    return df.mapInPandas(batches, schema)
+    again = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
+    rows = df.select(*COLUMNS, again.alias("again"))
+    table = truth is not None
+    if table:
+        rows = with_heard(rows, truth, F.when(F.col("again"), F.col("start")), F.col("end"))
+
+    def hear(own: Recogniser, media: str, start: float, end: float, text: str) -> tuple[str | None, list]:
+        try:
+            if end - start < LOUDEST_SECONDS:
+                raise ValueError("too short to recognise")
+            heard = own.transcribe(media, start, end, True, STRICT)
+            new = "".join(s["text"].strip() for s in heard["segments"])
+            words = [{**w, "start": w["start"] + start, "end": w["end"] + start} for s in heard["segments"] for w in s["words"]]
+            return (new, words) if new else (None, [])
+        except Exception:  # the segment stays as it was, whatever the recogniser raised
+            return text, []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shared = None if table else recogniser(None)
+        for batch in batches:
+            heard = heard_lists(batch) if table else [None] * batch.num_rows
+            flagged = [batch.column(c).to_pylist() for c in ("again", "media_id", "start", "end", "text")]
+            new = [hear(shared or recogniser(w), *row) if yes else (None, None) for (yes, *row), w in zip(zip(*flagged, strict=True), heard, strict=True)]
+            own = [*COLUMNS, "again"]
+            made = [pa.array([n[0] for n in new], pa.string()), pa.array([n[1] for n in new], HEARD_WORDS)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], *made], [*own, "new_text", "new_words"])
+
+    return rows.mapInArrow(run, f"{SEGMENT}, again boolean, new_text string, new_words {WORDS}")
+
+
+def _renewed(rows: DataFrame) -> DataFrame:
+    """Of rows that were looked at again those with speech stay, with what was heard; others as they are."""
+    renewed = rows.where("not again or new_text is not null")
+    pick = lambda new, old: F.when(F.col("again"), F.col(new)).otherwise(F.col(old)).alias(old)
+    return reindex(renewed.select("media_id", "seg_idx", "start", "end", pick("new_text", "text"), pick("new_words", "words")))
 
 
 def filter_invented(df: DataFrame, config: dict, recogniser: RecogniserFactory | None = None, truth: DataFrame | None = None) -> DataFrame:

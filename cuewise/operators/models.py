@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from itertools import accumulate
 from typing import Any, Protocol
 
@@ -20,8 +20,8 @@ class Recogniser(Protocol):
         """{"text": str, "segments": [{"start", "end", "text", "words": [{"word", "start", "end"}]}]}"""
 
 
-#: Makes a recogniser on an executor; gets the media item's rows of the truth table, or None.
-RecogniserFactory = Callable[[pd.DataFrame | None], Recogniser]
+#: Makes a recogniser on an executor; gets words (start, end, word) of the truth table, those near a segment at least, or None.
+RecogniserFactory = Callable[[Sequence[tuple[float, float, str]] | None], Recogniser]
 
 
 class TextModel(Protocol):
@@ -41,13 +41,15 @@ def recognition_params(config: dict, device: str = "cpu", **over: Any) -> dict[s
 class TableRecogniser:
     """Hears the words of a table (word, start, end) that a slice of time overlaps.
 
-    Words that follow each other within ``pause`` seconds form a segment.
+    Words that follow each other within ``pause`` seconds form a segment. ``rows``: tuples (start, end, word), or a
+    frame with these columns.
     """
 
-    def __init__(self, rows: pd.DataFrame | None, pause: float = 0.5) -> None:
+    def __init__(self, rows: pd.DataFrame | Sequence[tuple[float, float, str]] | None, pause: float = 0.5) -> None:
         self.pause = pause
-        rows = pd.DataFrame({"word": [], "start": [], "end": []}) if rows is None else rows
-        self.words = sorted(zip(rows["start"], rows["end"], rows["word"], strict=True))
+        if isinstance(rows, pd.DataFrame):
+            rows = list(zip(rows["start"], rows["end"], rows["word"], strict=True))
+        self.words = sorted(rows or [])
         self.starts = [w[0] for w in self.words]
         self.reach = list(accumulate((w[1] for w in self.words), max))  # the latest end up to each word
 

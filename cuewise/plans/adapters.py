@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from cuewise.schema import COLUMNS, WORDS, no_words
+from cuewise.sources.tables import dealt
 
 #: Characters a second of the synthetic clock.
 CLOCK = 15.0
@@ -32,7 +33,7 @@ def seg_lines(documents: DataFrame) -> DataFrame:
 
 def seg_turns(conversations: DataFrame) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("string").alias("media_id"), F.col("turn").cast("int").alias("seg_idx"), F.coalesce("text", F.lit("")).alias("text"))
-    return _timed(rows)
+    return _timed(dealt(rows, "media_id"))
 
 
 def seg_events(events: DataFrame) -> DataFrame:

@@ -14,5 +14,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` dealt out by columns to all of the session's shuffle partitions, which adaptive execution then leaves as they are.
+
+    It merges partitions of few bytes, but Python that reads them may need much time for each byte.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

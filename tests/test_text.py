@@ -104,6 +104,13 @@ def test_split_long_lines(spark):
         ('{"polished": ["\\u3042\\ud83d\\ude00"]}', ["あ😀"]),
         ("don't know", None),
         ("[]", []),
+        ("Here you go:\n1. see [1]\n2. second", ["see [1]", "second"]),
+        ('Result:\n1. a\n2. ["b"]\n3. c', ["a", '["b"]', "c"]),
+        ('["a", "b"]\n1. c', ["a", "b"]),
+        ('```json\n["1. a", "b"]\n```', ["1. a", "b"]),
+        ('[JSON]\n["a"]\n2) no', ["a"]),
+        ('{"polished": ["a\\tb", "c', ["a\tb"]),
+        ('{"polished": ["q\\"uo", 1, null, {"x": ["y"]}]}', ['q"uo', "1", "null", '{"x": ["y"]}']),
     ],
 )
 def test_response(raw, want):

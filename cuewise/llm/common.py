@@ -59,25 +59,78 @@ def order_key(column: str) -> Column:
     return F.coalesce(F.col(column).cast("long"), F.lit(LOWEST))
 
 
-def range_bins(df: DataFrame, column: str, rows_per_bin: int) -> DataFrame:
-    """Adds ``bin`` (int): consecutive ranges of ``column`` (a long) of about ``rows_per_bin`` rows.
+#: The most bins that one table is cut into: what the driver holds of them is bounded, and beyond it bins get larger.
+MAX_BINS = 1 << 14
+#: A key with more than this share of all rows is hot: there are fewer than 1 / HOT_SHARE of them, so a table of them is small.
+HOT_SHARE = 1 / 2048
 
-    The bounds are quantiles of the column, so the bins are even whatever its distribution, and they
-    are literals, so a recomputed task finds the same bins.
+
+def range_bins(df: DataFrame, column: str, rows_per_bin: int, tie: Column) -> DataFrame:
+    """Adds ``bin`` (int): consecutive ranges of (``column``, ``tie``) of about ``rows_per_bin`` rows.
+
+    ``column`` is a long; ``tie`` a double in [0, 1) that is spread evenly, as of a hash, and orders equal values. The bounds are quantiles of
+    the column, so the bins are even whatever its distribution; a value that fills bins by itself (as null ids do) is cut
+    by ``tie`` into even parts. Bounds are literals, MAX_BINS at most, so a recomputed task finds the same bins.
+    Rows that are equal in both stay in one bin.
     """
     from pyspark.ml.feature import Bucketizer
 
     n = df.count()
-    bins = max(1, math.ceil(n / rows_per_bin))
-    bounds: list[float] = []
-    if bins > 1:
-        bounds = df.approxQuantile(column, [i / bins for i in range(1, bins)], min(0.05, 0.2 / bins))
-    splits = [-math.inf, *sorted(set(bounds)), math.inf]
-    if len(splits) == 2:
+    bins = min(MAX_BINS, max(1, math.ceil(n / rows_per_bin)))
+    bounds = sorted(set(df.approxQuantile(column, [i / bins for i in range(1, bins)], min(0.05, 0.2 / bins)))) if bins > 1 else []
+    at = Bucketizer(splits=[-math.inf, *bounds, math.inf], inputCol="__at", outputCol="__bin") if bounds else None
+    rows = df.withColumn("__at", F.col(column).cast("double"))
+    rows = (at.transform(rows) if at else rows.withColumn("__bin", F.lit(0.0))).withColumn("__tie", tie)
+    # The values that fill a bin are its lowest: quantiles repeat them.
+    own = F.min("__at")
+    counts = rows.groupBy("__bin").agg(own.alias("low"), F.count("*").alias("c")).toPandas().sort_values("__bin")
+    share, first, parts = max(1, math.ceil(n / bins)), 0, []
+    for r in counts.itertuples():
+        k = max(1, min(bins, round(r.c / share)))
+        parts.append((float(r[1]), float(r.low), k, first))
+        first += k + (k > 1)
+    if not parts:
         return df.withColumn("bin", F.lit(0))
-    at = Bucketizer(splits=splits, inputCol="__at", outputCol="__bin")
-    out = at.transform(df.withColumn("__at", F.col(column).cast("double")))
-    return out.withColumn("bin", F.col("__bin").cast("int")).drop("__at", "__bin")
+    cut = df.sparkSession.createDataFrame(parts, "__bin double, __low double, __k int, __first int")
+    within = F.floor(F.col("__tie") * F.col("__k")).cast("int")
+    sub = F.when(F.col("__k") == 1, 0).when(F.col("__at") == F.col("__low"), F.least(F.greatest(within, F.lit(0)), F.col("__k") - 1)).otherwise(F.col("__k"))
+    return rows.join(F.broadcast(cut), "__bin").withColumn("bin", F.col("__first") + sub).select(*df.columns, "bin")
+
+
+def even(hashed: Column) -> Column:
+    """A hash (long) as a double in [0, 1], in the same order."""
+    return hashed.cast("double") / 2.0**64 + 0.5
+
+
+def first_rows(df: DataFrame, n: int, *order: Column | str) -> list:
+    """The first ``n`` rows of ``df`` in an order, and no others, at the driver.
+
+    An ordered limit would send the first n of every partition. Here a range sort is written, and rows are taken by their number.
+    """
+    ranked = durable(df.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()))
+    part = F.shiftright("__row", 33)
+    sizes = sorted((r["p"], r["c"]) for r in ranked.groupBy(part.alias("p")).agg(F.count("*").alias("c")).collect())
+    bound = -1
+    for p, c in sizes:
+        if n <= 0:
+            break
+        bound = (p << 33) + min(c, n) - 1
+        n -= c
+    found = ranked.where(F.col("__row") <= bound).collect()
+    return sorted(found, key=lambda r: r["__row"])
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` with the columns of their group in ``groups`` (one row a ``key``, with its number of rows in ``size``).
+
+    Groups of more than HOT_SHARE of ``total`` rows, fewer than 1 / HOT_SHARE, are broadcast, so that their rows stay where
+    they are; the others are joined by key, and no task gets more than that share of one.
+    """
+    hot = groups.where(F.col(size) > total * HOT_SHARE)
+    keys = hot.select(key)
+    many = rows.join(F.broadcast(hot), key)
+    few = rows.join(F.broadcast(keys), key, "left_anti").join(groups.where(F.col(size) <= total * HOT_SHARE), key)
+    return many.unionByName(few)
 
 
 def fold_ascii(column: Column) -> Column:

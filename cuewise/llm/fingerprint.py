@@ -11,7 +11,7 @@ Bloom filter of bounded size over the shared digests, travel for the comparison,
 smallest and largest bytes on the map side, so a hot bucket is no burden.
 
 Defined cases: null text is the empty text; a null doc_id ranks lowest; of rows with equal doc_id the
-larger XXH64 of the text comes first; with one row, it follows itself; an empty table gives an empty
+larger XXH64 of the text comes first, and equal rows are in any order; very long texts count whole; with one row, it follows itself; an empty table gives an empty
 result; columns other than doc_id and text are ignored.
 """
 
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import durable, order_key, range_bins
+from cuewise.llm.common import durable, even, join_groups, order_key, range_bins
 from cuewise.llm.url_filter import bloom_filter, maybe_in
 
 ROWS_PER_BIN = 4_000
@@ -42,22 +42,23 @@ def digest(canon: Column) -> Column:
 def with_next(docs: DataFrame, rows_per_bin: int = ROWS_PER_BIN) -> DataFrame:
     """doc_id, text, next: each document's text and that of the next one by descending doc_id, in a ring.
 
-    Bins are ranges of doc_id. The top row of each bin is copied as a guest to the end of the bin above
+    Bins are ranges of doc_id and, where many rows share one, of a hash of the text. The top row of each bin is copied as a guest to the end of the bin above
     it (that of the topmost to the lowest), so one shuffle by bin does it and no task holds more than a bin.
     """
-    rows = docs.select("doc_id", order_key("doc_id").alias("at"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = range_bins(rows, "at", rows_per_bin)
-    tops = {r["bin"]: r["top"] for r in rows.groupBy("bin").agg(F.max("at").alias("top")).collect()}
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", order_key("doc_id").alias("at"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    rows = range_bins(rows, "at", rows_per_bin, even(F.col("tie")))
+    tops = {r["bin"]: tuple(r["top"]) for r in rows.groupBy("bin").agg(F.max(F.struct("at", "tie")).alias("top")).collect()}
     order = sorted(tops)
     above = {b: order[(i + 1) % len(order)] for i, b in enumerate(order)}
-    pairs = [(tops[b], above[b]) for b in order]
+    pairs = [(*tops[b], above[b]) for b in order]
     if not pairs:
         return rows.select("doc_id", "text", F.col("text").alias("next"))
-    # One row a bin: bounded by rows / rows_per_bin.
-    guests = docs.sparkSession.createDataFrame(pairs, "at long, bin int")
-    guest = rows.drop("bin").join(F.broadcast(guests), "at").select("doc_id", "at", "text", "bin", F.lit(True).alias("guest"))
+    # One row a bin: at most 2 * MAX_BINS rows of 20 bytes.
+    guests = docs.sparkSession.createDataFrame(pairs, "at long, tie long, bin int")
+    guest = rows.drop("bin").join(F.broadcast(guests), ["at", "tie"]).select("doc_id", "at", "tie", "text", "bin", F.lit(True).alias("guest"))
     both = rows.withColumn("guest", F.lit(False)).unionByName(guest)
-    order_by = Window.partitionBy("bin").orderBy("guest", F.col("at").desc(), F.xxhash64("text").desc())
+    order_by = Window.partitionBy("bin").orderBy("guest", F.col("at").desc(), F.col("tie").desc())
     return both.withColumn("next", F.lead("text").over(order_by)).where("not guest").select("doc_id", "text", "next")
 
 
@@ -94,8 +95,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     odd = (F.col("edited_wide") == F.col("wide")) & (F.col("near_edited") == 0)
     edited = F.when(odd | ((F.col("edited_wide") == F.col("wide")) & F.col("__c").isNotNull()), F.concat("edited_wide", "edited_longer")).otherwise(F.col("edited_wide"))
     rows = rows.withColumn("edited_fingerprint", edited)
-    groups = rows.groupBy(F.col("fingerprint").alias("__f")).agg(F.min("doc_id").alias("group_id"), F.count("*").alias("copies"))
-    return rows.join(groups, F.col("fingerprint") == F.col("__f")).select(
+    rows = durable(rows)
+    groups = durable(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("copies")))
+    return join_groups(rows, groups, "fingerprint", "copies", rows.count()).select(
         "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "group_id", "copies"
     )
 

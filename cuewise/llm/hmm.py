@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import durable, held_out
+from cuewise.llm.common import durable, first_rows, held_out
 
 STATES = 8
 TOP = 4096
@@ -319,6 +319,14 @@ def _score(shared) -> callable:
 NAMES = [c.split()[0] for c in SCORED.split(", ")]
 
 
+def most_frequent(counts: DataFrame) -> list:
+    """The KNOWN most frequent words of ``counts`` (word, c), ties by word. Only words from the power of two on that leaves enough are sorted."""
+    power = F.floor(F.log2("c")).cast("int")
+    sizes = {r["p"]: r["n"] for r in counts.groupBy(power.alias("p")).agg(F.count("*").alias("n")).collect()}
+    least = next((p for p in sorted(sizes, reverse=True) if sum(n for q, n in sizes.items() if q >= p) >= KNOWN), 0)
+    return first_rows(counts.where(power >= least), KNOWN, F.col("c").desc(), "word")
+
+
 def score_documents(docs: DataFrame, buckets: int = 7) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; trained on the rows not held out."""
     spark = docs.sparkSession
@@ -328,7 +336,7 @@ def score_documents(docs: DataFrame, buckets: int = 7) -> DataFrame:
 
     # KNOWN words of WIDEST bytes at most, then TOP + TAIL + 1 classes at most reach the driver.
     end = END.decode()
-    often = counts.where((F.octet_length("word") <= WIDEST) & (F.col("word") != end)).orderBy(F.col("c").desc(), "word").limit(KNOWN).collect()
+    often = most_frequent(counts.where((F.octet_length("word") <= WIDEST) & (F.col("word") != end)))
     top = [r["word"].encode() for r in often[:TOP]]
     frequent = spark.createDataFrame([(w.decode(), i) for i, w in enumerate(top)] + [(end, TOP)], "word string, i int")
     suffix = F.expr("crc32(substring(cast(word as binary), -3, 3))")

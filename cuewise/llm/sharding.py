@@ -1,6 +1,6 @@
 """Sharding: minimax contiguous partition of ordered atomic groups.
 
-Groups are equal texts, ordered by their smallest doc_id; a group is never cut. The smallest feasible
+Groups are equal texts, ordered by their smallest doc_id (ties: SHA-256 of the text); a group is never cut. The smallest feasible
 capacity is found by binary search with a greedy check over the groups' running sizes, and the cuts
 are those of the greedy run at that capacity.
 
@@ -10,8 +10,8 @@ bounds the capacity from above and one that may stop anywhere inside an unknown
 below. Gaps that either run touches are resolved 64-fold by one aggregation; the rounds end when both
 runs agree, so the answer is exact while at most GAPS * 64 rows reach the driver a round.
 
-Defined cases: null text has size 8 and is in the group of the empty text; a null doc_id ranks first;
-repeated rows are rows of one group; an empty table gives an empty result; other columns are ignored.
+Defined cases: null text has size 8 and is in the group of the empty text; a null doc_id ranks first, and rows that share a
+doc_id, however many, are ordered by SHA-256 of their texts; very long texts count whole; repeated rows are rows of one group; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +20,10 @@ import math
 from bisect import bisect_left, bisect_right
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import durable, order_key, range_bins
+from cuewise.llm.common import durable, join_groups, order_key, range_bins
 
 SHARDS = 24
 ROWS_PER_BIN = 20_000
@@ -122,6 +122,11 @@ def _summed(running: DataFrame, gaps: list[tuple[int, int]], parts: int) -> list
     return [(r["high"], r["a"], r["b"], r["n"]) for r in found.collect()]
 
 
+def leading(key: Column) -> Column:
+    """The first six bytes of a binary as a double in [0, 1), in the same order."""
+    return F.conv(F.hex(F.substring(key, 1, 6)), 16, 10).cast("double") / 2.0**48
+
+
 def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law (``bytes``), shard, slot, grown_shard (null), group_rows.
 
@@ -135,7 +140,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("key"),
     )
-    rows = durable(range_bins(durable(rows), "at", ROWS_PER_BIN))
+    rows = durable(range_bins(durable(rows), "at", ROWS_PER_BIN, leading(F.col("key"))))
     groups = rows.groupBy("key").agg(F.min("at").alias("first"), F.sum("size").alias("bytes"), F.count("*").alias("group_rows"), F.min("bin").alias("bin"))
     groups = durable(groups)
 
@@ -148,13 +153,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     cuts = minimax_cuts(running, total, shards)
 
     shard = reduce(lambda a, b: a + b, [(F.col("upto") > F.lit(c)).cast("int") for c in cuts[:-1]], F.lit(0))
-    placed = rows.join(running.select("key", "group_rows", shard.alias("shard")), "key")
+    placed = join_groups(rows, running.select("key", "group_rows", shard.alias("shard")), "key", "group_rows", rows.count())
 
     # Slots likewise: a rank within (bin, shard), and the rows of the shard in earlier bins.
-    placed = durable(placed.drop("key"))
+    placed = durable(placed)
     earlier = Window.partitionBy("shard").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     counts = placed.groupBy("bin", "shard").agg(F.count("*").alias("__n")).select("bin", "shard", F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__off"))
-    rank = F.row_number().over(Window.partitionBy("bin", "shard").orderBy("at", "text_crc32", "size"))
+    rank = F.row_number().over(Window.partitionBy("bin", "shard").orderBy("at", "key"))
     return placed.withColumn("__r", rank).join(counts, ["bin", "shard"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__r") - 1 + F.col("__off")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "group_rows"
     )

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import durable
+from cuewise.llm.common import durable, join_groups
 
 SHINGLE = 3
 SEED = 42
@@ -247,8 +247,9 @@ def components(links: DataFrame) -> DataFrame:
             both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             both = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        out = both.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("d"))
+        # A hub is a large star's: its rows stay where they are, and its minimum is broadcast.
+        out = join_groups(both, least, "u", "d", 2 * n) if large else both.join(least, "u")
         if large:
             new = out.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         else:
@@ -256,13 +257,13 @@ def components(links: DataFrame) -> DataFrame:
         return new.where("a != b").distinct()
 
     edges = durable(links.where("a != b").distinct())
-    seen = None
+    n, seen = edges.count(), None
     while True:
         edges = durable(star(star(edges, True), False))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
-        seen = now
+        n, seen = now[0], now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 

@@ -5,7 +5,7 @@ bound of the classifier); their ids are broadcast, so no text is shuffled. Words
 large for chance (binomial tail, Bonferroni over the candidate words) form the lexicon with their log odds.
 
 The lexicon's trie and the automata of all words within 1 or 2 edits of its terms (by length) are run
-together as one lazily determinised automaton: a state is the set of (trie node, edits used), a
+together as one lazily determinised automaton (tokens: what stands between Unicode white space): a state is the set of (trie node, edits used), a
 token walks it character by character and most tokens leave it after a few. Tokens near a term that are
 common in clean training rows are innocent neighbours and don't count; the other neighbours of a term count with
 a weight of their own, the log odds of what the training rows have of them, drawn to those of the term.
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.llm.common import durable, held_out
+from cuewise.llm.common import durable, first_rows, held_out
 
 SAMPLE = 20_000
 TERMS, CANDIDATES = 512, 5_000
@@ -48,6 +48,7 @@ REPORTING = frozenset("said says wrote writes called calls quoted quote claimed
 #: Pairs of quotation marks.
 QUOTES = {'"': '"', "“": "”", "«": "»", "„": "“", "‘": "’"}
 
+_TOKEN = re.compile(r"\S+")
 _EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”„‘’…"
 
 
@@ -129,14 +130,14 @@ class FuzzyLexicon:
 
 
 class Matches(dict):
-    """Raw tokens (UTF-8, lower case) to (weight, edits) or None; fills itself up to a bound."""
+    """Lower-cased tokens to (weight, edits) or None; fills itself up to a bound."""
 
     def __init__(self, lexicon: FuzzyLexicon) -> None:
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, token: bytes) -> tuple[float, int] | None:
-        found = self.lexicon.find(token.decode("utf-8", "replace").strip(_EDGES))
+    def __missing__(self, token: str) -> tuple[float, int] | None:
+        found = self.lexicon.find(token.strip(_EDGES))
         weight = (self.lexicon.near if found[1] else self.lexicon.terms).get(found[0], 0.0) if found else 0.0
         out = (weight, found[1]) if weight > LEAST else None
         if len(self) < MEMO:
@@ -144,8 +145,9 @@ class Matches(dict):
         return out
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return (text or "").lower().encode("utf-8", "replace").split()
+def tokens_of(text: str | None) -> list[str]:
+    """The lower-cased text between white space, that of Unicode; ``_TOKEN`` finds the same with their places."""
+    return (text or "").lower().split()
 
 
 def quoted(low: str, start: int, end: int) -> bool:
@@ -173,8 +175,8 @@ def features(text: str | None, matches: Matches) -> np.ndarray:
     plain = aside = top = 0.0
     number = 0
     low = text.lower()
-    for place in re.finditer(r"\S+", low):
-        m = matches[place.group().encode("utf-8", "replace")]
+    for place in _TOKEN.finditer(low):
+        m = matches[place.group()]
         if not m:
             continue
         if quoted(low, place.start(), place.end()):
@@ -233,7 +235,7 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: list[Counter] = [Counter(), Counter()]
     for batch in batches:
         for label, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            counts[label].update({t.decode("utf-8", "replace").strip(_EDGES) for t in tokens_of(text)} | {""})
+            counts[label].update({t.strip(_EDGES) for t in tokens_of(text)} | {""})
     words = sorted(counts[0].keys() | counts[1].keys())
     yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([counts[1][w] for w in words], pa.int64()), pa.array([counts[0][w] for w in words], pa.int64())], ["word", "t", "c"])
 
@@ -278,7 +280,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model:
     toxic, clean = (totals["t"], totals["c"]) if totals else (0, 0)
     likely = counts.where(F.col("t") >= 3)
     lead = F.col("t") / (F.col("t") + F.col("c") + 1.0)
-    best = likely.where(F.col("word") != "").orderBy((lead * F.log1p("t")).desc(), "word").limit(CANDIDATES).collect()
+    best = first_rows(likely.where(F.col("word") != ""), CANDIDATES, (lead * F.log1p("t")).desc(), "word")
     terms = learn_lexicon([(r["word"], r["t"], r["c"]) for r in best], toxic, clean, likely.count())
     # Neighbours of the terms that the sample's rows use: bounded by the sample's words, and few.
     near = counts.where("word != ''").mapInArrow(_near_words(spark.sparkContext.broadcast(terms)), counts.schema)

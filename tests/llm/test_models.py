@@ -490,3 +490,13 @@ def test_near_duplicate_edges(edge_docs, no_docs):
     assert by_id[2]["component_id"] == 1 and by_id[None]["component_id"] is None
     assert sorted((r["doc_id"] is None, r["doc_id"]) for r in simhash.one_of_each_group(edge_docs).collect()) == sorted((i is None, i) for i in (1, 3, 7, 8, -9, None))
     assert simhash.near_duplicates(no_docs).count() == 0 == simhash.one_of_each_group(no_docs).count()
+
+
+def test_toxic_terms_between_any_white_space():
+    lexicon = toxicity.FuzzyLexicon({"moronic": 3.0, "worthless": 2.0})
+    matches = toxicity.Matches(lexicon)
+    spaced = toxicity.features("they are moronic and worthless", matches)
+    for space in "\u00a0\u3000\u0085\u2003\u1680":
+        assert (toxicity.features(f"they{space}are{space}moronic{space}and{space}worthless", matches) == spaced).all()
+        assert toxicity.features(f"are{space}moronic", matches)[1] == 1
+    assert toxicity.tokens_of("A\u00a0b\u3000\tc") == [m.group() for m in toxicity._TOKEN.finditer("a\u00a0b\u3000\tc")] == ["a", "b", "c"]

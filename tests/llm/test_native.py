@@ -9,7 +9,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from cuewise.llm import fingerprint, mixing, sharding, url_filter
+from cuewise.llm import common, fingerprint, mixing, sharding, url_filter
 
 
 def test_url_parts(spark):
@@ -198,3 +198,49 @@ def test_mixed_documents(edge_docs, no_docs):
     got = Counter((r["doc_id"], r["source"]) for r in out.collect())
     assert got == {k: v for k, v in copies.items() if v}
     assert mixing.mixed_documents(no_docs).count() == 0 == mixing.mix_sources(no_docs).count()
+
+
+def odd_ids(spark, ids, texts):
+    return spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)
+
+
+@pytest.mark.parametrize("ids", [[None] * 300, [7] * 300, [1, 2] + [9] * 296 + [11, 12], list(range(300))])
+def test_bins_stay_small_whatever_the_ids(spark, ids):
+    rows = odd_ids(spark, ids, [f"text {i}" for i in range(300)]).select(common.order_key("doc_id").alias("at"), F.xxhash64("text").alias("tie"))
+    got = common.range_bins(rows, "at", 20, common.even(F.col("tie")))
+    counts = [r["count"] for r in got.groupBy("bin").count().collect()]
+    assert sum(counts) == 300 and max(counts) < 60
+    spans = got.groupBy("bin").agg(F.min(F.struct("at", "tie")).alias("a"), F.max(F.struct("at", "tie")).alias("b")).orderBy("bin").collect()
+    assert all(x["b"] < y["a"] for x, y in zip(spans, spans[1:], strict=False))
+    assert common.range_bins(rows.limit(0), "at", 20, common.even(F.col("tie"))).count() == 0
+
+
+@pytest.mark.parametrize("ids", [[None] * 90, [7] * 90, [1, 1, None] * 30])
+def test_sharding_and_ring_of_shared_ids(spark, monkeypatch, ids):
+    monkeypatch.setattr(sharding, "ROWS_PER_BIN", 10)
+    texts = [f"text number {i % 70} " * (i % 7 + 1) for i in range(90)]
+    docs = odd_ids(spark, ids, texts)
+    got = sharding.shard_documents(docs, 5).collect()
+    assert len(got) == 90 and len({r["shard"] for r in got}) == 5
+    for shard in range(5):
+        assert sorted(r["slot"] for r in got if r["shard"] == shard) == list(range(sum(r["shard"] == shard for r in got)))
+    of = {}
+    for r in got:
+        of.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert all(len(s) == 1 for s in of.values())
+    ring = fingerprint.with_next(docs, 10).collect()
+    assert len(ring) == 90 and sorted(r["next"] for r in ring) == sorted(texts) == sorted(r["text"] for r in ring)
+
+
+def test_first_rows_are_those_of_an_ordered_limit(spark):
+    df = spark.range(1000).select((F.col("id") % 37).alias("c"), F.concat(F.lit("w"), (F.col("id") * 7919 % 1000).cast("string")).alias("word")).repartition(9)
+    for n in (0, 1, 100, 999, 5000):
+        assert [(r["c"], r["word"]) for r in common.first_rows(df, n, F.col("c").desc(), "word")] == [tuple(r) for r in df.orderBy(F.col("c").desc(), "word").limit(n).collect()]
+
+
+def test_groups_join_hot_and_cold(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_SHARE", 0.2)
+    rows = spark.createDataFrame([(f"k{i % 7 if i % 2 else 0}", i) for i in range(200)], "k string, v int")
+    groups = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("low"))
+    got = common.join_groups(rows, groups, "k", "n", 200)
+    assert sorted(map(tuple, got.select("k", "v", "n", "low").collect())) == sorted(map(tuple, rows.join(groups, "k").select("k", "v", "n", "low").collect()))

@@ -13,7 +13,7 @@ from cuewise.functions import text as T
 from cuewise.operators import align, cleanup, cues, filters, merge, models, polish, split
 from cuewise.plans import adapters
 from cuewise.plans.pipeline import Pipeline
-from cuewise.schema import reindex
+from cuewise.schema import WORDS, reindex
 from cuewise.sources.tables import read_table, spread
 
 #: The tables hold Latin text, so the breaks and markers are Latin too.
@@ -123,13 +123,20 @@ def gap_fill_cues(spark, sf_dir):
     return _cues(cues.vtt_cues(events(spark, sf_dir)))
 
 
+def gap_fill_worded(spark, sf_dir):
+    """Cues of turns of which every second has words: it keeps its start, others begin where the one before ends."""
+    rows = turns(spark, sf_dir).withColumn("start", F.col("start") + 0.25)
+    worded = F.when(F.col("seg_idx") % 2 == 1, F.col("words")).otherwise(F.array().cast(WORDS))
+    return _cues(cues.vtt_cues(adapters.with_words(rows).withColumn("words", worded)))
+
+
 def vtt_file_text(spark, sf_dir):
     return cues.vtt_files(cues.vtt_cues(turns(spark, sf_dir)))
 
 
 def format_timestamps(spark, sf_dir):
     rows = events(spark, sf_dir)
-    return rows.select("media_id", "seg_idx", T.format_timestamp(F.col("start")).alias("at"), T.format_display_time(F.floor("start")).alias("shown"))
+    return rows.select("media_id", "seg_idx", T.format_timestamp(F.col("start")).alias("at"), T.format_display_time(F.col("start")).alias("shown"))
 
 
 def neighbour_overlap(spark, sf_dir):
@@ -256,6 +263,24 @@ def revalidate_timing(spark, sf_dir):
     return _shown(filters.validate_timing(rows, 14.0, models.TableRecogniser, truth))
 
 
+def _half_worded(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Turns whose clock is wrong, every second one with words; and the words that are really spoken."""
+    rows = adapters.with_words(turns(spark, sf_dir))
+    return _shifted(rows).drop("words").join(rows.select("media_id", "seg_idx", F.when(F.col("seg_idx") % 2 == 0, F.col("words")).otherwise(F.array().cast(WORDS)).alias("words")), ["media_id", "seg_idx"]), adapters.word_table(rows)
+
+
+def second_look(spark, sf_dir):
+    """Segments that are too fast, too short or without words get what is heard in their time."""
+    rows, truth = _half_worded(spark, sf_dir)
+    return _shown(filters.revalidate_segments(rows, models.TableRecogniser, truth, 14.0))
+
+
+def phrase_second_look(spark, sf_dir):
+    """Segments that match a phrase stay with what is heard in their time, if that differs and matches none."""
+    rows, truth = _half_worded(spark, sf_dir)
+    return _shown(filters.remove_phrases(rows, ["(?i)^the", "ing$"], models.TableRecogniser, truth))
+
+
 def subtitle_pipeline(spark, sf_dir):
     config = {
         "segment_merging": {"incomplete_markers": list(MARKERS)},
@@ -351,6 +376,30 @@ _GLOBAL = "hits AS (SELECT media_id, token FROM tok WHERE length(token) <= 3 GRO
 _WORD_COUNT = "(CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text[:-2], ' ', '')) - length(text) + length(text[:-2]) + 1 END)"
 
 
+def _edges(source: str, most: int, hard: str, soft: str, far: int, slack: int) -> str:
+    """A recursive CTE over the long texts of ``source``: ``pos``, the first end that a piece may have, moves on until one is cut; then
+    ``piece`` lists each piece's number, first character and length."""
+    ahead = lambda n, marks: f"length(regexp_extract(substr(text, pos::BIGINT, {n}), '^[^{marks}]*'))"
+    found = lambda n, marks: f"CASE WHEN {ahead(n, marks)} < length(substr(text, pos::BIGINT, {n})) THEN pos + {ahead(n, marks)} END"
+    return f"""
+walk AS (
+  SELECT media_id, seg_idx, text, 0 AS b, {most} AS pos, NULL::INT AS cut FROM {source} WHERE length(text) > {most}
+  UNION ALL
+  SELECT media_id, seg_idx, text, coalesce(e, b) AS b, coalesce(e + {most}, pos + 1) AS pos, e AS cut FROM (
+    SELECT *, coalesce({found(5, hard)}, {found(far, soft)}, CASE WHEN pos - b >= {most + slack} THEN pos END)::INT AS e
+    FROM (SELECT media_id, seg_idx, text, b, pos FROM walk WHERE pos <= length(text)))),
+edge AS (SELECT DISTINCT media_id, seg_idx, text, p FROM (
+  SELECT media_id, seg_idx, text, unnest([0, length(text)::INT, cut]) AS p FROM walk) WHERE p IS NOT NULL),
+piece AS (SELECT media_id, seg_idx, text, p, lead(p) OVER (PARTITION BY media_id, seg_idx ORDER BY p) AS q FROM edge QUALIFY q IS NOT NULL)"""
+
+
+#: Words of ``seg``: the text up to and with each space, timed by characters.
+_WORDED = """
+cutw AS (SELECT media_id, seg_idx, s, e, text, unnest(regexp_extract_all(text, '[^ ]* |[^ ]+$')) AS word, generate_subscripts(regexp_extract_all(text, '[^ ]* |[^ ]+$'), 1) AS i FROM seg),
+offw AS (SELECT *, sum(length(word)) OVER (PARTITION BY media_id, seg_idx ORDER BY i) AS k FROM cutw),
+word AS (SELECT media_id, seg_idx, i, word, s + (e - s) * ((k - length(word))::DOUBLE / length(text)) AS a, s + (e - s) * (k::DOUBLE / length(text)) AS b FROM offw)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """By name of the query. Queries with back-references, model calls or sequential repairs have none."""
     clean = lambda c, p: f"regexp_replace({c}, '{p}', '', 'g')"
@@ -412,7 +461,7 @@ def oracle_sql() -> dict[str, str]:
         + 'SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY s, side, seg_idx) - 1)::INT AS seg_idx, round(s, 6) AS start, round(e, 6) AS "end", text, 0 AS n_words FROM k',
         "gap_fill_cues": _with(_EVENTS, _cue("seg")) + _CUED,
         "vtt_file_text": _with(_TURNS, _cue("seg")) + f"SELECT media_id, 'WEBVTT' || chr(10) || chr(10) || string_agg(cue || chr(10) || {_stamp('s')} || ' --> ' || {_stamp('e')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY cue) AS content FROM cued GROUP BY media_id",
-        "format_timestamps": _with(_EVENTS) + f"SELECT media_id, seg_idx, {_stamp('s')} AS at, printf('%02d:%02d:%06.3f', (floor(s)::BIGINT // 3600), (floor(s)::BIGINT % 3600) // 60, (floor(s)::BIGINT % 60)::DOUBLE) AS shown FROM seg",
+        "format_timestamps": _with(_EVENTS) + f"SELECT media_id, seg_idx, {_stamp('s')} AS at, printf('%02d:%02d:%06.3f', floor(s / 3600)::BIGINT, floor(s % 3600 / 60)::BIGINT, round((s % 60)::VARCHAR::DECIMAL(38, 20), 3)::DOUBLE) AS shown FROM seg",
         "neighbour_overlap": _with(_EVENTS) + "SELECT media_id, seg_idx, coalesce(s < lag(e) OVER w + 0.1::DOUBLE, false) AS overlaps_prev, coalesce(e > lead(s) OVER w - 0.1::DOUBLE, false) AS overlaps_next FROM seg WINDOW w AS (PARTITION BY media_id ORDER BY seg_idx)",
         "batch_ids": _with(_TURNS, "n AS (SELECT media_id, seg_idx, row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) - 1 AS k FROM seg)") + "SELECT media_id, seg_idx, (k // 10)::INT AS batch_id, (k % 10)::INT AS pos FROM n",
         "split_bypass": _with(_LINES) + f'SELECT media_id, seg_idx, round(s, 6) AS start, round(e, 6) AS "end", {_strip("text")} AS text, 0 AS n_words FROM seg',
@@ -433,5 +482,45 @@ FROM k""",
         + "SELECT * FROM b WHERE bound >= 0.5",
         "response_fix": _with(_TURNS) + "SELECT media_id, seg_idx, text, NULL::VARCHAR AS error FROM seg",
         "polish_batches": _with(_TURNS) + r"SELECT media_id, seg_idx, '- ' || regexp_replace(text, '\s+', ' ', 'g') AS text, NULL::VARCHAR AS error FROM seg",
+        "line_wrap": "WITH RECURSIVE " + ",".join([_LINES, "t AS (SELECT media_id, seg_idx, translate(text, '.,', '。、') AS text FROM seg)", _edges("t", 20, "".join(T.PRIMARY_BREAKS), "".join(T.SECONDARY_BREAKS), 3, 0)])
+        + """SELECT media_id, seg_idx, CASE WHEN length(text) <= 20 THEN text ELSE (SELECT string_agg(substr(p.text, p.p + 1, p.q - p.p), chr(10) ORDER BY p.p) FROM piece p WHERE p.media_id = t.media_id AND p.seg_idx = t.seg_idx) END AS wrapped FROM t""",
+        "char_split": "WITH RECURSIVE " + ",".join([_LINES, f"t AS (SELECT * REPLACE ({_strip('text')} AS text) FROM seg)", _edges("t", 30, "".join(PRIMARY), ", ", 10, 5)])
+        + """,
+out AS (
+  SELECT media_id, seg_idx, 0 AS p, s, e, text FROM t WHERE length(text) <= 30
+  UNION ALL
+  SELECT media_id, seg_idx, p, s + (e - s) * (p::DOUBLE / length(t.text)), least(s + (e - s) * (q::DOUBLE / length(t.text)), e), substr(t.text, p + 1, q - p) FROM piece JOIN t USING (media_id, seg_idx))
+SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, p) - 1)::INT AS seg_idx, round(s, 6) AS start, round(e, 6) AS "end", text, 0 AS n_words FROM out""",
+        "word_split": "WITH RECURSIVE " + ",".join([_TURNS, _WORDED])
+        + f""",
+long AS (SELECT media_id, seg_idx FROM seg WHERE length({_strip('text')}) > 60),
+hw AS (SELECT *, regexp_matches(word, '[.?!]') AS hard, contains(word, ',') AS soft FROM word SEMI JOIN long USING (media_id, seg_idx)),
+nw AS (SELECT *, coalesce(bool_or(hard) OVER (PARTITION BY media_id, seg_idx ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), false) AS ahead FROM hw),
+walk AS (
+  SELECT media_id, seg_idx, 0::BIGINT AS i, 0::BIGINT AS size, 0 AS piece, 0 AS next FROM long
+  UNION ALL
+  SELECT w.media_id, w.seg_idx, w.i, CASE WHEN cut THEN 0 ELSE w.size END, w.next, w.next + cut::INT FROM (
+    SELECT n.*, walk.size + length(n.word) AS size, walk.next, n.hard OR (walk.size + length(n.word) >= 60 AND NOT n.ahead AND n.soft) AS cut
+    FROM walk JOIN nw n ON n.media_id = walk.media_id AND n.seg_idx = walk.seg_idx AND n.i = walk.i + 1) w),
+out AS (
+  SELECT media_id, seg_idx, piece, arg_min(a, i) AS s, arg_max(b, i) AS e, string_agg(word, '' ORDER BY i) AS text, count(*) AS n FROM walk JOIN word USING (media_id, seg_idx, i) GROUP BY media_id, seg_idx, piece
+  UNION ALL
+  SELECT media_id, seg_idx, 0, s, e, {_strip('text')}, len(regexp_extract_all(text, '[^ ]* |[^ ]+$')) FROM seg ANTI JOIN long USING (media_id, seg_idx))
+SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, piece) - 1)::INT AS seg_idx, round(s, 6) AS start, round(e, 6) AS "end", text, n::INT AS n_words FROM out""",
+        "gap_fill_worded": _with(
+            _TURNS,
+            f"shown AS (SELECT media_id, seg_idx, s + 0.25::DOUBLE AS s, e, {_strip('text')} AS text, seg_idx % 2 = 1 AS worded FROM seg WHERE {_strip('text')} <> '')",
+            "cued AS (SELECT media_id, row_number() OVER w AS cue, CASE WHEN worded THEN s ELSE coalesce(lag(e) OVER w, s) END AS s, e, text FROM shown WINDOW w AS (PARTITION BY media_id ORDER BY seg_idx))",
+        )
+        + _CUED,
+        "second_look": _with(
+            _TURNS,
+            _WORDED,
+            "late AS (SELECT media_id, seg_idx, greatest(0::DOUBLE, s + (seg_idx % 5 - 2) * 0.6::DOUBLE) AS s, e + (seg_idx % 5 - 2) * 0.6::DOUBLE AS e, text, CASE WHEN seg_idx % 2 = 0 THEN len(regexp_extract_all(text, '[^ ]* |[^ ]+$')) ELSE 0 END AS n FROM seg)",
+            "flag AS (SELECT *, coalesce(length(text) / nullif(e - s, 0) > 14, false) OR (e - s < 0.3 AND length(text) > 5) OR (n = 0 AND length(text) > 10) AS again FROM late)",
+            f"heard AS (SELECT f.media_id, f.seg_idx, {_strip('string_agg(word, chr(0) ORDER BY w.a, w.b, word)')} AS new, count(*) AS n FROM flag f JOIN word w ON w.media_id = f.media_id AND w.a < f.e AND w.b > f.s WHERE f.again AND f.e - f.s >= 0.1 GROUP BY f.media_id, f.seg_idx)".replace("chr(0)", "''"),
+            "out AS (SELECT f.media_id, f.seg_idx, s, e, CASE WHEN NOT again OR e - s < 0.1 THEN text ELSE new END AS text, CASE WHEN NOT again THEN f.n WHEN e - s < 0.1 THEN 0 ELSE h.n END AS k FROM flag f LEFT JOIN heard h ON h.media_id = f.media_id AND h.seg_idx = f.seg_idx WHERE NOT again OR e - s < 0.1 OR new <> '')",
+        )
+        + _OUT.format("k::INT", "out"),
         "reindexed": _with(_EVENTS) + "SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) - 1)::INT AS seg_idx, text FROM seg WHERE text <> 'view'",
     }

@@ -8,9 +8,9 @@ Operator 10 with the parameters of a corpus: shingles of five words. Texts reduc
    loses links. An exact bound finds the rest: where all shingles stand in one global order, two sets with a
    similarity of t or more share one of the first n - ceil(t n) + 1 shingles of each, n being the set's own size. So
    only texts that share a shingle there are compared, and only with texts that nothing has joined them to. The order
-   is that of the shingles' hashes; those on a spot of a bitmap of SPOTS bits that a shingle in the prefixes of more than
-   HOT texts has marked come last, so that a common line makes no candidates of texts it is a small part of. Any
-   order is exact; a bitmap that fills up only makes more candidates.
+   is that of the shingles' hashes; those in the prefixes of more than HOT texts come last, so that a common line makes no
+   candidates of texts it is a small part of. They are known by a bitmap of SPOTS bits or, where they are too many for
+   one, by a join of all shingles with the table of them.
 
    Of a pair, the first shingle they share also bounds from its two positions how many more they can share; a pair
    that no shared shingle allows for is no candidate. That is so for texts of which a common passage is the larger part.
@@ -25,8 +25,8 @@ shingle they share. A wide fingerprint (the parities of the shingles on BITS bit
 every shingle) rules out pairs that differ too much, again without a miss; the others are compared by their whole sets. Components are closed over links, as in ``simhash``.
 
 Defined cases: texts without words (null, empty, blank) are copies of each other; texts of fewer than SHINGLE words
-are one shingle; very long texts have all their shingles; shingles and sequences of words count as equal where their
-64-bit hashes are; of rows with equal doc_id and text any one, of others with equal doc_id the one with the smaller hash
+are one shingle; very long texts have all their shingles; shingles count as equal where their 64-bit hashes are, sequences of
+words where two such hashes are; of rows with equal doc_id and text any one, of others with equal doc_id the one with the smaller hash
 counts as first; an empty table gives an empty result; other columns pass through.
 """
 
@@ -50,12 +50,23 @@ HOT = 20
 LEADERS = 3
 BITS = 512
 SPOTS = 1 << 24  # bits of the bitmaps that reach the driver and the executors
+SPARSE = 16  # a bitmap is only made where it has as many bits as that for each hash; joins by key take over where it has not
 KNOWN = 1_000_000  # words that a worker remembers
 
 
-def word_hash(text: bytes | None) -> int:
-    own = xxhash.xxh3_64_intdigest(b" ".join((text or b"").lower().split()))
-    return own - (1 << 64) if own >> 63 else own
+def _signed(value: int) -> int:
+    return value - ((value >> 63) << 64)
+
+
+def words_of(text: bytes | None) -> list[bytes]:
+    return (text or b"").lower().split()
+
+
+def word_hash(words: list[bytes], clashing: frozenset[int] = frozenset()) -> int:
+    """What a sequence of words goes by: a hash, or another one where different sequences share the first."""
+    whole = b" ".join(words)
+    own = _signed(xxhash.xxh3_64_intdigest(whole))
+    return _signed(xxhash.xxh3_64_intdigest(whole, seed=1)) if own in clashing else own
 
 
 class WordHashes(dict):
@@ -71,20 +82,17 @@ class WordHashes(dict):
 _hashes = WordHashes()
 
 
-def shingles(text: bytes | None) -> tuple[int, np.ndarray]:
-    """The hash of the text's words, and the hashes of its distinct shingles in rising order; both int64."""
-    words = (text or b"").lower().split()
-    own = xxhash.xxh3_64_intdigest(b" ".join(words))
-    own -= (own >> 63) << 64
+def shingles(words: list[bytes]) -> np.ndarray:
+    """The hashes (int64) of the distinct shingles in rising order."""
     if not words:
-        return own, np.zeros(0, np.int64)
+        return np.zeros(0, np.int64)
     single = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(words) - SHINGLE + 1)
     mixed = np.zeros(n, np.uint64)
     for i in range(min(SHINGLE, len(words))):
         mixed = (mixed ^ single[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
-    return own, np.unique(mixed.view(np.int64))
+    return np.unique(mixed.view(np.int64))
 
 
 def simhash_of(found: np.ndarray) -> int:
@@ -113,8 +121,10 @@ class Spots:
         return (self.bits[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def spots(keys: DataFrame, key: str) -> Spots:
-    """The bitmap of a column of hashes; SPOTS / 64 rows at most reach the driver."""
+def spots(keys: DataFrame, key: str) -> Spots | None:
+    """The bitmap of a column of hashes, where at most one bit in SPARSE would be set; SPOTS / 64 rows at most reach the driver."""
+    if keys.count() * SPARSE > SPOTS:
+        return None
     at = F.col(key).bitwiseAND(F.lit(SPOTS - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
     found = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
@@ -136,44 +146,57 @@ def parities(found: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _marks(shared) -> callable:
-    """(h1, h2, text) to (h1, h2, id, n, fp, keys, b0...): fp is the SimHash, keys the prefix, b0... the parities."""
+def _marks(shared, clashing: frozenset[int], whole: bool = False) -> callable:
+    """(h1, h2, text) to (h1, h2, id, id2, n, fp, keys, b0...): id2 is a second hash, fp the SimHash, keys the prefix (all, if whole),
+    b0... the parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value if shared else None
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 part = batch.slice(i, 1024)
-                rows = [shingles(t.as_py()) for t in part.column("text").cast(pa.binary())]
-                bits = np.array([parities(found) for _, found in rows], np.int64).reshape(-1, BITS // 64)
-                first = [pa.array([own for own, _ in rows], pa.int64()), pa.array([len(found) for _, found in rows], pa.int32()), pa.array([simhash_of(found) for _, found in rows], pa.int64())]
-                keys = _lists([prefix(found, hot) for _, found in rows])
-                yield pa.RecordBatch.from_arrays([part.column("h1"), part.column("h2"), *first, keys, *[pa.array(b) for b in bits.T]], ["h1", "h2", "id", "n", "fp", "keys", *PARITIES])
+                texts = [words_of(t.as_py()) for t in part.column("text").cast(pa.binary())]
+                ids = [pa.array([word_hash(t, c) for t in texts], pa.int64()) for c in (clashing, EVERY)]
+                rows = [shingles(t) for t in texts]
+                bits = np.array([parities(found) for found in rows], np.int64).reshape(-1, BITS // 64)
+                first = [pa.array([len(found) for found in rows], pa.int32()), pa.array([simhash_of(found) for found in rows], pa.int64())]
+                keys = _lists(rows if whole else [prefix(found, hot) for found in rows])
+                yield pa.RecordBatch.from_arrays([part.column("h1"), part.column("h2"), *ids, *first, keys, *[pa.array(b) for b in bits.T]], ["h1", "h2", "id", "id2", "n", "fp", "keys", *PARITIES])
 
     return run
 
 
+class _Every(frozenset):
+    def __contains__(self, value: object) -> bool:
+        return True
+
+
+EVERY = _Every()
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *arrays])))
 
 
-def _sets(shared) -> callable:
-    """(text) to (id, keys): the whole sets of the texts whose ids are on the spots asked for, others by chance."""
+def _sets(shared, clashing: frozenset[int]) -> callable:
+    """(text) to (id, keys): the whole sets of the texts whose ids are on the spots asked for, others by chance; of all without spots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = shared.value
+        wanted = shared.value if shared else EVERY
         for batch in batches:
-            texts = [t for x in batch.column("text").cast(pa.binary()) if word_hash(t := x.as_py()) in wanted]
-            rows = [shingles(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([own for own, _ in rows], pa.int64()), _lists([found for _, found in rows])], ["id", "keys"])
+            for i in range(0, batch.num_rows, 1024):
+                texts = [words_of(t.as_py()) for t in batch.column("text").slice(i, 1024).cast(pa.binary())]
+                ids = [own if (own := word_hash(t, clashing)) in wanted else None for t in texts]
+                rows = [shingles(t) for t, own in zip(texts, ids, strict=True) if own is not None]
+                yield pa.RecordBatch.from_arrays([pa.array([own for own in ids if own is not None], pa.int64()), _lists(rows)], ["id", "keys"])
 
     return run
 
 
 PARITIES = [f"b{i}" for i in range(BITS // 64)]
 FOLDED = ["q0", "q1"]
-MARKS = "h1 long, h2 long, id long, n int, fp long, keys array<long>, " + ", ".join(f"{b} long" for b in PARITIES)
+MARKS = "h1 long, h2 long, id long, id2 long, n int, fp long, keys array<long>, " + ", ".join(f"{b} long" for b in PARITIES)
 
 
 def _apart(names: list[str], a: str, b: str) -> Column:
@@ -209,14 +232,13 @@ def _close(pairs: DataFrame, distinct: DataFrame) -> DataFrame:
     return pairs.join(of("a"), "a").join(of("b"), "b").where(shared >= overlap - behind).select("a", "b")
 
 
-def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, distinct: DataFrame, rows: DataFrame, clashing: frozenset[int]) -> DataFrame:
     """(a, b) of those ``pairs`` whose whole sets are similar; ``distinct`` holds their marks, ``rows`` their texts."""
     pairs = durable(_close(durable(_allowed(pairs, distinct)), distinct))
-    ids = _ids(pairs)
+    ids = durable(_ids(pairs))
     if not ids.take(1):
         return pairs
-    asked = rows.sparkSession.sparkContext.broadcast(spots(ids, "id"))
-    sets = rows.select("text").mapInArrow(_sets(asked), "id long, keys array<long>")
+    sets = rows.select("text").mapInArrow(_sets(_shared(rows, spots(ids, "id")), clashing), "id long, keys array<long>")
     sets = durable(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]))
     of = lambda x: sets.select(F.col("id").alias(x), F.col("keys").alias(f"keys_{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
@@ -248,6 +270,28 @@ def _pairs(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
     return near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
 
 
+def _shared(rows: DataFrame, bits: Spots | None):
+    return rows.sparkSession.sparkContext.broadcast(bits) if bits else None
+
+
+def reordered(rows: DataFrame, hot: DataFrame, clashing: frozenset[int]) -> DataFrame:
+    """The marks of distinct texts, with the prefixes of an order in which the shingles of ``hot`` (key) come last.
+
+    By a bitmap that the tasks hold, or, where ``hot`` has too many keys for one, by joining all shingles with it. A bitmap
+    puts a few others last too; any order of all shingles is exact.
+    """
+    bits = spots(hot, "key")
+    if bits:
+        return rows.mapInArrow(_marks(_shared(rows, bits), clashing), MARKS).dropDuplicates(["id"])
+    whole = durable(rows.mapInArrow(_marks(None, clashing, whole=True), MARKS).dropDuplicates(["id"]))
+    each = whole.select("id", "n", F.explode("keys").alias("key")).join(hot.select("key", F.lit(True).alias("late")), "key", "left")
+    order = F.array_sort(F.collect_list(F.struct(F.coalesce("late", F.lit(False)), "key")))
+    n = F.col("n")
+    first = F.slice(order, 1, (n - F.ceil(n * SIMILAR[0] / SIMILAR[1]) + 1).cast("int"))
+    kept = each.groupBy("id", "n").agg(F.transform(first, lambda k: k["key"]).alias("__keys")).drop("n")
+    return whole.join(kept, "id", "left").withColumn("keys", F.coalesce("__keys", F.array().cast("array<long>"))).drop("__keys")
+
+
 def _repeated(distinct: DataFrame) -> DataFrame:
     return durable(distinct.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c")).where("c > 1"))
 
@@ -262,14 +306,13 @@ def fingerprint_pairs(distinct: DataFrame) -> DataFrame:
     return same.unionByName(near)
 
 
-def similar_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
+def similar_links(rows: DataFrame, distinct: DataFrame, clashing: frozenset[int] = frozenset()) -> DataFrame:
     """(a, b): links that span the components of the ``distinct`` marks, whose texts are in ``rows``."""
-    links = _verified(fingerprint_pairs(distinct), distinct, rows)
+    links = _verified(fingerprint_pairs(distinct), distinct, rows, clashing)
     keys = _repeated(distinct)
     hot = keys.where(F.col("c") > HOT).select("key")
     if hot.take(1):
-        shared = rows.sparkSession.sparkContext.broadcast(spots(hot, "key"))
-        distinct = durable(rows.mapInArrow(_marks(shared), MARKS).dropDuplicates(["id"]))
+        distinct = durable(reordered(rows, hot, clashing))
         keys = _repeated(distinct)
     met = distinct.select("id", "n", F.posexplode("keys").alias("at", "key")).join(keys, "key").select("key", "id", "n", "at")
     before = F.lag("key").over(Window.partitionBy("id").orderBy("at"))
@@ -280,12 +323,12 @@ def similar_links(rows: DataFrame, distinct: DataFrame) -> DataFrame:
     order = lambda turn: F.struct(F.lit(0) if turn else F.col("at"), F.xxhash64("id", "key", F.lit(turn)))
     found = group.groupBy("key").agg(*[F.min_by(F.struct(*member), order(turn)).alias(f"l{turn}") for turn in range(LEADERS)])
     leaders = found.select("key", F.explode(F.array_distinct(F.array(*[f"l{turn}" for turn in range(LEADERS)]))).alias("l")).select("key", "l.*")
-    links = durable(links.unionByName(_verified(_pairs(group, leaders, member), distinct, rows)))
+    links = durable(links.unionByName(_verified(_pairs(group, leaders, member), distinct, rows, clashing)))
     group = _rooted(met, links)
     # What is left: keys in several components. Of two members in different ones, one at least is outside the first leader's.
     main = group.groupBy("key").agg(F.min_by("root", order(0)).alias("main"), F.min("root").alias("low"), F.max("root").alias("high"))
     mixed = durable(group.join(main.where("low != high").select("key", "main"), "key"))
-    return links.unionByName(_verified(_pairs(mixed.where("root != main"), mixed, [*member, "prev", *FOLDED]), distinct, rows))
+    return links.unionByName(_verified(_pairs(mixed.where("root != main"), mixed, [*member, "prev", *FOLDED]), distinct, rows, clashing))
 
 
 def _rooted(met: DataFrame, links: DataFrame) -> DataFrame:
@@ -294,6 +337,12 @@ def _rooted(met: DataFrame, links: DataFrame) -> DataFrame:
     return durable(met.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")))
 
 
+def clashes(marks: DataFrame) -> frozenset[int]:
+    """The ids that different sequences of words share, as their second hashes tell: of n texts about n^2 / 2^65, so hardly any."""
+    ends = marks.groupBy("id").agg(F.min("id2").alias("low"), F.max("id2").alias("high"))
+    return frozenset(r["id"] for r in ends.where("low != high").select("id").collect())
+
+
 def one_of_near_copies(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns: of each component one row stays, that with the smallest doc_id, nulls last.
 
@@ -302,8 +351,11 @@ def one_of_near_copies(docs: DataFrame) -> DataFrame:
     number = F.col("doc_id").cast("long")
     keyed = docs.withColumns({"__h1": F.xxhash64(number, "text"), "__h2": F.xxhash64(F.lit(1), "text", number)})
     rows = keyed.select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), "text")
-    marks = durable(rows.mapInArrow(_marks(None), MARKS))
-    roots = components(similar_links(rows, durable(marks.dropDuplicates(["id"])))).withColumnRenamed("node", "id")
+    marks = durable(rows.mapInArrow(_marks(None, frozenset()), MARKS))
+    clashing = clashes(marks)
+    if clashing:
+        marks = durable(rows.mapInArrow(_marks(None, clashing), MARKS))
+    roots = components(similar_links(rows, durable(marks.dropDuplicates(["id"])), clashing)).withColumnRenamed("node", "id")
     named = keyed.select(F.col("__h1").alias("h1"), F.col("__h2").alias("h2"), number.alias("doc_id")).distinct()
     grouped = marks.select("h1", "h2", "id").distinct().join(named, ["h1", "h2"]).join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h1", "h2")).alias("f")

@@ -79,3 +79,19 @@ def test_edges(edge_docs, no_docs):
     assert rows.columns == edge_docs.columns
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows.collect()) == sorted((i is None, i or 0) for i in (1, 3, 7, 8, -9, None))
     assert near_copies.one_of_near_copies(no_docs).count() == 0
+
+
+def test_joins_take_over_where_a_bitmap_is_too_small(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "HOT", 5)
+    monkeypatch.setattr(near_copies, "SPOTS", 64)
+    rows = list(enumerate(changed_copies(8)))
+    kept = near_copies.one_of_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == kept_by_brute_force(rows)
+
+
+def test_different_texts_that_share_a_hash_are_told_apart(spark):
+    marks = spark.createDataFrame([(1, 5), (1, 5), (2, 6), (2, 7), (3, 8)], "id long, id2 long")
+    assert near_copies.clashes(marks) == {2}
+    words = near_copies.words_of(b"A b\tc")
+    own = near_copies.word_hash(words)
+    assert own == near_copies.word_hash([b"a", b"b", b"c"]) != near_copies.word_hash(words, frozenset({own})) == near_copies.word_hash(words, near_copies.EVERY)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -107,16 +109,36 @@ def rewrite_recurring_words(df: DataFrame, words: DataFrame, config: dict | None
     return out.select("media_id", "seg_idx", "start", "end", text.alias("text"), "words")
 
 
-def final_cleanup(df: DataFrame, config: dict) -> DataFrame:
+def rewrite_recurring(df: DataFrame, config: dict | None = None, total: int | None = 12, cluster: int | None = None, window: float = 60.0, longest: int = 3, least: int = 5) -> DataFrame:
+    """``rewrite_recurring_words`` of ``recurring_words``, in one pass over ``df``: the counts are windows in its partitioning by media item.
+
+    Segments without a short token are each alone in their window.
+    """
+    _, sound = _settings(config or {})
+    token = only_token(F.col("text"))
+    rows = df.withColumn("__token", F.when(F.length(token) <= longest, token)).withColumn("__alone", F.when(F.col("__token").isNull(), F.col("seg_idx")))
+    group = Window.partitionBy("media_id", "__token", "__alone")
+    n, hit = F.count("*").over(group), F.lit(False)
+    if total is not None:
+        hit = hit | (n >= total)
+    if cluster is not None:
+        micros = F.rint(F.col("start") * 1e6).cast("long")
+        rows = rows.withColumn("__near", F.count("*").over(group.orderBy(micros).rangeBetween(0, round(window * 1e6))))
+        hit = hit | ((n >= least) & (n >= cluster) & (F.max("__near").over(group) >= cluster))
+    rows = rows.withColumn("__hit", F.col("__token").isNotNull() & hit)
+    text = F.when(F.col("__hit"), vocalization(T.strip(F.col("text")), F.col("end") - F.col("start"), sound)).otherwise(F.col("text"))
+    return rows.select("media_id", "seg_idx", "start", "end", text.alias("text"), "words")
+
+
+def final_cleanup(df: DataFrame, config: dict, watch: Callable[[str, DataFrame], DataFrame] = lambda step, df: df) -> DataFrame:
     """Stammers, then recurring words; the cluster rule needs no overall rule to be on."""
     out = df
     stammer = config.get("stammer_filter", {})
     if stammer.get("enable", True):
-        out = filter_stammers(out, stammer)
+        out = watch("stammers", filter_stammers(out, stammer))
     overall, cluster = config.get("global_word_filter", {}), config.get("cluster_filter", {})
     total = overall.get("min_occurrences", 12) if overall.get("enable") else None
     close = cluster.get("min_occurrences", 6) if cluster.get("enable") else None
     if total is None and close is None:
         return out
-    words = recurring_words(out, total, close, cluster.get("time_window_seconds", 60))
-    return rewrite_recurring_words(out, words, stammer)
+    return watch("recurring words", rewrite_recurring(out, stammer, total, close, cluster.get("time_window_seconds", 60)))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -145,30 +145,31 @@ def _renewed(rows: DataFrame) -> DataFrame:
     return reindex(renewed.select("media_id", "seg_idx", "start", "end", pick("new_text", "text"), pick("new_words", "words")))
 
 
-def filter_invented(df: DataFrame, config: dict, recogniser: RecogniserFactory | None = None, truth: DataFrame | None = None) -> DataFrame:
+def filter_invented(df: DataFrame, config: dict, recogniser: RecogniserFactory | None = None, truth: DataFrame | None = None, watch: Callable[[str, DataFrame], DataFrame] = lambda step, df: df) -> DataFrame:
     """The filters in their order: phrases, duplicates, single characters, timing, then phrases and duplicates again.
 
-    They run again only for media items that lost rows to the timing filter, or for all if it recognises again.
+    They run again only for media items that lost rows to the timing filter, or for all if it recognises again. ``watch``
+    gets each step's name and rows, and gives them back.
     """
     phrases, repeats, timing = config["phrase_filter"], config["consecutive_duplicates"], config["timing_validation"]
     patterns = phrase_patterns(phrases) if phrases.get("enable") else []
     out = df
     if patterns:
-        out = remove_phrases(out, patterns, recogniser if phrases.get("enable_revalidate") else None, truth)
+        out = watch("phrases", remove_phrases(out, patterns, recogniser if phrases.get("enable_revalidate") else None, truth))
     if repeats.get("enable"):
-        out = remove_consecutive_duplicates(out)
-    out = merge_single_char_segments(out)
+        out = watch("duplicates", remove_consecutive_duplicates(out))
+    out = watch("single characters", merge_single_char_segments(out))
     if not timing.get("enable"):
         return out
     max_rate, again = timing.get("max_chars_per_second", 20), bool(timing.get("enable_revalidate"))
     if again and recogniser is not None:
-        return _again(validate_timing(out, max_rate, recogniser, truth), patterns, repeats, F.lit(True))
+        return watch("again", _again(watch("timing", validate_timing(out, max_rate, recogniser, truth)), patterns, repeats, F.lit(True)))
     from pyspark.sql import Window
 
     dropped = ~F.coalesce((F.col("end") > F.col("start")) & ~is_suspicious(max_rate), F.lit(False))
     lost = F.max(dropped).over(Window.partitionBy("media_id"))
     marked = out.withColumn("__lost", lost | F.lit(again)).withColumn("__dropped", dropped).where(~F.col("__dropped")).drop("__dropped")
-    return _again(marked, patterns, repeats, F.col("__lost"))
+    return watch("again", _again(watch("timing", marked), patterns, repeats, F.col("__lost")))
 
 
 def _again(df: DataFrame, patterns: list[str], repeats: dict, only: Column) -> DataFrame:

@@ -6,14 +6,16 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions.jsonfix import response_items
 from cuewise.functions.similarity import text_similarity
 from cuewise.operators.cues import batches
 from cuewise.operators.models import TextModel, TextModelFactory
-from cuewise.schema import COLUMNS, SEGMENT, reindex
+from cuewise.schema import COLUMNS, SEGMENT
+from cuewise.sources.details import DETAILS
+from cuewise.sources.tables import dealt
 
 POLISH = "Correct only clear recognition errors and punctuation in these subtitles; add, drop and reorder nothing.\n{lines}\n" 'Answer with JSON only: {{"polished": ["...", "..."]}}'
 SPLIT = "Split this subtitle at natural pauses into pieces of about {most} characters; change nothing.\n1. {text}\n" 'Answer with JSON only: {{"segments": ["...", "..."]}}'
@@ -26,49 +28,86 @@ LEAST_SECONDS = 0.5
 REACH, SPARE, BEFORE = 2, 10, 5
 
 
-def _ask(model: TextModel, texts: list[str], llm: dict) -> list[str]:
-    prompt = POLISH.format(lines="\n".join(f"{i}. {t}" for i, t in enumerate(texts, 1)))
-    items, error = response_items(model.generate(prompt, llm.get("max_tokens", 1024), llm.get("temperature", 0.0)))
+class Unreadable(ValueError):
+    """An answer that holds no list; keeps what was asked and what came back."""
+
+    def __init__(self, error: str, prompt: str, raw: str) -> None:
+        super().__init__(error)
+        self.prompt, self.raw = prompt, raw
+
+
+def _items(model: TextModel, prompt: str, key: str, llm: dict) -> list[str]:
+    raw = None
+    try:
+        raw = model.generate(prompt, llm.get("max_tokens", 1024), llm.get("temperature", 0.0))
+        items, error = response_items(raw, key)
+    except Exception as failure:  # whatever the plugged-in model raised
+        raise Unreadable(f"{type(failure).__name__}: {failure}", prompt, raw) from failure
     if items is None:
-        raise ValueError(error)
+        raise Unreadable(f"ValueError: {error}", prompt, raw)
     return items
 
 
-def polish_texts(model: TextModel, texts: list[str], llm: dict, compat: bool = False) -> tuple[list[str | None], str | None]:
-    """New texts by position, and an error if there was one.
+def _ask(model: TextModel, texts: list[str], llm: dict) -> list[str]:
+    return _items(model, POLISH.format(lines="\n".join(f"{i}. {t}" for i, t in enumerate(texts, 1))), "polished", llm)
+
+
+def polish_texts(model: TextModel, texts: list[str], llm: dict, compat: bool = False) -> tuple[list[str | None], list[Unreadable]]:
+    """New texts by position, and the failures: first that of the batch, then those of single texts.
 
     A failed batch is asked for one by one; what fails again keeps its text. Positions that the answer lacks keep
     their text too (``compat``: None, as the original drops them); what it has too many is ignored.
     """
     try:
         found: list[str | None] = list(_ask(model, texts, llm)[: len(texts)])
-        return found + (texts if not compat else [None] * len(texts))[len(found) :], None
-    except Exception as error:  # whatever the plugged-in model raised: try smaller
-        failure = f"{type(error).__name__}: {error}"
+        return found + (texts if not compat else [None] * len(texts))[len(found) :], []
+    except Unreadable as failure:
+        failures = [failure]
     out: list[str | None] = []
     for text in texts:
         try:
             out.append((_ask(model, [text], llm) or [text])[0])
-        except Exception:
+        except Unreadable as failure:
+            failures.append(failure)
             out.append(text)
-    return out, failure
+    return out, failures
 
 
 def polish_segments(df: DataFrame, model: TextModelFactory, size: int = 10, llm: dict | None = None, compat: bool = False) -> DataFrame:
-    """Segments with polished texts and a column ``error``: why a batch had to be asked for one by one, or null."""
+    """Segments with polished texts, ``error``: why a batch had to be asked for one by one, or null, and ``details``: on a batch's
+    first row each failed question with its answer (see ``cuewise.sources.details``).
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("pos")
+    Batches are dealt out to the tasks whole, and stream through them in their order: one model a task.
+    """
+
+    def polished(own: TextModel | str, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.assign(words=[list(w) for w in rows["words"]])
+        if isinstance(own, str):
+            new, failures = rows["text"].tolist(), [Unreadable(own, None, None)]
+        else:
+            new, failures = polish_texts(own, rows["text"].tolist(), llm or {}, compat)
+        details = [{"stage": "text_polishing", "item": int(rows["batch_id"].iloc[0]), "prompt": f.prompt, "raw": f.raw, "error": str(f)} for f in failures]
+        kept = rows.assign(text=new, error=str(failures[0]) if failures else None)[[t is not None for t in new]].drop(columns=["batch_id", "pos"])
+        return kept.assign(details=pd.Series([details, *[[]] * (len(kept) - 1)][: len(kept)], index=kept.index, dtype="object"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
-            own = model()
-        except Exception as error:
-            return rows.assign(error=f"{type(error).__name__}: {error}").drop(columns=["batch_id", "pos"])
-        new, failure = polish_texts(own, rows["text"].tolist(), llm or {}, compat)
-        rows = rows.assign(text=new, error=failure)
-        return rows[[t is not None for t in new]].drop(columns=["batch_id", "pos"])
+            own: TextModel | str = model()
+        except Exception as error:  # the texts stay as they are
+            own = f"{type(error).__name__}: {error}"
+        rest = None
+        for frame in frames:
+            rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            fresh = (rows["media_id"] != rows["media_id"].shift()) | (rows["batch_id"] != rows["batch_id"].shift())
+            groups = [g for _, g in rows.groupby(fresh.cumsum(), sort=False)]
+            rest = groups.pop() if groups else None
+            yield from (polished(own, g) for g in groups)
+        if rest is not None and len(rest):
+            yield polished(own, rest)
 
-    return batches(df, size).groupBy("media_id", "batch_id").applyInPandas(run, SEGMENT + ", error string")
+    order = ["media_id", "batch_id", "pos"]
+    dealt_out = dealt(batches(df.select(*COLUMNS), size), "media_id", "batch_id").sortWithinPartitions(*order)
+    return dealt_out.mapInPandas(run, f"{SEGMENT}, error string, details {DETAILS}")
 
 
 def _clean(text: str) -> str:
@@ -141,17 +180,21 @@ def close_gaps(rows: list[tuple[float, float, str, list]], rate: float) -> list[
     return rows
 
 
-def split_row(model: TextModel, start: float, end: float, text: str, words: list[dict], most: int, rate: float, llm: dict) -> list[tuple[float, float, str, list]]:
-    """The pieces into which a model splits a segment; the segment itself if the answer is no good."""
+def split_row(model: TextModel, start: float, end: float, text: str, words: list[dict], most: int, rate: float, llm: dict, failures: list[Unreadable] | None = None) -> list[tuple[float, float, str, list]]:
+    """The pieces into which a model splits a segment; the segment itself if the answer is no good, of which ``failures`` is told."""
+    failures = [] if failures is None else failures
+    prompt = SPLIT.format(most=most, text=text)
     whole = [(start, end, text, words)]
     seconds = end - start
     if len(text) <= most or seconds <= 0 or len(text) / seconds > rate:
         return whole
     try:
-        pieces, _ = response_items(model.generate(SPLIT.format(most=most, text=text), llm.get("max_tokens", 1024), llm.get("temperature", 0.0)), "segments")
-    except Exception:  # whatever the plugged-in model raised: the segment stays whole
+        pieces = _items(model, prompt, "segments", llm)
+    except Unreadable as failure:  # the segment stays whole
+        failures.append(failure)
         return whole
-    if not pieces or len(pieces) < 2 or not valid_split(text, pieces):
+    if len(pieces) < 2 or not valid_split(text, pieces):
+        failures.append(Unreadable("ValueError: the pieces are not the text", prompt, "\n".join(pieces)))
         return whole
     if words:
         found = pieces_to_words(pieces, words, start, end)
@@ -160,12 +203,13 @@ def split_row(model: TextModel, start: float, end: float, text: str, words: list
     return [(start + seconds * a / total, start + seconds * b / total, p, []) for a, b, p in zip(at, at[1:], pieces, strict=False)]
 
 
-def split_with_model(df: DataFrame, model: TextModelFactory, most: int = 30, rate: float = 20.0, llm: dict | None = None) -> DataFrame:
+def split_with_model(df: DataFrame, model: TextModelFactory, most: int = 30, rate: float = 20.0, llm: dict | None = None, details: bool = False) -> DataFrame:
     """Segments of more than ``most`` characters, split by a model; others as they are.
 
     Pieces get the times of their words, or of their share of the characters where there are none. One pass over what
     comes before: short segments go through the same tasks, and the model is asked for long ones alone. A model that
-    can't be made leaves all segments whole. A null text stays as it is. No shuffle but the renumbering's.
+    can't be made leaves all segments whole. A null text stays as it is. No shuffle but the renumbering's. With ``details`` a column of that name has, on a
+    segment's first piece, the question and answer that were no good.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,9 +222,13 @@ def split_with_model(df: DataFrame, model: TextModelFactory, most: int = 30, rat
             for r in frame.itertuples():
                 words = [] if r.words is None else [dict(w) for w in r.words]
                 whole = [(r.start, r.end, r.text, words)]
-                pieces = whole if own is None or not isinstance(r.text, str) else split_row(own, r.start, r.end, r.text, words, most, rate, llm or {})
-                out += [(r.media_id, r.seg_idx, k, *piece) for k, piece in enumerate(pieces)]
-            yield pd.DataFrame(out, columns=["media_id", "seg_idx", "sub_idx", "start", "end", "text", "words"])
-
-    schema = SEGMENT.replace("seg_idx int,", "seg_idx int, sub_idx int,")
-    return reindex(df.select(*COLUMNS).mapInPandas(run, schema), "seg_idx", "sub_idx")
+                failures: list[Unreadable] = []
+                pieces = whole if own is None or not isinstance(r.text, str) else split_row(own, r.start, r.end, r.text, words, most, rate, llm or {}, failures)
+                told = [{"stage": "segment_splitting", "item": r.seg_idx, "prompt": f.prompt, "raw": f.raw, "error": str(f)} for f in failures]
+                out += [(r.media_id, r.seg_idx, k, *piece, [] if k else told) for k, piece in enumerate(pieces)]
+            yield pd.DataFrame(out, columns=["media_id", "seg_idx", "sub_idx", "start", "end", "text", "words", "details"])
+
+    schema = SEGMENT.replace("seg_idx int,", "seg_idx int, sub_idx int,") + f", details {DETAILS}"
+    made = df.select(*COLUMNS).mapInPandas(run, schema)
+    at = F.row_number().over(Window.partitionBy("media_id").orderBy("seg_idx", "sub_idx")) - 1
+    return made.withColumn("seg_idx", at.cast("int")).select(*COLUMNS, *["details"] * details)

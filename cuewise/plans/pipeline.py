@@ -10,20 +10,26 @@ from cuewise.config import DEFAULTS, Config, deep_merge, stage_llm, with_own_nam
 from cuewise.operators import align, cleanup, filters, merge, polish, split
 from cuewise.operators.cues import vtt_cues
 from cuewise.operators.models import RecogniserFactory, TextModelFactory, text_model
+from cuewise.plans.counters import Counters, unwatched
 from cuewise.schema import as_segments
+from cuewise.sources.details import set_aside
 
 
 @dataclass
 class Pipeline:
     """Segments to cleaned, realigned and polished segments, media item by media item.
 
-    ``truth`` feeds a recogniser that reads a table of words; ``model`` overrides the provider of the config.
+    ``truth`` feeds a recogniser that reads a table of words; ``model`` overrides the provider of the config. ``counters`` observes
+    each step. ``details`` is a folder for the questions and answers of a text model that were no good; the plan then
+    is cut behind each stage that asks one, so that it asks once.
     """
 
     config: Config = field(default_factory=dict)
     recogniser: RecogniserFactory | None = None
     truth: DataFrame | None = None
     model: TextModelFactory | None = None
+    counters: Counters | None = None
+    details: str | None = None
 
     def __post_init__(self) -> None:
         self.config = deep_merge(DEFAULTS, with_own_names(self.config))
@@ -41,17 +47,17 @@ class Pipeline:
         ]
 
     def transform(self, df: DataFrame) -> DataFrame:
-        on = dict(self.describe())
-        out = as_segments(df)
+        on, watch = dict(self.describe()), self.counters.watch if self.counters else unwatched
+        out = watch("input", as_segments(df))
         if on["merge incomplete segments"]:
-            out = self._merged(out)
-        out = self._split(out) if on["split long segments"] else split.bypass_split(out)
-        out = filters.filter_invented(out, self.config["hallucination_filter"], self.recogniser, self.truth)
+            out = watch("merge", self._merged(out))
+        out = watch("split", self._split(out) if on["split long segments"] else split.bypass_split(out))
+        out = filters.filter_invented(out, self.config["hallucination_filter"], self.recogniser, self.truth, watch)
         if on["realign timing"]:
-            out = align.realign_timing(out, self.config["timing_realignment"], self.recogniser, self.truth)
+            out = watch("realign", align.realign_timing(out, self.config["timing_realignment"], self.recogniser, self.truth))
         if on["polish texts"]:
-            out = self._polished(out)
-        return cleanup.final_cleanup(out, self.config["final_cleanup"]) if on["final cleanup"] else out
+            out = watch("polish", self._polished(out))
+        return cleanup.final_cleanup(out, self.config["final_cleanup"], watch) if on["final cleanup"] else out
 
     def cues(self, df: DataFrame) -> DataFrame:
         return vtt_cues(self.transform(df))
@@ -65,7 +71,8 @@ class Pipeline:
         most, rate = own["max_line_length"], self.config["hallucination_filter"]["timing_validation"].get("max_chars_per_second", 20)
         out = split.split_segments(df, most, tuple(own["primary_breaks"]), tuple(own["secondary_breaks"]))
         if own.get("enable_llm") and (model := self.model or text_model(stage_llm(self.config, "segment_splitting"))):
-            out = polish.split_with_model(out, model, most, rate, stage_llm(self.config, "segment_splitting"))
+            out = polish.split_with_model(out, model, most, rate, stage_llm(self.config, "segment_splitting"), bool(self.details))
+            out = set_aside(out, self.details) if self.details else out
         if own.get("enable_revalidate") and self.recogniser is not None:
             out = filters.revalidate_segments(out, self.recogniser, self.truth, rate)
         return out
@@ -75,4 +82,5 @@ class Pipeline:
         model = self.model or text_model(llm)
         if model is None:
             return df
-        return polish.polish_segments(df, model, self.config["text_polishing"].get("batch_size", 10), llm).drop("error")
+        out = polish.polish_segments(df, model, self.config["text_polishing"].get("batch_size", 10), llm).drop("error")
+        return set_aside(out, self.details) if self.details else out.drop("details")

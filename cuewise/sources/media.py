@@ -8,7 +8,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuewise.operators.models import RecogniserFactory
@@ -31,11 +31,20 @@ def media_files(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _named(paths: DataFrame) -> DataFrame:
-    return paths.distinct().select(F.regexp_extract("path", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1).alias("media_id"), "path")
+    """Items go by the name of their file without its ending; those that share one by it and a hash of their path."""
+    stem = F.regexp_extract("path", r"([^/\\]+?)(?:\.[^./\\]*)?$", 1)
+    named = paths.distinct().withColumn("stem", stem)
+    shared = F.count("*").over(Window.partitionBy("stem")) > 1
+    return named.select(F.when(shared, F.concat("stem", F.lit("-"), F.lower(F.hex(F.xxhash64("path"))))).otherwise(F.col("stem")).alias("media_id"), "path")
 
 
 def prepare_sound(media: DataFrame, loudness: float = -6.0, folder: str | None = None) -> DataFrame:
-    """``media`` with ``prepared``: a normalised 16 kHz mono copy made by ffmpeg, or the path itself if that fails."""
+    """``media`` with ``prepared``: a normalised 16 kHz mono copy made by ffmpeg, or the path itself if that fails.
+
+    ``folder`` is one that all executors see; on a cluster it must be given, as other tasks open the copies.
+    """
+    if folder is None and not media.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that all executors share")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

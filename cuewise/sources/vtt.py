@@ -1,7 +1,7 @@
 """WebVTT as a Spark data source: one file for each media item, and back.
 
 ``register(spark)`` makes ``df.write.format("webvtt")`` and ``spark.read.format("webvtt")`` known. Paths are
-local or mounted ones, as seen by the executors; for object stores write ``vtt_files`` with Spark's writers.
+local or mounted ones, as seen by the executors; ``write_vtt`` writes to any file system that Spark knows.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from cuewise.operators.cues import vtt_cues, vtt_files
+from cuewise.sources.hadoop import file_name, write_files
 
 CUES = "media_id string, cue int, start double, end double, text string"
 _TIMING = re.compile(r"^(?:(\d+):)?(\d{2}):(\d{2})\.(\d{3}) --> (?:(\d+):)?(\d{2}):(\d{2})\.(\d{3})")
@@ -73,17 +74,23 @@ class _Writer(DataSourceWriter):
 
     def write(self, rows: Iterator) -> _Written:
         os.makedirs(self.path, exist_ok=True)
-        done = []
+        done: list[str] = []
+        try:
+            self._stage(rows, done)
+        except BaseException:
+            _remove(done)  # no one else hears of a failed attempt's files
+            raise
+        return _Written(done)
+
+    def _stage(self, rows: Iterator, done: list[str]) -> None:
         for row in rows:
-            name = re.sub(r"[/\\\0]", "_", row["media_id"])
-            final = os.path.join(self.path, f"{name}.vtt")
+            final = os.path.join(self.path, f"{file_name(row['media_id'])}.vtt")
             if os.path.exists(final) and not self.overwrite:
                 raise FileExistsError(final)
             part = f"{final}.{uuid.uuid4().hex}.part"
+            done.append(part)
             with open(part, "w", encoding="utf-8", newline="\n") as file:
                 file.write(row["content"])
-            done.append(part)
-        return _Written(done)
 
     def commit(self, messages: list) -> None:
         for message in messages:
@@ -92,9 +99,13 @@ class _Writer(DataSourceWriter):
 
     def abort(self, messages: list) -> None:
         for message in messages:
-            for name in message.files if message else []:
-                if os.path.exists(name):
-                    os.remove(name)
+            _remove(message.files if message else [])
+
+
+def _remove(names: list[str]) -> None:
+    for name in names:
+        if os.path.exists(name):
+            os.remove(name)
 
 
 class VttSource(DataSource):
@@ -117,6 +128,9 @@ def register(spark: SparkSession) -> None:
 
 
 def write_vtt(df: DataFrame, path: str, overwrite: bool = True) -> None:
-    """Segments to ``path``/<media_id>.vtt."""
+    """Segments to ``path``/<media_id>.vtt; a path with a scheme goes through Hadoop's file systems."""
+    if "://" in path:
+        write_files(vtt_files(vtt_cues(df)), path, overwrite=overwrite)
+        return
     register(df.sparkSession)
     vtt_files(vtt_cues(df)).write.format("webvtt").mode("overwrite" if overwrite else "append").save(path)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cuewise.config import DEFAULTS, deep_merge, load_config, stage_llm, validate_llm_requirements
+from cuewise.operators import models
 from cuewise.plans.pipeline import Pipeline
 from cuewise.sources import media, vtt
 from cuewise.streaming import segments as streams
@@ -156,3 +157,157 @@ def test_each_pair_is_compared_once(spark):
 
     plan = queries()["similarity_neighbours"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_counters_are_recounts(segments):
+    from cuewise.plans.counters import Counters
+
+    df = segments(*[(i, i + 0.5, t) for i, t in enumerate(["行って", "きた", "同じ", "同じ", "ああ", "悪い文", "僕", "僕", "x" * 90, "終わり"])])
+    config = {"hallucination_filter": {"phrase_filter": {"enable": True, "patterns": ["悪い"]}, "consecutive_duplicates": {"enable": True}, "timing_validation": {"enable": True}}, "segment_splitting": {"enable": False}}
+    counters = Counters()
+    out = Pipeline(config, counters=counters).transform(df).collect()
+    steps = {r["step"]: r for r in counters.summary()}
+    assert list(steps) == ["input", "merge", "split", "phrases", "duplicates", "single characters", "timing", "again", "stammers"]
+    assert steps["input"]["rows"] == 10 and steps["input"]["seconds"] == 5.0 and steps["stammers"]["rows"] == len(out)
+    assert steps["phrases"]["removed"] == 1 and steps["duplicates"]["removed"] == 2 and steps["timing"]["removed"] == 1
+    assert steps["timing"]["characters_changed"] == -90 and steps["input"]["rows"] - sum(r.get("removed", 0) for r in steps.values()) == len(out)
+    assert steps["stammers"]["characters"] == sum(len(r["text"]) for r in out)
+
+
+class Mute:
+    """Answers batches with prose, and counts its questions in a folder."""
+
+    def __init__(self, folder):
+        self.folder = folder
+
+    def generate(self, prompt, max_tokens=0, temperature=0.0):
+        import uuid
+
+        open(os.path.join(self.folder, uuid.uuid4().hex), "w").close()
+        return "no idea" if "\n2. " in prompt else models.StubTextModel().generate(prompt)
+
+
+def test_broken_answers_can_be_read_back(spark, segments, tmp_path):
+    from cuewise.sources.details import read_errors
+
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    df = segments((0, 1, "aa"), (2, 3, "bb"), (4, 5, "cc"))
+    config = {"text_polishing": {"enable": True, "batch_size": 2}, "segment_merging": {"enable": False}, "hallucination_filter": {"timing_validation": {"enable": False}}}
+    out = Pipeline(config, model=lambda: Mute(str(asked)), details=str(tmp_path / "d")).transform(df)
+    assert sorted(r["text"] for r in out.collect()) == ["AA", "BB", "CC"] and out.count() == 3
+    errors = read_errors(spark, str(tmp_path / "d")).collect()
+    assert [(r["media_id"], r["stage"], r["item"], r["raw"]) for r in errors] == [("m", "text_polishing", 0, "no idea")]
+    assert "1. aa\n2. bb" in errors[0]["prompt"] and "no list" in errors[0]["error"]
+    assert len(os.listdir(asked)) == 4  # two batches, and two texts by themselves: no second run
+
+
+def test_one_model_a_task_and_batches_over_frames(spark, segments):
+    from cuewise.operators import polish
+
+    made = spark.sparkContext.accumulator(0)
+
+    def model():
+        made.add(1)
+        return models.StubTextModel()
+
+    df = segments(*[(i, i + 1, f"t{i}") for i in range(95)]).unionByName(segments((0, 1, "z"), media="n"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        rows = sorted(polish.polish_segments(df, model, 10).collect(), key=lambda r: (r["media_id"], r["seg_idx"]))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["text"] for r in rows] == [f"T{i}" for i in range(95)] + ["Z"] and made.value <= 4
+    assert all(r["error"] is None and r["details"] == [] for r in rows)
+
+
+def test_recurring_words_in_one_pass(spark, segments):
+    import random
+
+    from cuewise.operators import cleanup
+
+    rng = random.Random(3)
+    df = segments(*[(t := rng.randrange(400), t + 1, rng.choice(["僕", "あ", "うん うん", "long token", "僕 あ", "", "ねえ", None])) for _ in range(160)])
+    for total, close in ((12, None), (None, 4), (20, 6), (None, 2)):
+        config = {"vocalization_replacement": {}}
+        two = cleanup.rewrite_recurring_words(df, cleanup.recurring_words(df, total, close, 30.0), config)
+        one = cleanup.rewrite_recurring(df, config, total, close, 30.0)
+        get = lambda d: sorted((r["seg_idx"], r["text"]) for r in d.collect())
+        assert get(one) == get(two)
+    final = cleanup.final_cleanup(df, {"global_word_filter": {"enable": True}, "cluster_filter": {"enable": True}})
+    plan = final._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan") == 1 and "Join" not in plan
+
+
+def test_files_through_hadoop(spark, segments, tmp_path):
+    path = f"file://{tmp_path}/out"
+    df = segments((0, 1, "a"), media="x/y=1:2 %").unionByName(segments((0, 1, "b\n"), media="z"))
+    vtt.write_vtt(df, path)
+    assert sorted(os.listdir(tmp_path / "out")) == ["x_y=1:2 %.vtt", "z.vtt"]
+    vtt.write_vtt(df, str(tmp_path / "local"))
+    for name in ("x_y=1:2 %.vtt", "z.vtt"):
+        assert (tmp_path / "out" / name).read_bytes() == (tmp_path / "local" / name).read_bytes()
+    vtt.write_vtt(segments((0, 1, "c"), media="z"), path)
+    assert "\nc\n" in (tmp_path / "out" / "z.vtt").read_text()
+    with pytest.raises(FileExistsError):
+        vtt.write_vtt(segments((0, 1, "d"), media="z"), path, overwrite=False)
+    assert sorted(os.listdir(tmp_path / "out")) == ["x_y=1:2 %.vtt", "z.vtt"]
+    assert "\nc\n" in (tmp_path / "out" / "z.vtt").read_text() and not [n for n in os.listdir(tmp_path / "out") if n.startswith(".stage")]
+    with pytest.raises(Exception, match="broken"):
+        vtt.write_vtt(df.withColumn("text", F.raise_error(F.lit("broken"))), path)
+    assert not [n for n in os.listdir(tmp_path / "out") if n.startswith(".stage")]
+
+
+def test_failed_attempts_leave_no_files(tmp_path):
+    def rows():
+        yield {"media_id": "a", "content": "x"}
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        vtt._Writer(str(tmp_path), True).write(rows())
+    assert os.listdir(tmp_path) == []
+
+
+def test_runs_are_taken_up_again(spark, segments, tmp_path, monkeypatch):
+    from functools import reduce
+
+    from cuewise.plans import runs
+
+    path = f"file://{tmp_path}/out"
+    df = reduce(lambda a, b: a.unionByName(b), [segments((0, 1, f"text {i}"), media=f"m{i}") for i in range(9)])
+    own, calls = runs.write_files, []
+
+    def dying(rows, at):
+        calls.append(sorted(r["media_id"] for r in rows.select("media_id").collect()))
+        if len(calls) == 3:
+            raise KeyboardInterrupt
+        return own(rows, at)
+
+    monkeypatch.setattr(runs, "write_files", dying)
+    with pytest.raises(KeyboardInterrupt):
+        runs.run(Pipeline({}), df, path, 4)
+    written = {n for n in os.listdir(tmp_path / "out") if n.endswith(".vtt")}
+    first = {r["media_id"] for r in runs.statuses(spark, path).collect()}
+    assert {f"{m}.vtt" for m in first} == written and 0 < len(written) < 9
+    status = runs.run(Pipeline({}), df, path, 4).collect()
+    assert {r["media_id"]: r["status"] for r in status} == {f"m{i}": "done" for i in range(9)}
+    again = [m for c in calls[3:] for m in c]
+    assert not first & set(again) and len(again) + len(first) == 9
+    assert {n for n in os.listdir(tmp_path / "out") if n.endswith(".vtt")} == {f"m{i}.vtt" for i in range(9)}
+
+
+def test_media_from_the_command_line(spark, tmp_path, capsys):
+    from cuewise.__main__ import main
+
+    for name in ("a/clip.wav", "a/clip.mp3", "a/deep/other.wav", "a/bad.wav", "a/notes.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"sound")
+    out = tmp_path / "out"
+    given = [str(tmp_path / "a"), "--recogniser", "test_plans:Tape", "--recursive", "--output-dir", f"file://{out}", "--portions", "2"]
+    assert main(given) == 1
+    names = sorted(n for n in os.listdir(out) if n.endswith(".vtt"))
+    assert len(names) == 3 and names[2] == "other.vtt" and all(n.startswith("clip-") for n in names[:2])
+    shown = capsys.readouterr().out
+    assert "3 done" in shown and "1 failed" in shown
+    assert main([str(tmp_path / "none"), "--recogniser", "test_plans:Tape", "--output-dir", f"file://{out}"]) == 1
+    assert main([]) == 1 and main(["x", "--recogniser", "no.such:thing"]) == 1

@@ -6,18 +6,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions.text import format_timestamp, strip
-from cuewise.schema import by_position
+from cuewise.operators.scan import numbered, with_before
 
 
-def vtt_cues(df: DataFrame) -> DataFrame:
+def vtt_cues(df: DataFrame, chunk: int | None = None) -> DataFrame:
     """media_id, cue, start, end, text, timing: a row for each segment with text, numbered from 1.
 
-    A cue without words starts where the one before it ends, be it gap or overlap.
+    A cue without words starts where the one before it ends, be it gap or overlap. ``chunk``: see ``scan``.
     """
     shown = df.withColumn("text", strip(F.col("text"))).where("text != ''")
-    at = by_position()
-    start = F.when(F.size("words") == 0, F.coalesce(F.lag("end").over(at), F.col("start"))).otherwise(F.col("start"))
-    rows = shown.select("media_id", F.row_number().over(at).alias("cue"), start.alias("start"), "end", "text")
+    shown = numbered(with_before(shown, ["end"], "__before", chunk), "cue", chunk)
+    start = F.when(F.size("words") == 0, F.coalesce(F.col("__before.end"), F.col("start"))).otherwise(F.col("start"))
+    rows = shown.select("media_id", F.col("cue").cast("int").alias("cue"), start.alias("start"), "end", "text")
     return rows.withColumn("timing", F.concat(format_timestamp(F.col("start")), F.lit(" --> "), format_timestamp(F.col("end"))))
 
 

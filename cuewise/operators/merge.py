@@ -1,23 +1,29 @@
-"""Merging neighbours: gaps and islands over a media item's segments."""
+"""Merging neighbours: gaps and islands over a media item's segments.
+
+``chunk`` cuts media items into chunks of so many segments (see ``scan``), for items too long for one task.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuewise.functions.text import strip
+from cuewise.operators.scan import CHUNK, running_sum, with_before
 from cuewise.schema import COLUMNS, by_position, no_words, reindex
 
 #: Endings of a segment whose sentence goes on.
 INCOMPLETE = ("て", "で", "と", "が", "けど", "ども", "たり")
 
 
-def islands(df: DataFrame, continues: Column, name: str = "island") -> DataFrame:
-    """Numbers the runs of rows in which each but the first ``continues`` the one before it."""
-    fresh = F.when(F.coalesce(continues, F.lit(False)), 0).otherwise(1)
-    return df.withColumn("__fresh", fresh).withColumn(name, F.sum("__fresh").over(by_position())).drop("__fresh")
+def islands(df: DataFrame, columns: list[str], continues: Callable[[Column], Column], name: str = "island", chunk: int | None = None) -> DataFrame:
+    """Numbers from 1 the runs of rows in which each but the first ``continues`` the one before it, of which it gets ``columns``."""
+    rows = with_before(df, columns, "__before", chunk)
+    fresh = F.when(F.coalesce(continues(F.col("__before")), F.lit(False)), 0).otherwise(1)
+    return running_sum(rows, fresh, name, chunk).drop("__before", CHUNK)
 
 
 def _runs(df: DataFrame) -> DataFrame:
@@ -28,22 +34,25 @@ def _runs(df: DataFrame) -> DataFrame:
 
 def _emit(runs: DataFrame, text: Column, words: Column) -> DataFrame:
     first, last = F.col("run")[0], F.element_at("run", -1)
-    out = runs.select("media_id", first["seg_idx"].alias("seg_idx"), first["start"].alias("start"), last["end"].alias("end"), text.alias("text"), words.alias("words"))
-    return reindex(out)
+    # Islands are numbered as segments are, but from 1.
+    number = (F.col("island") - 1).cast("int")
+    return runs.select("media_id", number.alias("seg_idx"), first["start"].alias("start"), last["end"].alias("end"), text.alias("text"), words.alias("words"))
 
 
-def merge_incomplete_segments(df: DataFrame, markers: tuple[str, ...] = INCOMPLETE, max_gap: float = 0.5, max_length: int = 30) -> DataFrame:
+def merge_incomplete_segments(df: DataFrame, markers: tuple[str, ...] = INCOMPLETE, max_gap: float = 0.5, max_length: int = 30, chunk: int | None = None) -> DataFrame:
     """Joins a segment to the one before it if that ends with a marker, is near, and both are short enough.
 
     The length is that of the two neighbours, so a chain may get longer. A merged segment has words only if all of
     its parts have; a segment that merges with none stays as it is.
     """
-    at = by_position()
-    mine, before = strip(F.col("text")), strip(F.lag("text").over(at))
-    open_ended = reduce(lambda a, b: a | b, [before.endswith(m) for m in markers], F.lit(False))
-    near = F.col("start") - F.lag("end").over(at) < max_gap
-    short = F.length(before) + F.length(mine) <= max_length
-    runs = _runs(islands(df, open_ended & near & short))
+
+    def goes_on(before: Column) -> Column:
+        text = strip(before["text"])
+        open_ended = reduce(lambda a, b: a | b, [text.endswith(m) for m in markers], F.lit(False))
+        near = F.col("start") - before["end"] < max_gap
+        return open_ended & near & (F.length(text) + F.length(strip(F.col("text"))) <= max_length)
+
+    runs = _runs(islands(df, ["text", "end"], goes_on, chunk=chunk))
     single = F.size("run") == 1
     joined = F.array_join(F.transform("run", lambda s: strip(s["text"])), "")
     words = F.flatten(F.transform("run", lambda s: s["words"]))
@@ -51,32 +60,28 @@ def merge_incomplete_segments(df: DataFrame, markers: tuple[str, ...] = INCOMPLE
     return _emit(runs, F.when(single, F.col("run")[0]["text"]).otherwise(joined), F.when(single, F.col("run")[0]["words"]).when(full, words).otherwise(no_words()))
 
 
-def remove_consecutive_duplicates(df: DataFrame, only: Column | None = None) -> DataFrame:
+def remove_consecutive_duplicates(df: DataFrame, only: Column | None = None, chunk: int | None = None) -> DataFrame:
     """Each run of equal trimmed texts becomes one segment: first start, last end, the first one's words.
 
     Where ``only`` is false, rows stay apart and untouched. Needs no list of the run's rows.
     """
-    text = strip(F.col("text"))
-    same = text == F.lag(text).over(by_position())
-    rows = islands(df, same if only is None else same & only)
-    text = text if only is None else F.when(only, text).otherwise(F.col("text"))
+    rows = df.withColumn("__text", strip(F.col("text")))
+    same = lambda before: F.col("__text") == before["__text"]
+    rows = islands(rows, ["__text"], same if only is None else lambda before: same(before) & only, chunk=chunk)
+    text = F.col("__text") if only is None else F.when(only, F.col("__text")).otherwise(F.col("text"))
     first = lambda c: F.min_by(c, "seg_idx")
-    out = rows.withColumn("text", text).groupBy("media_id", "island").agg(
-        F.min("seg_idx").alias("seg_idx"), first("start").alias("start"), F.max_by("end", "seg_idx").alias("end"), first("text").alias("text"), first("words").alias("words")
-    )
-    return reindex(out.select(*COLUMNS))
+    out = rows.withColumn("text", text).groupBy("media_id", "island").agg(first("start").alias("start"), F.max_by("end", "seg_idx").alias("end"), first("text").alias("text"), first("words").alias("words"))
+    return out.withColumn("seg_idx", (F.col("island") - 1).cast("int")).select(*COLUMNS)
 
 
-def merge_single_char_segments(df: DataFrame, compat: bool = False) -> DataFrame:
+def merge_single_char_segments(df: DataFrame, compat: bool = False, chunk: int | None = None) -> DataFrame:
     """Runs of the same one-character text are joined with 、 and their words put together; all texts are trimmed.
 
     ``compat`` also takes in the words of the row that ends the run, as the original does.
     """
-    at = by_position()
-    text = strip(F.col("text"))
-    rows = islands(df.withColumn("text", text), (F.length(text) == 1) & (text == F.lag(text).over(at)))
+    rows = islands(df.withColumn("text", strip(F.col("text"))), ["text"], lambda before: (F.length("text") == 1) & (F.col("text") == before["text"]), chunk=chunk)
     if compat:
-        rows = rows.withColumn("__after", F.lead("words").over(at))
+        rows = rows.withColumn("__after", F.lead("words").over(by_position()))
     row = F.struct("seg_idx", "start", "end", "text", "words", *(["__after"] if compat else []))
     runs = rows.groupBy("media_id", "island").agg(F.array_sort(F.collect_list(row)).alias("run"))
     words = F.flatten(F.transform("run", lambda s: s["words"]))

@@ -55,6 +55,25 @@ def dup_collapse_events(spark, sf_dir):
     return _shown(merge.remove_consecutive_duplicates(events(spark, sf_dir)))
 
 
+def _numbered_events(spark, sf_dir) -> DataFrame:
+    start = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1_704_067_200_000_000)) / 1e6
+    rows = read_table(spark, sf_dir, "events").select(F.lit("all").alias("media_id"), F.col("event_id").cast("int").alias("seg_idx"), start.alias("start"), F.col("event_type").alias("text"), "value")
+    return rows.select("media_id", "seg_idx", "start", (F.col("start") + F.col("value")).alias("end"), "text", F.array().cast(WORDS).alias("words"))
+
+
+def dup_collapse_long(spark, sf_dir):
+    """All events as one media item, in chunks that are scanned apart and stitched."""
+    return _shown(merge.remove_consecutive_duplicates(_numbered_events(spark, sf_dir), chunk=1000))
+
+
+def merge_incomplete_long(spark, sf_dir):
+    return _shown(merge.merge_incomplete_segments(_numbered_events(spark, sf_dir), ("e", "k"), 30.0, 12, chunk=1000))
+
+
+def gap_fill_long(spark, sf_dir):
+    return _cues(cues.vtt_cues(_numbered_events(spark, sf_dir), chunk=1000))
+
+
 def merge_incomplete_turns(spark, sf_dir):
     return _shown(merge.merge_incomplete_segments(turns(spark, sf_dir), (".",), 0.5, 600))
 
@@ -313,6 +332,8 @@ seg AS (SELECT media_id, seg_idx, a / 15 AS s, (a + length(text)) / 15 AS e, tex
 _EVENTS = """
 raw AS (SELECT user_id::VARCHAR AS media_id, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INT AS seg_idx, (epoch_us(ts::TIMESTAMP) - 1704067200000000)::DOUBLE / 1000000 AS s, event_type AS text, value FROM events),
 seg AS (SELECT media_id, seg_idx, s, s + value AS e, text FROM raw)"""
+_ONE_ITEM = """
+seg AS (SELECT 'all' AS media_id, event_id::INT AS seg_idx, (epoch_us(ts::TIMESTAMP) - 1704067200000000)::DOUBLE / 1000000 AS s, (epoch_us(ts::TIMESTAMP) - 1704067200000000)::DOUBLE / 1000000 + value AS e, event_type AS text FROM events)"""
 _STRIP = r"regexp_replace(regexp_replace({0}, '^[\s\x0B\x{{85}}\p{{Z}}]+', ''), '[\s\x0B\x{{85}}\p{{Z}}]+$', '')"
 _SPACE = r"\s\x0B\x{85}\p{Z}"
 _OUT = "SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) - 1)::INT AS seg_idx, round(s, 6) AS start, round(e, 6) AS \"end\", text, {0} AS n_words FROM {1}"
@@ -415,6 +436,9 @@ def oracle_sql() -> dict[str, str]:
         "segment_cues": _with(_LINES, _collapse("seg", "c"), f"kept AS (SELECT * FROM c WHERE {_RATE.format('14.0')})", _cue("kept")) + _CUED,
         "dup_collapse_lines": _with(_LINES, _collapse("seg", "c")) + _OUT.format("0", "c"),
         "dup_collapse_events": _with(_EVENTS, _collapse("seg", "c")) + _OUT.format("0", "c"),
+        "dup_collapse_long": _with(_ONE_ITEM, _collapse("seg", "c")) + _OUT.format("0", "c"),
+        "merge_incomplete_long": _with(_ONE_ITEM, _merged(30.0, 12, "[ek]$", "0", "0")),
+        "gap_fill_long": _with(_ONE_ITEM, _cue("seg")) + _CUED,
         "merge_incomplete_turns": _with(_TURNS, _merged(0.5, 600, r"\.$", "0", "0")),
         "merge_incomplete_lines": _with(_LINES, _merged(0.5, 200, "[.,]$", _WORD_COUNT, "CASE WHEN count(*) = 1 OR min(n) > 0 THEN sum(n) ELSE 0 END")),
         "single_char_merge": _with(

@@ -4,13 +4,14 @@ Strict patterns give the base spans (e-mail, IP, card, phone), which always stay
 candidates: written-out e-mails, numbers with unusual separators or without a plus. On every candidate of every
 document, regex, checksum, gazetteer, context, boundary and shape labelers vote yes, no or nothing.
 
-The votes' patterns are counted over all documents in one aggregation (at most 3**6 a kind). From those
-counts, expectation-maximisation estimates each labeler's reliability without labels, and a logistic
-span classifier is trained on the posteriors. A second pass adds the loose candidates that it is sure
-of and that overlap no base span of their kind.
-
-Defined cases: null text is the empty text; spans count code points, ends excluded; with no candidates
-the classifier adds nothing; repeated rows each get their row; an empty table gives an empty result; other
+Candidates are counted by their votes and features over all documents. From the votes' patterns (at most 3**6 a kind),
+expectation-maximisation estimates each labeler's reliability without labels. A logistic span classifier is trained on
+the posteriors, by Newton steps whose sums are aggregations over the counted candidates: it sees the votes and, beyond them,
+the span's length and separators, the characters next to it and the words before and after it (hashed). A second pass
+adds the loose candidates that it is sure of and that overlap no base span of their kind.
+
+Defined cases: null text is the empty text; a null doc_id is returned as such; spans count code points, ends excluded; of
+matches that tie for a place the leftmost counts; with no candidates the classifier adds nothing; repeated rows each get their row; an empty table gives an empty result; other
 columns are ignored. No pattern backtracks over long runs, so very long texts take linear time.
 """
 
@@ -19,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,11 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuewise.llm.common import durable
+
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = 6
 SURE = 0.8
 WINDOW = 40
 ROUNDS = 50
+NEWTON = 12  # steps of the classifier's training, at most
+HASHED = 16  # buckets of the words before and after a span
+FIXED = 1 << 20  # sums are whole numbers of this part, so that their order does not matter
+HELD = 1 << 16  # counts that a task holds before it passes them on
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -155,19 +163,53 @@ def _strict(text: str) -> tuple[list[tuple[str, int, int, bool]], dict[str, list
     return found, by
 
 
-def _count_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+SIZES = {"votes": len(KINDS) + 2 * LABELERS, "length": 4, "separators": 3, "before": 4, "after": 4, "word before": HASHED, "word after": HASHED}
+WIDTH = sum(SIZES.values())
+
+
+def _side(c: str) -> int:
+    """What kind of character stands next to a span."""
+    return 0 if not c else 1 if c.isspace() else 2 if c.isalnum() else 3
+
+
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.strip(".,:;()[]\"'").lower().encode("utf-8", "replace")) % HASHED
+
+
+def span_features(text: str, kind: str, start: int, end: int, pattern: tuple[int, ...]) -> tuple[int, ...]:
+    """The features of a span that are on, out of WIDTH."""
+    on = [KINDS.index(kind), *(len(KINDS) + j + (LABELERS if v < 0 else 0) for j, v in enumerate(pattern) if v)]
+    separators = {c for c in text[start:end] if not c.isalnum()}
+    before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
+    own = [min(3, (end - start) // 10), min(2, len(separators)), _side(before[-1:]), _side(after[:1]), _bucket((before.split() or [""])[-1]), _bucket((after.split() or [""])[0])]
+    at = SIZES["votes"]
+    for value, size in zip(own, list(SIZES.values())[1:], strict=True):
+        on.append(at + value)
+        at += size
+    return tuple(on)
+
+
+def _count_candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, votes, x, n): candidates by votes and features."""
+
+    def out(counts: Counter) -> pa.RecordBatch:
+        keys = sorted(counts)
+        columns = [pa.array([k[0] for k in keys], pa.string()), *[pa.array([list(k[i]) for k in keys], pa.list_(pa.int32())) for i in (1, 2)], pa.array([counts[k] for k in keys], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "votes", "x", "n"])
+
     counts: Counter = Counter()
     for batch in batches:
         for text in batch.column("text").to_pylist():
             if not text:
                 continue
             found, by = _strict(text)
-            counts.update((kind, *votes(text, kind, a, b, valid)) for kind, a, b, valid in found)
-            counts.update((kind, *votes(text, kind, a, b, None)) for kind, a, b in loose_matches(text, by))
-    keys = sorted(counts)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in keys], pa.string()), pa.array([list(k[1:]) for k in keys], pa.list_(pa.int32())), pa.array([counts[k] for k in keys], pa.int64())], ["kind", "votes", "n"]
-    )
+            for kind, a, b, valid in [*found, *((*m, None) for m in loose_matches(text, by))]:
+                own = votes(text, kind, a, b, valid)
+                counts[kind, own, span_features(text, kind, a, b, own)] += 1
+        if len(counts) > HELD:
+            yield out(counts)
+            counts = Counter()
+    yield out(counts)
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
@@ -189,34 +231,60 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS) ->
     return yes
 
 
-def span_features(kind: str, pattern: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(KINDS) + 2 * LABELERS)
-    out[KINDS.index(kind)] = 1.0
-    out[len(KINDS) : len(KINDS) + LABELERS] = np.asarray(pattern) == 1
-    out[len(KINDS) + LABELERS :] = np.asarray(pattern) == -1
-    return out
+def prior_weights() -> np.ndarray:
+    """What is expected of the votes before training, and nothing of the other features."""
+    return np.array([-1.0] * len(KINDS) + [1.0] * LABELERS + [-1.0] * LABELERS + [0.0] * (WIDTH - SIZES["votes"]))
+
+
+def _newton_sums(shared) -> callable:
+    """Counted candidates to the sums (i, s) of a Newton step: gradient and Hessian, flat, in whole numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, posterior = shared.value
+        total = np.zeros((WIDTH + 1, WIDTH))
+        for batch in batches:
+            kinds, patterns, on = (batch.column(c).to_pylist() for c in ("kind", "votes", "x"))
+            x = np.zeros((batch.num_rows, WIDTH))
+            for i, own in enumerate(on):
+                x[i, own] = 1.0
+            y = np.array([posterior[k, tuple(v)] for k, v in zip(kinds, patterns, strict=True)])
+            n = np.log1p(batch.column("n").to_numpy())
+            p = 1 / (1 + np.exp(-x @ weights))
+            total[:WIDTH] += (x * (n * p * (1 - p))[:, None]).T @ x
+            total[WIDTH] += x.T @ (n * (p - y))
+        flat = np.rint(total.ravel() * FIXED).astype(np.int64)
+        used = np.flatnonzero(flat)
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(flat[used])], ["i", "s"])
+
+    return run
 
 
-def train_classifier(rows: list[tuple[str, list[int], int]], pull: float = 1.0) -> np.ndarray:
-    """Logistic weights of the span classifier from the counted vote patterns, each weighing as the log of its count."""
-    prior = np.array([-1.0] * len(KINDS) + [1.0] * LABELERS + [-1.0] * LABELERS)
-    xs, ys, ws = [], [], []
+def train_classifier(counted: DataFrame | None, pull: float = 1.0) -> np.ndarray:
+    """Logistic weights of the span classifier from the counted candidates, each weighing as the log of its count.
+
+    The driver gets at most len(KINDS) * 3**LABELERS rows for the EM and (WIDTH + 1) * WIDTH sums a step.
+    """
+    weights = prior_weights()
+    rows = counted.groupBy("kind", "votes").agg(F.sum("n").alias("n")).collect() if counted is not None else []
+    if not rows:
+        return weights
+    posterior: dict[tuple, float] = {}
     for kind in KINDS:
-        own = sorted((v, n) for k, v, n in rows if k == kind)
-        patterns = np.array([v for v, _ in own], int).reshape(-1, LABELERS)
-        counts = np.array([n for _, n in own], float)
-        for v, y, n in zip(patterns, estimate(patterns, counts), counts, strict=True):
-            xs.append(span_features(kind, v))
-            ys.append(y)
-            ws.append(math.log1p(n))
-    w = prior.copy()
-    if not xs:
-        return w
-    x, y, n = np.array(xs), np.array(ys), np.array(ws)
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-x @ w))
-        w = w - np.clip(np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), x.T @ (n * (p - y)) + pull * (w - prior)), -2, 2)
-    return w
+        own = sorted((tuple(r["votes"]), r["n"]) for r in rows if r["kind"] == kind)
+        found = estimate(np.array([v for v, _ in own], int).reshape(-1, LABELERS), np.array([n for _, n in own], float))
+        posterior |= {(kind, v): float(y) for (v, _), y in zip(own, found, strict=True)}
+    prior, spark = weights.copy(), counted.sparkSession
+    for _ in range(NEWTON):
+        shared = spark.sparkContext.broadcast((weights, posterior))
+        total = np.zeros((WIDTH + 1) * WIDTH)
+        for r in counted.mapInArrow(_newton_sums(shared), "i int, s long").groupBy("i").agg(F.sum("s").alias("s")).collect():
+            total[r["i"]] = r["s"] / FIXED
+        total = total.reshape(WIDTH + 1, WIDTH)
+        step = np.clip(np.linalg.solve(total[:WIDTH] + pull * np.eye(WIDTH), total[WIDTH] + pull * (weights - prior)), -2, 2)
+        weights = weights - step
+        if np.abs(step).max() < 1e-3:
+            break
+    return weights
 
 
 def find_spans(text: str | None, weights: np.ndarray) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -229,7 +297,7 @@ def find_spans(text: str | None, weights: np.ndarray) -> tuple[list[tuple[str, i
     for kind, a, b in loose_matches(text, by):
         v = votes(text, kind, a, b, None)
         # A checksum that fails is proof against a number, whatever the other labelers say.
-        if v[1] > 0 and 1 / (1 + math.exp(-float(span_features(kind, v) @ weights))) >= SURE:
+        if v[1] > 0 and 1 / (1 + math.exp(-float(weights[list(span_features(text, kind, a, b, v))].sum()))) >= SURE:
             more.append((kind, a, b))
     return base, more
 
@@ -255,8 +323,7 @@ def _rows(shared) -> callable:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and added)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    counted = rows.select("text").mapInArrow(_count_votes, "kind string, votes array<int>, n long").groupBy("kind", "votes").agg(F.sum("n").alias("n"))
-    # At most len(KINDS) * 3**LABELERS rows.
-    weights = train_classifier([(r["kind"], list(r["votes"]), r["n"]) for r in counted.collect()])
+    counted = rows.select("text").mapInArrow(_count_candidates, "kind string, votes array<int>, x array<int>, n long")
+    weights = train_classifier(durable(counted.groupBy("kind", "votes", "x").agg(F.sum("n").alias("n"))))
     result = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     return rows.mapInArrow(_rows(docs.sparkSession.sparkContext.broadcast(weights)), result)

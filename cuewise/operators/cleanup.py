@@ -92,9 +92,14 @@ def recurring_words(df: DataFrame, total: int | None = 12, cluster: int | None =
         out = rows.groupBy("media_id", "token").agg(F.count("*").alias("n")).where(F.col("n") >= total).select("media_id", "token")
     if cluster is not None:
         often = rows.groupBy("media_id", "token").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") >= cluster)).select("media_id", "token")
+        # In slots of time as wide as the window, each token also as a guest of the slot before its own: a frequent one spreads.
+        width = max(1, round(window * 1e6))
         micros = F.rint(F.col("start") * 1e6).cast("long")
-        ahead = Window.partitionBy("media_id", "token").orderBy(micros).rangeBetween(0, round(window * 1e6))
-        close = rows.join(often, ["media_id", "token"], "left_semi").withColumn("near", F.count("*").over(ahead)).where(F.col("near") >= cluster)
+        slot = F.floor(F.col("at") / width)
+        places = F.explode(F.array(F.struct(slot.alias("slot"), F.lit(True).alias("own")), F.struct((slot - 1).alias("slot"), F.lit(False).alias("own"))))
+        timed = rows.join(often, ["media_id", "token"], "left_semi").withColumn("at", micros).select("media_id", "token", "at", places.alias("p")).select("media_id", "token", "at", "p.*")
+        ahead = Window.partitionBy("media_id", "token", "slot").orderBy("at").rangeBetween(0, round(window * 1e6))
+        close = timed.withColumn("near", F.count("*").over(ahead)).where(F.col("own") & (F.col("near") >= cluster))
         close = close.select("media_id", "token").distinct()
         out = close if out is None else out.unionByName(close).distinct()
     return rows.select("media_id", "token").limit(0) if out is None else out

@@ -256,3 +256,20 @@ def test_null_texts_stay(segments):
     df = segments((0, 1, "hello"), (1, 2, None), (2, 3, "thanks"))
     assert [r["text"] for r in filters.remove_phrases(df, ["^thanks$"]).orderBy("seg_idx").collect()] == ["hello", None]
     assert [r["text"] for r in filters.validate_timing(df).orderBy("seg_idx").collect()] == ["hello", None, "thanks"]
+
+
+def test_clusters_in_slots_are_those_of_one_window(spark):
+    import random
+
+    from cuewise.schema import SEGMENT
+
+    rng = random.Random(5)
+    rows = [(m, i, t, t + 1, w, []) for m in ("a", "b") for i, (t, w) in enumerate((rng.choice([-5.0, rng.randrange(900) / 4, 60.0]), rng.choice(["x", "y", "zz"])) for _ in range(60))] + [("a", 99, None, 1.0, "x", [])]
+    df = spark.createDataFrame(rows, SEGMENT)
+    for window, cluster in ((60.0, 9), (10.0, 4), (0.0, 3), (7.5, 5)):
+        times = {}
+        for m, _, t, _, w, _ in rows:
+            times.setdefault((m, w), []).append(t)
+        want = {k for k, ts in times.items() if any(t is not None and sum(u is not None and t <= u <= t + window for u in ts) >= cluster for t in ts)}
+        got = cleanup.recurring_words(df, None, cluster, window).collect()
+        assert {(r["media_id"], r["token"]) for r in got} == want

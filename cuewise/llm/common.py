@@ -40,18 +40,23 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
-def durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame, replaced: DataFrame | None = None) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again.
 
-    Cuts the lineage: a lost executor costs no recomputation of what stands above. The folder is
-    removed when the application's file systems close.
+    Cuts the lineage: a lost executor costs no recomputation of what stands above. The folder is removed when the
+    application's file systems close; that of ``replaced``, a durable table that nothing but ``df`` is made from, at once.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.deleteOnExit(at)
+    if replaced is not None:
+        files.delete(spark._jvm.org.apache.hadoop.fs.Path(replaced.durable_path), True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["durable_path"] = path
+    return out
 
 
 def order_key(column: str) -> Column:

@@ -259,7 +259,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = durable(links.where("a != b").distinct())
     n, seen = edges.count(), None
     while True:
-        edges = durable(star(star(edges, True), False))
+        edges = durable(star(star(edges, True), False), replaced=edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

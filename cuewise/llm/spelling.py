@@ -149,7 +149,7 @@ def roots(forms: DataFrame) -> DataFrame:
     now = durable(forms.select("word", F.col("form").alias("root"), F.lit(True).alias("moved")))
     while now.where("moved").take(1):
         ahead = now.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        now = durable(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        now = durable(now.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), replaced=now)
     return now.select("word", "root")
 
 

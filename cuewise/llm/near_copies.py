@@ -51,7 +51,8 @@ LEADERS = 3
 BITS = 512
 SPOTS = 1 << 24  # bits of the bitmaps that reach the driver and the executors
 SPARSE = 16  # a bitmap is only made where it has as many bits as that for each hash; joins by key take over where it has not
-KNOWN = 1_000_000  # words that a worker remembers
+KNOWN = 1 << 17  # words that a worker remembers
+SLICE = 256  # texts whose shingles a task holds at once
 
 
 def _signed(value: int) -> int:
@@ -150,18 +151,19 @@ def _marks(shared, clashing: frozenset[int], whole: bool = False) -> callable:
     """(h1, h2, text) to (h1, h2, id, id2, n, fp, keys, b0...): id2 is a second hash, fp the SimHash, keys the prefix (all, if whole),
     b0... the parities."""
 
+    def mark(text: bytes | None, hot: Spots | None) -> tuple:
+        words = words_of(text)
+        found = shingles(words)
+        return word_hash(words, clashing), word_hash(words, EVERY), len(found), simhash_of(found), parities(found), found if whole else prefix(found, hot).copy()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = shared.value if shared else None
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                part = batch.slice(i, 1024)
-                texts = [words_of(t.as_py()) for t in part.column("text").cast(pa.binary())]
-                ids = [pa.array([word_hash(t, c) for t in texts], pa.int64()) for c in (clashing, EVERY)]
-                rows = [shingles(t) for t in texts]
-                bits = np.array([parities(found) for found in rows], np.int64).reshape(-1, BITS // 64)
-                first = [pa.array([len(found) for found in rows], pa.int32()), pa.array([simhash_of(found) for found in rows], pa.int64())]
-                keys = _lists(rows if whole else [prefix(found, hot) for found in rows])
-                yield pa.RecordBatch.from_arrays([part.column("h1"), part.column("h2"), *ids, *first, keys, *[pa.array(b) for b in bits.T]], ["h1", "h2", "id", "id2", "n", "fp", "keys", *PARITIES])
+            for i in range(0, batch.num_rows, SLICE):
+                part = batch.slice(i, SLICE)
+                id1, id2, n, fp, bits, keys = zip(*[mark(t.as_py(), hot) for t in part.column("text").cast(pa.binary())], strict=True)
+                own = [pa.array(id1, pa.int64()), pa.array(id2, pa.int64()), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), _lists(list(keys))]
+                yield pa.RecordBatch.from_arrays([part.column("h1"), part.column("h2"), *own, *[pa.array(b) for b in np.array(bits, np.int64).T]], ["h1", "h2", "id", "id2", "n", "fp", "keys", *PARITIES])
 
     return run
 
@@ -185,11 +187,14 @@ def _sets(shared, clashing: frozenset[int]) -> callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = shared.value if shared else EVERY
         for batch in batches:
-            for i in range(0, batch.num_rows, 1024):
-                texts = [words_of(t.as_py()) for t in batch.column("text").slice(i, 1024).cast(pa.binary())]
-                ids = [own if (own := word_hash(t, clashing)) in wanted else None for t in texts]
-                rows = [shingles(t) for t, own in zip(texts, ids, strict=True) if own is not None]
-                yield pa.RecordBatch.from_arrays([pa.array([own for own in ids if own is not None], pa.int64()), _lists(rows)], ["id", "keys"])
+            for i in range(0, batch.num_rows, SLICE):
+                ids, rows = [], []
+                for t in batch.column("text").slice(i, SLICE).cast(pa.binary()):
+                    words = words_of(t.as_py())
+                    if (own := word_hash(words, clashing)) in wanted:
+                        ids.append(own)
+                        rows.append(shingles(words))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(rows)], ["id", "keys"])
 
     return run
 

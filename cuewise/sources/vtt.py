@@ -1,6 +1,6 @@
 """WebVTT as a Spark data source: one file for each media item, and back.
 
-``register(spark)`` makes ``df.write.format("webvtt")`` and ``spark.read.format("webvtt")`` known. Paths are
+``register(spark)`` makes ``df.write.format("webvtt")``, ``spark.read.format("webvtt")`` and ``spark.readStream.format("webvtt")`` known. Paths are
 local or mounted ones, as seen by the executors; ``write_vtt`` writes to any file system that Spark knows.
 """
 
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
 from cuewise.operators.cues import vtt_cues, vtt_files
 from cuewise.sources.hadoop import file_name, write_files
@@ -66,6 +66,30 @@ class _Reader(DataSourceReader):
             yield (name, *cue)
 
 
+class _StreamReader(DataSourceStreamReader):
+    """Files in order of their time of change and name; an offset is the last file read. Contents are read in tasks."""
+
+    def __init__(self, path: str) -> None:
+        self.files = _Reader(path)
+
+    def _listed(self) -> list[tuple[int, str]]:
+        return sorted((os.stat(f.path).st_mtime_ns, f.path) for f in self.files.partitions())
+
+    def initialOffset(self) -> dict:
+        return {"at": 0, "path": ""}
+
+    def latestOffset(self) -> dict:
+        listed = self._listed()
+        return {"at": listed[-1][0], "path": listed[-1][1]} if listed else self.initialOffset()
+
+    def partitions(self, start: dict, end: dict) -> list[_File]:
+        after, last = (start["at"], start["path"]), (end["at"], end["path"])
+        return [_File(path) for at, path in self._listed() if after < (at, path) <= last]
+
+    def read(self, partition: _File) -> Iterator[tuple]:
+        return self.files.read(partition)
+
+
 class _Writer(DataSourceWriter):
     """Rows are (media_id, content). Files appear under their names, or replace earlier ones, only in ``commit``."""
 
@@ -95,6 +119,7 @@ class _Writer(DataSourceWriter):
     def commit(self, messages: list) -> None:
         for message in messages:
             for part in message.files if message else []:
+                os.utime(part)  # streams read files in order of their time
                 os.replace(part, re.sub(r"\.[0-9a-f]{32}\.part$", "", part))
 
     def abort(self, messages: list) -> None:
@@ -119,6 +144,9 @@ class VttSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return _Reader(self.options["path"])
 
+    def streamReader(self, schema) -> DataSourceStreamReader:
+        return _StreamReader(self.options["path"])
+
     def writer(self, schema, overwrite: bool) -> DataSourceWriter:
         return _Writer(self.options["path"], overwrite)
 

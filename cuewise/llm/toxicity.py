@@ -16,8 +16,8 @@ gives the score; its prior expects hits to be toxic, quoted ones less so, and th
 
 Defined cases: null text is the empty text and gets the score of a text without hits; a null doc_id
 hashes as the empty text and has no label; a document with several labels is toxic if one says so; with no
-labels or no toxic ones the lexicon is empty and every score is the same; repeated rows each count;
-an empty table gives an empty result; other columns are ignored.
+labels or no toxic ones the lexicon is empty and every score is the same; a token near several terms counts for the nearest,
+the first by code point of equals; very long texts are scored whole; repeated rows each count; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations

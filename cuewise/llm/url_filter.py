@@ -6,7 +6,7 @@ a broadcast hash join. Only possible hits go on to the exact join with the list;
 shuffle. A longer list raises the share of false positives, never a wrong verdict.
 
 Defined cases: a null URL, or one without ``://``, has empty host and path and is never listed; repeated
-pages each get their own row; of two fitting rules of one length the first in order counts; very long URLs are read whole;
+pages each get their own row; of two fitting rules of one length the last in order counts; very long URLs are read whole;
 an empty list blocks nothing, and an empty table gives an empty result; columns other than id and URL are ignored.
 """
 

@@ -167,6 +167,28 @@ def cut_edges(text: Column, most: int, primary: tuple[str, ...], secondary: tupl
     return edges(text)
 
 
+#: Pieces whose offsets one fold finds: a fold copies its array for each piece, so longer lists are folded in blocks.
+FOLDED = 512
+
+
+def offsets(lengths: Column, block: int = FOLDED) -> Column:
+    """array<int>: where each of an array of pieces begins, from their lengths; ``lengths`` is a column's name or cheap.
+
+    Two levels of folds, within blocks and over their totals, so that a text of many pieces costs no square of their number.
+    """
+
+    def fold(own: Column) -> Column:
+        return F.aggregate(own, F.array(F.lit(0)), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+
+    def begins(own: Column) -> Column:
+        return F.slice(fold(own), F.lit(1), F.size(own))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(lengths) - 1) / block).cast("int")), lambda k: F.slice(lengths, k * block + 1, F.lit(block)))
+    totals = F.transform(blocks, lambda own: F.aggregate(own, F.lit(0), lambda a, n: a + n))
+    long = F.flatten(F.zip_with(blocks, begins(totals), lambda own, first: F.transform(begins(own), lambda at: at + first)))
+    return F.when(F.size(lengths) <= block, begins(lengths)).otherwise(long)
+
+
 def between(edges: Column, make) -> Column:
     """array of ``make(start, end)`` for each two neighbours in an array of positions; ``edges`` is a column's name or cheap."""
     starts = F.slice(edges, F.lit(1), F.greatest(F.size(edges) - 1, F.lit(0)))

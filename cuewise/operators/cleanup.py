@@ -16,15 +16,12 @@ PARTS = f"array<struct<start:double,end:double,text:string,words:{WORDS}>>"
 EDGE = ""
 
 
-def repetitive_portions(text: Column) -> Column:
-    """array<struct<at, piece, repeats>>: a text cut round its runs of RUN or more equal characters."""
+def with_portions(df: DataFrame, text: str, name: str = "portions") -> DataFrame:
+    """``df`` with array<struct<at, piece, repeats>>: a text cut round its runs of RUN or more equal characters."""
     marked = F.split(F.regexp_replace(text, rf"(?d)((.)\2{{{RUN - 1},}})", f"{EDGE}$1{EDGE}"), EDGE)
-    ends = F.aggregate(
-        marked,
-        F.array(F.lit(0)).cast("array<int>"),
-        lambda done, p: F.concat(done, F.array(F.element_at(done, -1) + F.length(p))),
-    )
-    return F.transform(marked, lambda p, i: F.struct(F.element_at(ends, i + 1).alias("at"), p.alias("piece"), (i % 2 == 1).alias("repeats")))
+    rows = df.withColumn("__pieces", marked).withColumn("__lengths", F.transform("__pieces", F.length)).withColumn("__at", T.offsets(F.col("__lengths")))
+    cut = F.transform("__pieces", lambda p, i: F.struct(F.element_at("__at", i + 1).alias("at"), p.alias("piece"), (i % 2 == 1).alias("repeats")))
+    return rows.withColumn(name, cut).drop("__pieces", "__lengths", "__at")
 
 
 def _settings(config: dict) -> tuple[dict, dict]:
@@ -68,7 +65,7 @@ def filter_stammers(df: DataFrame, config: dict | None = None) -> DataFrame:
     parts = F.when(F.size(found) > 0, F.transform(found, part).cast(PARTS)).otherwise(whole)
     made = F.when(T.is_only_repetitive_stammer(text), F.array(all_stammer).cast(PARTS)).otherwise(parts)
     # The 15 passes of the condensing run once a row, not once for each mention.
-    once = df.withColumn("condensed", condense(text)).withColumn("portions", repetitive_portions(F.col("condensed")))
+    once = with_portions(df.withColumn("condensed", condense(text)), "condensed")
     out = once.select("media_id", "seg_idx", F.posexplode_outer(made).alias("sub_idx", "part")).select("media_id", "seg_idx", "sub_idx", "part.*")
     return reindex(out, "seg_idx", "sub_idx")
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from cuewise.functions.text import offsets
 from cuewise.schema import COLUMNS, WORDS, no_words
 from cuewise.sources.tables import dealt
 
@@ -24,9 +25,9 @@ def _timed(rows: DataFrame) -> DataFrame:
 
 def seg_lines(documents: DataFrame) -> DataFrame:
     """One segment a line; an explode, so the clock is taken from the line lengths before it."""
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    ends = F.aggregate(lines, F.array(F.lit(0)).cast("array<int>"), lambda done, line: F.concat(done, F.array(F.element_at(done, -1) + F.length(line))))
-    rows = documents.select(F.col("doc_id").cast("string").alias("media_id"), F.posexplode(F.arrays_zip(lines.alias("line"), F.slice(ends, F.lit(1), F.size(lines)).alias("at"))).alias("seg_idx", "row"))
+    lines = documents.select("doc_id", F.split(F.coalesce("text", F.lit("")), "\n").alias("lines"))
+    placed = lines.withColumn("lengths", F.transform("lines", F.length)).withColumn("at", offsets(F.col("lengths")))
+    rows = placed.select(F.col("doc_id").cast("string").alias("media_id"), F.posexplode(F.arrays_zip(F.col("lines").alias("line"), "at")).alias("seg_idx", "row"))
     start, text = F.col("row.at") / CLOCK, F.col("row.line")
     return rows.select("media_id", "seg_idx", start.alias("start"), ((F.col("row.at") + F.length(text)) / CLOCK).alias("end"), text.alias("text"), no_words().alias("words"))
 

@@ -119,3 +119,14 @@ def test_response(raw, want):
 
 def test_response_key():
     assert fix_response('{"segments": ["a", "b"]}', "segments") == {"segments": ["a", "b"]}
+
+
+@pytest.mark.parametrize("block", [1, 2, 7, 512])
+def test_offsets_in_blocks(spark, block):
+    from itertools import accumulate
+
+    from cuewise.functions.text import offsets
+
+    rows = [(i, [(i * k) % 5 for k in range(n)]) for i, n in enumerate([0, 1, 2, 6, 7, 8, 60])]
+    got = spark.createDataFrame(rows, "i int, n array<int>").select("i", "n", offsets(F.col("n"), block).alias("at")).collect()
+    assert {r["i"]: r["at"] for r in got} == {i: [0, *accumulate(n)][: len(n)] for i, n in rows}

@@ -88,8 +88,12 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     )
     rows = durable(rows)
 
-    differ = colliding(docs, rows)
-    rows = rows.join(differ.select("wide", F.lit(True).alias("__c")), "wide", "left")
+    # Hardly ever a row: different texts would have to share 128 bits.
+    differ = durable(colliding(docs, rows))
+    if differ.take(1):
+        rows = rows.join(differ.select("wide", F.lit(True).alias("__c")), "wide", "left")
+    else:
+        rows = rows.withColumn("__c", F.lit(None).cast("boolean"))
     rows = rows.withColumn("fingerprint", F.when(F.col("__c"), F.concat("wide", "longer")).otherwise(F.col("wide")))
     # An edited text whose digest is its own document's but whose bytes differ is told apart too.
     odd = (F.col("edited_wide") == F.col("wide")) & (F.col("near_edited") == 0)

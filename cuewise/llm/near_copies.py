@@ -108,10 +108,9 @@ def simhash_of(found: np.ndarray) -> int:
 class Spots:
     """A bitmap of SPOTS bits, by the low bits of a hash."""
 
-    def __init__(self, words: list[tuple[int, int]]) -> None:
+    def __init__(self, at: np.ndarray, bits: np.ndarray) -> None:
         self.bits = np.zeros(SPOTS >> 6, np.int64)
-        for at, bits in words:
-            self.bits[at] = bits
+        self.bits[at] = bits
 
     def __contains__(self, value: int) -> bool:
         at = value & (SPOTS - 1)
@@ -128,8 +127,8 @@ def spots(keys: DataFrame, key: str) -> Spots | None:
         return None
     at = F.col(key).bitwiseAND(F.lit(SPOTS - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    found = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toPandas()
-    return Spots(list(zip(found["at"].tolist(), found["bits"].tolist(), strict=True)))
+    found = keys.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    return Spots(found.column("at").to_numpy(), found.column("bits").to_numpy())
 
 
 def prefix(found: np.ndarray, hot: Spots | None) -> np.ndarray:

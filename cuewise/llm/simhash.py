@@ -208,10 +208,11 @@ def deal(marks: DataFrame, hot: int | None = None) -> DataFrame:
     total, first, turn, calm = marks.count() * len(HALVES), len(HALVES), 0, []
     while waiting:
         share = max(SHARE, -(-total // SAMPLE))
-        taken = rows.where(F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(share)) == 0).toPandas()
+        sample = rows.where(F.pmod(F.xxhash64("fp", F.lit(turn)), F.lit(share)) == 0).select("key", "fp").toArrow()
+        keys, marks_taken = sample.column("key").to_numpy(), sample.column("fp").to_numpy()
         trees = {}
         for key, half in waiting.items():
-            own = np.sort(taken["fp"].to_numpy(np.int64)[taken["key"].to_numpy() == key])
+            own = np.sort(marks_taken[keys == key])
             tree = VantageTree(np.random.default_rng(turn).permutation(own).view(np.uint64), half)
             trees[key] = tree, first
             first += tree.size

@@ -421,6 +421,24 @@ offw AS (SELECT *, sum(length(word)) OVER (PARTITION BY media_id, seg_idx ORDER
 word AS (SELECT media_id, seg_idx, i, word, s + (e - s) * ((k - length(word))::DOUBLE / length(text)) AS a, s + (e - s) * (k::DOUBLE / length(text)) AS b FROM offw)"""
 
 
+def _word_pieces(most: int) -> str:
+    """Recursive CTEs that cut the turns by their words: ``word`` has the words, ``out`` the pieces."""
+    return "WITH RECURSIVE " + ",".join([_TURNS, _WORDED]) + f""",
+long AS (SELECT media_id, seg_idx FROM seg WHERE length({_strip('text')}) > {most}),
+hw AS (SELECT *, regexp_matches(word, '[.?!]') AS hard, contains(word, ',') AS soft FROM word SEMI JOIN long USING (media_id, seg_idx)),
+nw AS (SELECT *, coalesce(bool_or(hard) OVER (PARTITION BY media_id, seg_idx ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), false) AS ahead FROM hw),
+walk AS (
+  SELECT media_id, seg_idx, 0::BIGINT AS i, 0::BIGINT AS size, 0 AS piece, 0 AS next FROM long
+  UNION ALL
+  SELECT w.media_id, w.seg_idx, w.i, CASE WHEN cut THEN 0 ELSE w.size END, w.next, w.next + cut::INT FROM (
+    SELECT n.*, walk.size + length(n.word) AS size, walk.next, n.hard OR (walk.size + length(n.word) >= {most} AND NOT n.ahead AND n.soft) AS cut
+    FROM walk JOIN nw n ON n.media_id = walk.media_id AND n.seg_idx = walk.seg_idx AND n.i = walk.i + 1) w),
+out AS (
+  SELECT media_id, seg_idx, piece, arg_min(a, i) AS s, arg_max(b, i) AS e, string_agg(word, '' ORDER BY i) AS text, count(*) AS n FROM walk JOIN word USING (media_id, seg_idx, i) GROUP BY media_id, seg_idx, piece
+  UNION ALL
+  SELECT media_id, seg_idx, 0, s, e, {_strip('text')}, len(regexp_extract_all(text, '[^ ]* |[^ ]+$')) FROM seg ANTI JOIN long USING (media_id, seg_idx))"""
+
+
 def oracle_sql() -> dict[str, str]:
     """By name of the query. Queries with back-references, model calls or sequential repairs have none."""
     clean = lambda c, p: f"regexp_replace({c}, '{p}', '', 'g')"
@@ -515,22 +533,17 @@ out AS (
   UNION ALL
   SELECT media_id, seg_idx, p, s + (e - s) * (p::DOUBLE / length(t.text)), least(s + (e - s) * (q::DOUBLE / length(t.text)), e), substr(t.text, p + 1, q - p) FROM piece JOIN t USING (media_id, seg_idx))
 SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, p) - 1)::INT AS seg_idx, round(s, 6) AS start, round(e, 6) AS "end", text, 0 AS n_words FROM out""",
-        "word_split": "WITH RECURSIVE " + ",".join([_TURNS, _WORDED])
-        + f""",
-long AS (SELECT media_id, seg_idx FROM seg WHERE length({_strip('text')}) > 60),
-hw AS (SELECT *, regexp_matches(word, '[.?!]') AS hard, contains(word, ',') AS soft FROM word SEMI JOIN long USING (media_id, seg_idx)),
-nw AS (SELECT *, coalesce(bool_or(hard) OVER (PARTITION BY media_id, seg_idx ORDER BY i ROWS BETWEEN 1 FOLLOWING AND 10 FOLLOWING), false) AS ahead FROM hw),
-walk AS (
-  SELECT media_id, seg_idx, 0::BIGINT AS i, 0::BIGINT AS size, 0 AS piece, 0 AS next FROM long
-  UNION ALL
-  SELECT w.media_id, w.seg_idx, w.i, CASE WHEN cut THEN 0 ELSE w.size END, w.next, w.next + cut::INT FROM (
-    SELECT n.*, walk.size + length(n.word) AS size, walk.next, n.hard OR (walk.size + length(n.word) >= 60 AND NOT n.ahead AND n.soft) AS cut
-    FROM walk JOIN nw n ON n.media_id = walk.media_id AND n.seg_idx = walk.seg_idx AND n.i = walk.i + 1) w),
-out AS (
-  SELECT media_id, seg_idx, piece, arg_min(a, i) AS s, arg_max(b, i) AS e, string_agg(word, '' ORDER BY i) AS text, count(*) AS n FROM walk JOIN word USING (media_id, seg_idx, i) GROUP BY media_id, seg_idx, piece
-  UNION ALL
-  SELECT media_id, seg_idx, 0, s, e, {_strip('text')}, len(regexp_extract_all(text, '[^ ]* |[^ ]+$')) FROM seg ANTI JOIN long USING (media_id, seg_idx))
+        "word_split": _word_pieces(60) + """
 SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, piece) - 1)::INT AS seg_idx, round(s, 6) AS start, round(e, 6) AS "end", text, n::INT AS n_words FROM out""",
+        "revalidate_timing": _word_pieces(40)
+        + f""",
+cutp AS (SELECT media_id, (row_number() OVER (PARTITION BY media_id ORDER BY seg_idx, piece) - 1)::INT AS seg_idx, s, e, text FROM out),
+late AS (SELECT media_id, seg_idx, greatest(0::DOUBLE, s + (seg_idx % 5 - 2) * 0.6::DOUBLE) AS s, e + (seg_idx % 5 - 2) * 0.6::DOUBLE AS e, text FROM cutp),
+flag AS (SELECT *, coalesce(length(text) / nullif(e - s, 0) > 14 OR (length(text) / nullif(e - s, 0) < 1 AND length(text) > 5), false) AS again FROM late WHERE e > s),
+heard AS (SELECT f.media_id, f.seg_idx, {_strip("string_agg(word, '' ORDER BY w.a, w.b, word)")} AS new, count(*) AS n FROM flag f JOIN word w ON w.media_id = f.media_id AND w.a < f.e AND w.b > f.s WHERE f.again AND f.e - f.s >= 0.1 GROUP BY f.media_id, f.seg_idx),
+kept AS (SELECT f.media_id, f.seg_idx, s, e, CASE WHEN NOT again OR e - s < 0.1 THEN text ELSE new END AS text, CASE WHEN again AND e - s >= 0.1 THEN h.n ELSE 0 END AS k FROM flag f LEFT JOIN heard h ON h.media_id = f.media_id AND h.seg_idx = f.seg_idx WHERE NOT again OR e - s < 0.1 OR new <> '')
+"""
+        + _OUT.format("k::INT", "kept"),
         "gap_fill_worded": _with(
             _TURNS,
             f"shown AS (SELECT media_id, seg_idx, s + 0.25::DOUBLE AS s, e, {_strip('text')} AS text, seg_idx % 2 = 1 AS worded FROM seg WHERE {_strip('text')} <> '')",

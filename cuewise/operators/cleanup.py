@@ -47,7 +47,6 @@ def filter_stammers(df: DataFrame, config: dict | None = None) -> DataFrame:
     words, sound = _settings(config or {})
     speak = bool(sound.get("enable"))
     start, end, text = F.col("start"), F.col("end"), F.col("text")
-    condense = lambda t: T.condense_word_repetitions(t, **words)
     row = lambda a, b, t, w: F.struct(a.alias("start"), b.alias("end"), t.alias("text"), w.alias("words"))
     all_stammer = row(start, end, vocalization(text, end - start, sound), no_words()) if speak else row(start, end, F.col("condensed"), F.col("words"))
 
@@ -56,16 +55,16 @@ def filter_stammers(df: DataFrame, config: dict | None = None) -> DataFrame:
 
     def part(p: Column) -> Column:
         a, b = at(p["at"]), at(p["at"] + F.length(p["piece"]))
-        changed = vocalization(p["piece"], b - a, sound) if speak else condense(p["piece"])
+        changed = vocalization(p["piece"], b - a, sound) if speak else T.condensing_passes(p["piece"], **words)
         own = F.when(p["piece"] == text, F.col("words")).otherwise(no_words())
         return F.when(p["repeats"], row(a, b, changed, no_words())).otherwise(row(a, b, p["piece"], own))
 
     found = F.filter(F.col("portions"), lambda p: p["repeats"] | (T.strip(p["piece"]) != ""))
     whole = F.array(row(start, end, F.col("condensed"), F.when(F.col("condensed") == text, F.col("words")).otherwise(no_words()))).cast(PARTS)
     parts = F.when(F.size(found) > 0, F.transform(found, part).cast(PARTS)).otherwise(whole)
-    made = F.when(T.is_only_repetitive_stammer(text), F.array(all_stammer).cast(PARTS)).otherwise(parts)
+    made = F.when(F.col("__stammer"), F.array(all_stammer).cast(PARTS)).otherwise(parts)
     # The 15 passes of the condensing run once a row, not once for each mention.
-    once = with_portions(df.withColumn("condensed", condense(text)), "condensed")
+    once = with_portions(df.withColumn("condensed", T.condense_word_repetitions(text, **words)).withColumn("__stammer", T.is_only_repetitive_stammer(text)), "condensed")
     out = once.select("media_id", "seg_idx", F.posexplode_outer(made).alias("sub_idx", "part")).select("media_id", "seg_idx", "sub_idx", "part.*")
     return reindex(out, "seg_idx", "sub_idx")
 

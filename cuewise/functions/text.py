@@ -107,17 +107,22 @@ def searched(texts: pa.Array, look: Callable[[np.ndarray, np.ndarray], np.ndarra
 
 
 def _searched(texts: list[bytes | None], look: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    try:
+        found = look(*code_points(texts))
+    except UnicodeDecodeError:  # such bytes are not for this; the exact functions look at all of these texts
+        return np.ones(len(texts), bool)
+    return found | np.array([t is None for t in texts], bool)
+
+
+def code_points(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of UTF-8 texts one after the other, and where each text begins and ends."""
     whole = b"".join(t or b"" for t in texts)
-    edges = np.concatenate([[0], np.cumsum([len(t or b"") for t in texts])])
+    edges = np.concatenate([[0], np.cumsum([len(t or b"") for t in texts])]).astype(np.int64)
     points = np.frombuffer(whole, np.uint8)
-    if not whole.isascii():
-        try:
-            decoded = np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32)
-        except UnicodeDecodeError:  # such bytes are not for this; the exact functions look at all of these texts
-            return np.ones(len(texts), bool)
-        edges = np.concatenate([[0], np.cumsum((points & 0xC0) != 0x80)])[edges]  # each code point has one first byte
-        points = decoded
-    return look(points, edges) | np.array([t is None for t in texts], bool)
+    if whole.isascii():
+        return points, edges
+    starts = np.concatenate([[0], np.cumsum((points & 0xC0) != 0x80)])  # each code point has one first byte
+    return np.frombuffer(whole.decode().encode("utf-32-le"), np.uint32), starts[edges]
 
 
 def _rows(edges: np.ndarray, places: np.ndarray) -> np.ndarray:

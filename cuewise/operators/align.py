@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from cuewise.functions.similarity import cleaned, similarity_limit, text_similarity
 from cuewise.functions.text import expansion_values, strip
-from cuewise.operators.hearing import HEARD, heard_lists, with_heard
+from cuewise.operators.hearing import HEARD, heard_lists, slices, with_heard
 from cuewise.operators.models import STRICT, Recogniser, RecogniserFactory
 from cuewise.schema import COLUMNS, SEGMENT, WORDS
 from cuewise.sources.tables import dealt
@@ -74,29 +74,35 @@ class RunIndex:
         self.at = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int64)
         points = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
         own = np.frombuffer(target.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        self.bounds = [self._of(r, len(own), self._running(points, own), self._running(self._pairs(points), self._pairs(own))) for r in range(1, longest + 1)]
+        self.longest, n = longest, len(pieces)
+        # The runs of each first piece, in a row each; those that would end behind the last piece end there.
+        start = np.repeat(self.at[:-1], longest)
+        end = self.at[np.minimum(np.arange(n)[:, None] + np.arange(1, longest + 1), n)].ravel()
+        total = len(own) + end - start
+        common = self._common(points, own, start, end)
+        pairs = self._common(self._pairs(points), self._pairs(own), start, np.maximum(end - 1, start))
+        most = np.minimum(common, (pairs + 1 + total) // 3)
+        self.bounds = np.where((end > start) & (len(own) > 0), 2.0 * most / np.maximum(total, 1), 0.0).tolist()
 
     @staticmethod
     def _pairs(points: np.ndarray) -> np.ndarray:
         return (points[:-1] << np.uint64(32)) | points[1:]
 
     @staticmethod
-    def _running(grams: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How often each n-gram of ``own`` stands before each place, and how often in ``own``."""
+    def _common(grams: np.ndarray, own: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """How many n-grams ``own`` shares with those from each start to its end."""
         known, times = np.unique(own, return_counts=True)
-        return np.concatenate([np.zeros((1, len(known)), np.int64), np.cumsum(grams[:, None] == known, axis=0)]), times
-
-    def _of(self, run: int, length: int, letters: tuple, bigrams: tuple) -> np.ndarray:
-        start, end = self.at[:-run], self.at[run:]
-        total = length + end - start
-        common = np.minimum(letters[0][end] - letters[0][start], letters[1]).sum(1)
-        last = np.minimum(np.maximum(end - 1, start), len(bigrams[0]) - 1)
-        pairs = np.minimum(bigrams[0][last] - bigrams[0][np.minimum(start, last)], bigrams[1]).sum(1)
-        most = np.minimum(common, (pairs + 1 + total) // 3)
-        return np.where((end > start) & (length > 0), 2.0 * most / np.maximum(total, 1), 0.0)
+        if not len(known):
+            return np.zeros(len(start), np.int64)
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        marks = np.zeros((len(known), len(grams) + 1), np.int32)
+        marks[at, np.arange(1, len(grams) + 1)] = known[at] == grams
+        running = np.cumsum(marks, axis=1, dtype=np.int32)
+        last = np.minimum(end, len(grams))
+        return np.minimum(running[:, last] - running[:, np.minimum(start, last)], times[:, None]).sum(0)
 
     def bound(self, first: int, last: int) -> float:
-        return self.bounds[last - first][first]
+        return self.bounds[first * self.longest + last - first]
 
 
 class Subsequence:
@@ -342,7 +348,7 @@ def _search(method: str, config: dict, recogniser: RecogniserFactory, heard: boo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ear = None if heard else recogniser(None)
-        for batch in batches:
+        for batch in slices(batches):
             media, rows = batch.column("media_id").to_pylist(), _segments(batch)
             words = heard_lists(batch) if heard else [None] * len(rows)
             found = [look(r, m, recogniser(w) if heard else ear, config) for r, m, w in zip(rows, media, words, strict=True)]
@@ -368,9 +374,8 @@ def _settle(method: str, recogniser: RecogniserFactory, heard: bool, min_gap: fl
         held: list[pa.RecordBatch] = []  # batches whose rows are not all out: two at most, but for tiny ones
 
         def rows() -> Iterator[tuple[Any, Placed]]:
-            for batch in batches:
-                if batch.num_rows:
-                    held.append(batch)
+            for batch in slices(batches):
+                held.append(batch)
                 words = heard_lists(batch) if heard else [None] * batch.num_rows
                 moves = zip(batch.column("to_start").to_pylist(), batch.column("to_end").to_pylist(), strict=True)
                 for media, was, (a, b), w in zip(batch.column("media_id").to_pylist(), _segments(batch), moves, words, strict=True):

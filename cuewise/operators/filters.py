@@ -13,7 +13,7 @@ from pyspark.sql.types import BooleanType
 
 from cuewise.functions.similarity import text_similarity
 from cuewise.functions.text import normalize_text
-from cuewise.operators.hearing import heard_lists, with_heard
+from cuewise.operators.hearing import heard_lists, slices, with_heard
 from cuewise.operators.merge import merge_single_char_segments, remove_consecutive_duplicates
 from cuewise.operators.models import STRICT, Recogniser, RecogniserFactory
 from cuewise.schema import COLUMNS, SEGMENT, WORDS, reindex
@@ -127,7 +127,7 @@ def revalidate(df: DataFrame, recogniser: RecogniserFactory, truth: DataFrame |
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = None if table else recogniser(None)
-        for batch in batches:
+        for batch in slices(batches):
             heard = heard_lists(batch) if table else [None] * batch.num_rows
             flagged = [batch.column(c).to_pylist() for c in ("again", "media_id", "start", "end", "text")]
             new = [hear(shared or recogniser(w), *row) if yes else (None, None) for (yes, *row), w in zip(zip(*flagged, strict=True), heard, strict=True)]

@@ -6,12 +6,15 @@ from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuewise.functions.jsonfix import response_items
 from cuewise.functions.similarity import text_similarity
 from cuewise.operators.cues import batches
+from cuewise.operators.filters import HEARD_WORDS
+from cuewise.operators.hearing import slices
 from cuewise.operators.models import TextModel, TextModelFactory
 from cuewise.schema import COLUMNS, SEGMENT
 from cuewise.sources.details import DETAILS
@@ -212,23 +215,27 @@ def split_with_model(df: DataFrame, model: TextModelFactory, most: int = 30, rat
     segment's first piece, the question and answer that were no good.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             own = model()
         except Exception:  # whatever the plugged-in model raised: its segments stay whole
             own = None
-        for frame in frames:
+        for batch in slices(batches):
             out = []
-            for r in frame.itertuples():
-                words = [] if r.words is None else [dict(w) for w in r.words]
-                whole = [(r.start, r.end, r.text, words)]
+            for media, number, start, end, text, words in zip(*[batch.column(c).to_pylist() for c in COLUMNS], strict=True):
+                start, end = (float("nan") if t is None else t for t in (start, end))
                 failures: list[Unreadable] = []
-                pieces = whole if own is None or not isinstance(r.text, str) else split_row(own, r.start, r.end, r.text, words, most, rate, llm or {}, failures)
-                told = [{"stage": "segment_splitting", "item": r.seg_idx, "prompt": f.prompt, "raw": f.raw, "error": str(f)} for f in failures]
-                out += [(r.media_id, r.seg_idx, k, *piece, [] if k else told) for k, piece in enumerate(pieces)]
-            yield pd.DataFrame(out, columns=["media_id", "seg_idx", "sub_idx", "start", "end", "text", "words", "details"])
-
+                whole = [(start, end, text, words or [])]
+                pieces = whole if own is None or text is None else split_row(own, start, end, text, words or [], most, rate, llm or {}, failures)
+                told = [{"stage": "segment_splitting", "item": number, "prompt": f.prompt, "raw": f.raw, "error": str(f)} for f in failures]
+                out += [(media, number, k, *piece, [] if k else told) for k, piece in enumerate(pieces)]
+            columns = [pa.array(column, field.type, from_pandas=True) for column, field in zip(zip(*out, strict=True), fields, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, schema=fields)
+
+    kinds = [("media_id", pa.string()), ("seg_idx", pa.int32()), ("sub_idx", pa.int32()), ("start", pa.float64()), ("end", pa.float64()), ("text", pa.string()), ("words", HEARD_WORDS)]
+    told_kind = pa.list_(pa.struct([("stage", pa.string()), ("item", pa.int32()), *[(c, pa.string()) for c in ("prompt", "raw", "error")]]))
+    fields = pa.schema([*kinds, ("details", told_kind)])
     schema = SEGMENT.replace("seg_idx int,", "seg_idx int, sub_idx int,") + f", details {DETAILS}"
-    made = df.select(*COLUMNS).mapInPandas(run, schema)
+    made = df.select(*COLUMNS).mapInArrow(run, schema)
     at = F.row_number().over(Window.partitionBy("media_id").orderBy("seg_idx", "sub_idx")) - 1
     return made.withColumn("seg_idx", at.cast("int")).select(*COLUMNS, *["details"] * details)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from cuewise.functions.text import offsets
+from cuewise.functions.text import code_points, offsets
 from cuewise.schema import COLUMNS, WORDS, no_words
 from cuewise.sources.tables import dealt
 
@@ -45,6 +46,24 @@ def seg_events(events: DataFrame) -> DataFrame:
     return rows.select("media_id", "seg_idx", "start", (F.col("start") + F.col("value")).alias("end"), "text", no_words().alias("words"))
 
 
+def piece_times(texts: pa.Array, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Of each text the times at which its pieces up to a space begin, and its end, in proportion to characters; in arrays, without objects a word."""
+    points, edges = code_points(texts.cast(pa.binary()).to_pylist())
+    lengths = np.diff(edges)
+    after = np.flatnonzero(points == ord(" ")) + 1
+    row = np.searchsorted(edges[1:], after - 1, side="right")
+    inner = after < edges[1:][row]
+    after, row = after[inner], row[inner]
+    within = np.bincount(row, minlength=len(lengths))
+    offsets = np.concatenate([[0], np.cumsum(1 + within + (lengths > 0))])
+    places = np.zeros(offsets[-1])
+    places[offsets[row] + 1 + np.arange(len(row)) - np.repeat(np.cumsum(within) - within, within)] = after - edges[row]
+    places[(offsets[1:] - 1)[lengths > 0]] = lengths[lengths > 0]
+    each = np.repeat(np.arange(len(lengths)), np.diff(offsets))
+    found = starts[each] + (ends - starts)[each] * (places / np.maximum(1, lengths)[each])
+    return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(found))
+
+
 def with_words(df: DataFrame) -> DataFrame:
     """Segments with a word for each piece up to a space, timed by characters; ``text`` is never null.
 
@@ -52,13 +71,9 @@ def with_words(df: DataFrame) -> DataFrame:
     from its length, would read it again for each word.
     """
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def times(texts: pd.Series, starts: pd.Series, ends: pd.Series) -> pd.Series:
-        out = []
-        for text, start, end in zip(texts, starts, ends, strict=True):
-            places = [0, *[i + 1 for i, c in enumerate(text) if c == " " and i + 1 < len(text)], *([len(text)] if text else [])]
-            out.append([start + (end - start) * (k / max(1, len(text))) for k in places])
-        return pd.Series(out)
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def times(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        return piece_times(texts, *[x.to_numpy(zero_copy_only=False).astype(np.float64) for x in (starts, ends)])
 
     pieces = F.filter(F.split("text", "(?<= )"), lambda p: p != "")
     at = F.col("__times")

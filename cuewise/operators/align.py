@@ -249,18 +249,34 @@ def find_boundary(prev: Segment, curr: Segment, media: str, recogniser: Recognis
     heard = _hear(recogniser, media, prev.start, curr.end, True)
     words = _words(heard) if heard else []
     texts = [w.get("word", "") for w in words]
-    best, boundary = 0.0, None
-    for i in range(len(words)):
-        before, after = "".join(texts[:i]), "".join(texts[i:])
-        possible = (similarity_limit(prev.text, before) + similarity_limit(curr.text, after)) / 2
-        if possible <= best or possible < BOUNDARY:
-            continue
-        score = (text_similarity(prev.text, before) + text_similarity(curr.text, after)) / 2
-        if score > best:
-            best = score
-            at = words[i - 1].get("end") if i else words[0].get("start")
-            boundary = None if at is None else prev.start + at
-    return boundary if best >= BOUNDARY else None
+    if not words:
+        return None
+    bounds = (_limits(prev.text, texts) + _limits(curr.text, texts[::-1])[::-1]) / 2
+    best, at = 0.0, len(words)
+    # The likeliest borders first, of equally likely ones the first; of equally good ones the first counts.
+    for i in np.argsort(-bounds[:-1], kind="stable").tolist():
+        if bounds[i] < best or bounds[i] < BOUNDARY:
+            break
+        score = (text_similarity(prev.text, "".join(texts[:i])) + text_similarity(curr.text, "".join(texts[i:]))) / 2
+        if score > best or (score == best and i < at):
+            best, at = score, i
+    if best < BOUNDARY:
+        return None
+    border = words[at - 1].get("end") if at else words[0].get("start")
+    return None if border is None else prev.start + border
+
+
+def _limits(target: str, texts: list[str]) -> np.ndarray:
+    """``similarity_limit`` of ``target`` with the first 0, 1, ... of ``texts`` joined, from running counts of its characters."""
+    target, texts = cleaned(target), [cleaned(t) for t in texts]
+    ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    if not target:
+        return np.zeros(len(ends))
+    known, times = np.unique(np.frombuffer(target.encode("utf-32-le", "surrogatepass"), np.uint32), return_counts=True)
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    running = np.concatenate([np.zeros((len(known), 1), np.int64), np.cumsum(points == known[:, None], axis=1)], axis=1)
+    common = np.minimum(running[:, ends], times[:, None]).sum(0)
+    return np.where(ends > 0, 2.0 * common / (len(target) + ends), 0.0)
 
 
 @dataclass(frozen=True)

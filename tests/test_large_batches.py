@@ -42,3 +42,32 @@ def test_runs_are_bounded_in_one_go(monkeypatch):
         for first in range(len(pieces)):
             for last in range(first, min(first + longest, len(pieces))):
                 assert index.bound(first, last) >= text_similarity(target, "".join(pieces[first : last + 1])) - 1e-12
+
+
+def border_by_trying_all(prev, curr, words):
+    best, border = 0.0, None
+    texts = [w["word"] for w in words]
+    for i in range(len(words)):
+        score = (text_similarity(prev.text, "".join(texts[:i])) + text_similarity(curr.text, "".join(texts[i:]))) / 2
+        if score > best:
+            best, border = score, prev.start + (words[i - 1]["end"] if i else words[0]["start"])
+    return border if best >= align.BOUNDARY else None
+
+
+def test_borders_are_compared_likeliest_first(monkeypatch):
+    calls = []
+    monkeypatch.setattr(align, "text_similarity", lambda a, b: calls.append(1) or text_similarity(a, b))
+    rng, tried = random.Random(9), 0
+    for _ in range(400):
+        words = [{"word": "".join(rng.choice("abcdefg 、") for _ in range(rng.randint(0, 5))), "start": float(i), "end": i + 0.5} for i in range(rng.randint(0, 25))]
+        cut = rng.randint(0, len(words))
+        said = ["".join(w["word"] for w in part) for part in (words[:cut], words[cut:])]
+        prev, curr = (align.Segment(a, b, "".join(c for c in t if rng.random() < 0.9)) for a, b, t in zip((1.0, 9.0), (9.5, 20.0), said, strict=True))
+
+        class Ear:
+            def transcribe(self, *_, own=words):
+                return {"segments": [{"words": own}]}
+
+        assert align.find_boundary(prev, curr, "m", Ear()) == border_by_trying_all(prev, curr, words)
+        tried += len(words)
+    assert len(calls) < tried  # two a border that is compared: fewer than half of them are

@@ -260,7 +260,9 @@ def components(links: DataFrame) -> DataFrame:
     edges = durable(links.where("a != b").distinct())
     n, seen = edges.count(), None
     while True:
-        edges = durable(star(star(edges, True), False), replaced=edges)
+        # Each star is written by itself: as one plan the second would repeat the first three times, broadcasts included.
+        edges = durable(star(edges, True), replaced=edges)
+        edges = durable(star(edges, False), replaced=edges)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break

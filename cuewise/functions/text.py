@@ -24,9 +24,13 @@ PRIMARY_BREAKS = ("。", "？", "！")
 SECONDARY_BREAKS = ("、", "が", "を", "に", "で", "と", "の", "は", "も", "て", "た", "ね", "よ", "わ", "ば", "し")
 
 
+#: The characters of the class \s with (?U): Unicode white space.
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(text: Column) -> Column:
-    """Trims Unicode white space at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Trims Unicode white space at both ends. Only the ends are looked at, where a pattern would be tried at each character."""
+    return F.trim(text, F.lit(WHITE_SPACE))
 
 
 def normalize_text(text: Column) -> Column:

@@ -75,6 +75,13 @@ def only_token(text: Column) -> Column:
     return F.when(F.size(F.array_distinct(words)) == 1, words[0])
 
 
+def short_token(text: Column, longest: int) -> Column:
+    """``only_token`` if it has up to ``longest`` characters, else null. Texts whose first token is longer are not split."""
+    head = F.substring(F.trim(text, F.lit(T.WHITE_SPACE + "、")), 1, longest + 1)
+    token = only_token(text)
+    return F.when((F.length(head) <= longest) | head.rlike("(?U)[、\\s]"), F.when(F.length(token) <= longest, token))
+
+
 def recurring_words(df: DataFrame, total: int | None = 12, cluster: int | None = None, window: float = 60.0, longest: int = 3, least: int = 5) -> DataFrame:
     """(media_id, token): tokens of up to ``longest`` characters that segments consist of too often.
 
@@ -116,8 +123,7 @@ def rewrite_recurring(df: DataFrame, config: dict | None = None, total: int | No
     Segments without a short token are each alone in their window.
     """
     _, sound = _settings(config or {})
-    token = only_token(F.col("text"))
-    rows = df.withColumn("__token", F.when(F.length(token) <= longest, token)).withColumn("__alone", F.when(F.col("__token").isNull(), F.col("seg_idx")))
+    rows = df.withColumn("__token", short_token(F.col("text"), longest)).withColumn("__alone", F.when(F.col("__token").isNull(), F.col("seg_idx")))
     group = Window.partitionBy("media_id", "__token", "__alone")
     n, hit = F.count("*").over(group), F.lit(False)
     if total is not None:

@@ -45,8 +45,9 @@ def phrase_patterns(config: dict) -> list[str]:
 
 def matches_phrase(text: Column, patterns: list[str]) -> Column:
     """Whether a pattern is found in the normalised text; never in a null one."""
-    clean = normalize_text(text)
-    return F.coalesce(reduce(lambda a, b: a | b, [clean.rlike(p) for p in patterns], F.lit(False)), F.lit(False))
+    # A list of one, so that the text is normalised once and not for each pattern.
+    found = F.exists(F.array(normalize_text(text)), lambda clean: reduce(lambda a, b: a | b, [clean.rlike(p) for p in patterns], F.lit(False)))
+    return F.coalesce(found, F.lit(False))
 
 
 def remove_phrases(df: DataFrame, patterns: list[str], recogniser: RecogniserFactory | None = None, truth: DataFrame | None = None, compat: bool = False) -> DataFrame:

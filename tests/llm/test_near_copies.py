@@ -62,6 +62,35 @@ def test_against_brute_force(spark, monkeypatch, hot):
     assert len(got) == len({tuple(r) for r in got}) and {tuple(r) for r in got} == kept_by_brute_force(rows)
 
 
+def variants_of_one_text(n):
+    """Near copies of one text of 400 words, few enough changes to be linked in every tenth; the others are below 0.8 of all."""
+    rng = random.Random(7)
+    base = [f"w{rng.randrange(4000)}" for _ in range(400)]
+    out = []
+    for i in range(n):
+        own = list(base)
+        for at in range(i % 7, 400, 400 // (3 if i % 10 == 0 else rng.randrange(10, 16))):
+            own[at] = f"x{i}_{at}"
+        out.append(" ".join(own))
+    return out
+
+
+@pytest.mark.parametrize("sparse", [near_copies.SPARSE, 1 << 40])
+def test_candidates_of_a_large_group_do_not_grow_with_its_square(spark, monkeypatch, sparse):
+    monkeypatch.setattr(near_copies, "SPARSE", sparse)
+    candidates, verified = [], near_copies._verified
+
+    def counted(pairs, *more):
+        candidates.append(pairs.count())
+        return verified(pairs, *more)
+
+    monkeypatch.setattr(near_copies, "_verified", counted)
+    rows = list(enumerate(variants_of_one_text(150)))
+    kept = near_copies.one_of_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == kept_by_brute_force(rows) and 100 < len(kept) < 150
+    assert candidates[-1] <= len(rows)
+
+
 def test_small_table(spark, small):
     rows = [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").collect()]
     assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_of_near_copies(spark, small, "").collect()} == kept_by_brute_force(rows)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from cuewise.functions import text as T
-from cuewise.schema import WORDS, no_words, reindex
+from cuewise.schema import WORDS, no_words, reindex, worded
 
 #: Breaks of segments with word timings.
 PRIMARY = ("。", "？", "！", "?", "!")
@@ -72,21 +72,24 @@ def split_segments(
     secondary: tuple[str, ...] = SECONDARY,
     char_primary: tuple[str, ...] = T.PRIMARY_BREAKS,
     char_secondary: tuple[str, ...] = T.SECONDARY_BREAKS,
+    keep_words: bool = True,
 ) -> DataFrame:
     """Segments of more than ``max_length`` trimmed characters, split by their words, or by characters if they have none.
 
     One projection: what comes before stands in the plan once, and only the renumbering shuffles. A null text stays as
-    it is; null words count as none.
+    it is; null words count as none. Without ``keep_words`` a segment's words are cut down to whether it has some,
+    before they are shuffled.
     """
     rows = df.withColumn("text", T.strip(F.col("text")))
     long = F.coalesce(F.length("text") > max_length, F.lit(False))
-    worded = F.coalesce(F.size("words") > 0, F.lit(False))
-    cut = rows.withColumn("edges", _edges(long, worded, max_length, primary, secondary, char_primary, char_secondary))
+    timed = F.coalesce(F.size("words") > 0, F.lit(False))
+    cut = rows.withColumn("edges", _edges(long, timed, max_length, primary, secondary, char_primary, char_secondary))
     whole = F.array(F.struct("start", "end", "text", "words")).cast(PIECES)
-    pieces = F.when(~long, whole).when(worded, _by_words(F.col("edges"))).otherwise(_by_characters(F.col("edges"), F.col("text")))
+    pieces = F.when(~long, whole).when(timed, _by_words(F.col("edges"))).otherwise(_by_characters(F.col("edges"), F.col("text")))
     # Outer: else the optimizer repeats the whole expression in a filter on its size.
     made = cut.select("media_id", "seg_idx", F.posexplode_outer(pieces).alias("sub_idx", "piece"))
-    return reindex(made.select("media_id", "seg_idx", "sub_idx", "piece.*"), "seg_idx", "sub_idx")
+    out = made.select("media_id", "seg_idx", "sub_idx", "piece.*")
+    return reindex(out if keep_words else out.withColumn("words", worded(F.col("words"))), "seg_idx", "sub_idx")
 
 
 def bypass_split(df: DataFrame) -> DataFrame:

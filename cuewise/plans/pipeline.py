@@ -47,11 +47,14 @@ class Pipeline:
         ]
 
     def transform(self, df: DataFrame) -> DataFrame:
+        return self._transformed(df)
+
+    def _transformed(self, df: DataFrame, keep_words: bool = True) -> DataFrame:
         on, watch = dict(self.describe()), self.counters.watch if self.counters else unwatched
         out = watch("input", as_segments(df))
         if on["merge incomplete segments"]:
             out = watch("merge", self._merged(out))
-        out = watch("split", self._split(out) if on["split long segments"] else split.bypass_split(out))
+        out = watch("split", self._split(out, keep_words) if on["split long segments"] else split.bypass_split(out))
         out = filters.filter_invented(out, self.config["hallucination_filter"], self.recogniser, self.truth, watch)
         if on["realign timing"]:
             out = watch("realign", align.realign_timing(out, self.config["timing_realignment"], self.recogniser, self.truth))
@@ -60,16 +63,19 @@ class Pipeline:
         return cleanup.final_cleanup(out, self.config["final_cleanup"], watch) if on["final cleanup"] else out
 
     def cues(self, df: DataFrame) -> DataFrame:
-        return vtt_cues(self.transform(df))
+        """Cues only ask whether a segment has words; where no stage behind the splitter reads any, they are cut down to that there."""
+        own, on = self.config["segment_splitting"], dict(self.describe())
+        read = self.recogniser is not None or self.counters is not None or on["polish texts"] or own.get("enable_llm")
+        return vtt_cues(self._transformed(df, bool(read)))
 
     def _merged(self, df: DataFrame) -> DataFrame:
         own = self.config["segment_merging"]
         return merge.merge_incomplete_segments(df, tuple(own["incomplete_markers"]), own["max_merge_gap"], self.config["segment_splitting"]["max_line_length"])
 
-    def _split(self, df: DataFrame) -> DataFrame:
+    def _split(self, df: DataFrame, keep_words: bool = True) -> DataFrame:
         own = self.config["segment_splitting"]
         most, rate = own["max_line_length"], self.config["hallucination_filter"]["timing_validation"].get("max_chars_per_second", 20)
-        out = split.split_segments(df, most, tuple(own["primary_breaks"]), tuple(own["secondary_breaks"]))
+        out = split.split_segments(df, most, tuple(own["primary_breaks"]), tuple(own["secondary_breaks"]), keep_words=keep_words)
         if own.get("enable_llm") and (model := self.model or text_model(stage_llm(self.config, "segment_splitting"))):
             out = polish.split_with_model(out, model, most, rate, stage_llm(self.config, "segment_splitting"), bool(self.details))
             out = set_aside(out, self.details) if self.details else out

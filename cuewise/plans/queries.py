@@ -79,7 +79,7 @@ def merge_incomplete_turns(spark, sf_dir):
 
 
 def merge_incomplete_lines(spark, sf_dir):
-    return _shown(merge.merge_incomplete_segments(adapters.with_words(lines(spark, sf_dir)), (".", ","), 0.5, 200))
+    return _shown(merge.merge_incomplete_segments(adapters.dealt_with_words(lines(spark, sf_dir)), (".", ","), 0.5, 200))
 
 
 def single_char_merge(spark, sf_dir):
@@ -307,7 +307,7 @@ def subtitle_pipeline(spark, sf_dir):
         "hallucination_filter": {"phrase_filter": {"enable": True, "patterns": PHRASES}, "consecutive_duplicates": {"enable": True}, "timing_validation": {"enable": True}},
         "final_cleanup": {"global_word_filter": {"enable": True}},
     }
-    return _cues(Pipeline(config).cues(adapters.with_words(lines(spark, sf_dir))))
+    return _cues(Pipeline(config).cues(adapters.dealt_with_words(lines(spark, sf_dir))))
 
 
 def reindexed(spark, sf_dir):

@@ -7,7 +7,7 @@ import time
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuewise.operators.cues import vtt_cues, vtt_files
+from cuewise.operators.cues import vtt_files
 from cuewise.plans.pipeline import Pipeline
 from cuewise.sources.hadoop import Folder, write_files
 
@@ -44,7 +44,7 @@ def run(pipeline: Pipeline, segments: DataFrame, path: str, portions: int = PORT
         items = own.groupBy("media_id").agg(heard.alias("heard"))
         error = None
         try:
-            write_files(vtt_files(vtt_cues(pipeline.transform(own.where("start is not null")))), path)
+            write_files(vtt_files(pipeline.cues(own.where("start is not null"))), path)
         except Exception as failure:  # one portion must not keep the others from being written
             error = f"{type(failure).__name__}: {failure}"[:2000]
         why = F.lit(error) if error else F.when(~F.col("heard"), "nothing was recognised")

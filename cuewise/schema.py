@@ -15,6 +15,11 @@ def no_words() -> Column:
     return F.array().cast(WORDS)
 
 
+def worded(words: Column) -> Column:
+    """One null for ``words`` if there are some: all that those need who only ask whether there are, and next to nothing to shuffle."""
+    return F.transform(F.slice(words, 1, 1), lambda w: F.lit(None).cast(WORD))
+
+
 def by_position() -> Window:
     """Segments of a media item in their order, which is seg_idx and not start."""
     return Window.partitionBy("media_id").orderBy("seg_idx")
@@ -23,7 +28,10 @@ def by_position() -> Window:
 def as_segments(df: DataFrame) -> DataFrame:
     """``df`` with exactly the segment columns; missing words become an empty list."""
     words = no_words()
-    if dict(df.dtypes).get("words", "").startswith("array<struct"):
+    kind = dict(df.dtypes).get("words", "")
+    if kind == WORDS:
+        words = F.coalesce("words", words)
+    elif kind.startswith("array<struct"):
         # By name: a cast would go by position, and readers order fields as they like.
         by_name = F.transform("words", lambda w: F.struct(*[w[f].cast(k).alias(f) for f, k in (("word", "string"), ("start", "double"), ("end", "double"))]))
         words = F.coalesce(by_name, words)

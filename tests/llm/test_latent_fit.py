@@ -64,3 +64,22 @@ def test_candidates_left_out_could_not_match():
             around = own[max(0, at - len(item)) : at + 2 * D.CHUNK + len(item)]
             assert s or index.verdict(item, around) is None
         assert 0 < shown.sum() < len(shown)
+
+
+def test_the_pipeline_fits_all_documents(spark, monkeypatch):
+    """Passages are white in directions that were fitted to all of them; a sample of 4,000 in 6,000 documents would give variances of about 1.5."""
+    import corpus_pipeline
+
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choices(words, k=30)) for _ in range(6_000)]
+    docs = spark.createDataFrame([(i, t, "en", "a") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string").repartition(4)
+    made, own = [], D._directions
+    monkeypatch.setattr(D, "_directions", lambda *given: made.append(own(*given)) or made[-1])
+    corpus_pipeline.drop_contaminated(spark, docs, "/root/testdata/sf0.001")
+    idf = D.inverse_frequencies(docs)
+    known = np.unique(D.Features().of([w.encode() for w in words]))
+    x = np.array([p[known] for t in texts for p in passages(t, idf)])
+    assert len(made) == 1 and np.allclose(made[0], D.latent_directions(docs, idf))
+    seen = x @ (made[0] / np.where(idf > 0, idf, 1)[:, None])[known]
+    assert np.allclose(seen.T @ seen, np.eye(seen.shape[1]), atol=0.01)
